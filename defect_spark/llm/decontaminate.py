@@ -151,10 +151,10 @@ WITH d AS (
 ), p AS (
   SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS s
   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
-), lens AS (SELECT DISTINCT n FROM p), at AS (
+), lens AS (SELECT DISTINCT n FROM p), places AS (
   SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lens WHERE len(w) >= n)
-), hit AS (SELECT at.doc_id, at.i, at.n, p.item_id FROM at JOIN p ON at.s = p.s AND at.n = p.n),
+), hit AS (SELECT places.doc_id, places.i, places.n, p.item_id FROM places JOIN p ON places.s = p.s AND places.n = p.n),
 words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM (SELECT DISTINCT doc_id, i, n FROM hit)) GROUP BY doc_id),
 ids AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS l FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
