@@ -8,6 +8,7 @@ once per worker, many words at a time, and kept in a bounded memo.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -28,7 +29,7 @@ class DoubleArray:
     """A trie over code points: the child of state s by character c is base[s] + code(c), if check there is s."""
 
     def __init__(self, words: list[str], values: list[int]):
-        letters = sorted({ord(c) for w in words for c in w})
+        letters = [ord(c) for c, _ in Counter(chain.from_iterable(words)).most_common()]  # common ones lie close together
         self.codes = np.zeros(0x110000, np.int32)
         self.codes[letters] = np.arange(1, len(letters) + 1)
         tree: list[dict[int, int]] = [{}]
@@ -56,15 +57,20 @@ class DoubleArray:
             keys = np.array(sorted(kids))
             while used[free]:
                 free += 1
-            start = max(1, free - int(keys[0]))
+            low, step = max(free, int(keys[0]) + 1), 256
             while True:
-                if start + int(keys[-1]) >= len(used):
-                    grow = len(used)
+                if low + step + int(keys[-1]) >= len(used):
+                    grow = len(used) + step
                     used = np.r_[used, np.zeros(grow, bool)]
                     self.base, self.check, self.value = np.r_[self.base, np.zeros(grow, np.int32)], np.r_[self.check, np.full(grow, -1, np.int32)], np.r_[self.value, np.full(grow, -1, np.int32)]
-                if not used[start + keys].any():
+                starts = low + np.flatnonzero(~used[low : low + step]) - int(keys[0])
+                if len(keys) > 1 and len(starts):
+                    for k in keys[1:]:
+                        starts = starts[~used[starts + k]]
+                if len(starts):
+                    start = int(starts[0])
                     break
-                start += 1
+                low, step = low + step, 2 * step
             here = place.pop(node)
             self.base[here] = start
             used[start + keys] = True
