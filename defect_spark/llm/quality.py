@@ -8,6 +8,7 @@ is kept.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -47,6 +48,32 @@ class Test(NamedTuple):
 Rule = tuple[Test, ...]
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once even where the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def repeated_words(hashes: Column) -> Column:
+    """How many of the words lie in windows that occur twice or more; null or 0 if none."""
+
+    def windows(h: Column) -> Column:
+        return F.when(F.size(h) > WINDOW, F.transform(F.sequence(F.lit(1), F.size(h) - WINDOW + 1), lambda i: F.xxhash64(F.slice(h, i, WINDOW))))
+
+    def places(s: Column) -> Column:
+        twice = lambda p, k: F.coalesce(p["x"] == F.get(s, k - 1)["x"], F.lit(False)) | F.coalesce(p["x"] == F.get(s, k + 1)["x"], F.lit(False))
+        return F.array_sort(F.transform(F.filter(s, twice), lambda p: p["i"]))
+
+    def covered(g: Column) -> Column:
+        # only texts with a repeated window sort theirs: equal windows come together, then places
+        ordered = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+        start = F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last"))
+        step = lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last"))
+        count = bound(ordered, lambda s: F.aggregate(places(s), start, step)["n"])
+        return F.when(F.size(g) > F.size(F.array_distinct(g)), count)
+
+    return bound(hashes, lambda h: bound(windows(h), covered))
+
+
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_marks, n_distinct).
 
@@ -56,14 +83,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     df = df.select("doc_id", "text", F.transform(F.array_remove(F.split(F.translate("text", SPACES, " " * len(SPACES)), " "), ""), lambda w: F.xxhash64(w)).alias("h"))
-    windows = F.transform(F.sequence(F.lit(1), F.size("h") - WINDOW + 1), lambda i: F.xxhash64(F.slice("h", i, WINDOW)))
-    df = df.withColumn("g", F.when(F.size("h") > WINDOW, windows))
-    # only texts with a repeated window sort theirs: equal windows come together, then places
-    pairs = F.when(F.size("g") > F.size(F.array_distinct("g")), F.array_sort(F.transform("g", lambda x, i: F.struct(x.alias("x"), i.alias("i")))))
-    df = df.withColumn("s", pairs)
-    at = F.array_sort(F.transform(F.filter(F.transform("s", lambda p, k: F.when(F.coalesce(p["x"] == F.get("s", k - 1)["x"], F.lit(False)) | F.coalesce(p["x"] == F.get("s", k + 1)["x"], F.lit(False)), p["i"])), lambda i: i.isNotNull()), lambda i: i))
-    df = df.withColumn("at", at)
-    covered = F.aggregate("at", F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last")))["n"]
+    df = df.withColumn("covered", repeated_words(F.col("h")))
     lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, SPACES + " ", "") != "")
     bare = F.translate("text", SPACES + " ", "")
     df = df.withColumn("bare", bare).withColumn("lines", lines)
@@ -75,7 +95,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         size.cast("long").alias("word_chars"),
         less(SYMBOLS).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.coalesce("covered", F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         less(UPPER).alias("n_upper"),
         less("!?").alias("n_marks"),
