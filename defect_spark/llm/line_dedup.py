@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from defect_spark.llm.common import checkpointed, same, text_key
+from defect_spark.llm.common import bound, checkpointed, same, text_key
 
 SPACES = "\t\x0b\x0c\r"
 
@@ -29,9 +29,9 @@ def lines_of(text: Column) -> Column:
     return F.transform(full, lambda c: F.struct(F.xxhash64(c["x"]).alias("h"), F.size(F.array_remove(F.split(c["x"], " "), "")).alias("n"), c["at"].alias("at")))
 
 
-def window_spans(min_words: int) -> Column:
-    """array<struct<i, j>> over column lines, 0-based, both ends included: windows from and up to each line."""
-    here = F.size("lines")
+def window_spans(lines: Column, min_words: int) -> Column:
+    """array<struct<i, j>> over lines, 0-based, both ends included: windows from and up to each line."""
+    here = F.size(lines)
 
     def stretch(cells: Column) -> Column:
         """How many of cells hold min_words words; 0 if all don't."""
@@ -40,9 +40,9 @@ def window_spans(min_words: int) -> Column:
         return F.when(end["w"] >= min_words, end["k"]).otherwise(F.lit(0))
 
     places = F.when(here > 0, F.sequence(F.lit(0), here - 1)).otherwise(F.array().cast("array<int>"))
-    ahead = F.transform(places, lambda i: F.struct(i.alias("i"), (i + stretch(F.slice("lines", i + 1, min_words)) - 1).alias("j")))
+    ahead = F.transform(places, lambda i: F.struct(i.alias("i"), (i + stretch(F.slice(lines, i + 1, min_words)) - 1).alias("j")))
     first = lambda j: F.greatest(F.lit(0), j + 1 - min_words)
-    back = F.transform(places, lambda j: F.struct((j + 1 - stretch(F.reverse(F.slice("lines", first(j) + 1, j - first(j) + 1)))).alias("i"), j.alias("j")))
+    back = F.transform(places, lambda j: F.struct((j + 1 - stretch(F.reverse(F.slice(lines, first(j) + 1, j - first(j) + 1)))).alias("i"), j.alias("j")))
     return F.filter(F.array_union(ahead, back), lambda s: s["j"] >= s["i"])
 
 
@@ -50,10 +50,13 @@ def repeated_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     """(doc_id, key, gone): the numbers of the lines to delete in each document that has any."""
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     df = df.select("doc_id", text_key(F.col("text")).alias("key"), lines_of(F.col("text")).alias("lines"))
-    df = df.withColumn("spans", window_spans(min_words)).where(F.size("spans") > 0)
-    window = lambda s: F.slice("lines", s["i"] + 1, s["j"] - s["i"] + 1)
-    cells = F.transform("spans", lambda s: F.struct(F.array_min(F.transform(window(s), lambda c: c["h"])).alias("print"), F.xxhash64(F.transform(window(s), lambda c: c["h"])).alias("whole"), F.get("lines", s["i"])["at"].alias("start"), F.get("lines", s["j"])["at"].alias("stop")))
-    windows = checkpointed(df.select("doc_id", "key", F.inline(cells)))
+    df = df.withColumn("spans", bound(F.col("lines"), lambda x: window_spans(x, min_words))).where(F.size("spans") > 0)
+
+    def cells(lines: Column) -> Column:
+        window = lambda s: F.transform(F.slice(lines, s["i"] + 1, s["j"] - s["i"] + 1), lambda c: c["h"])
+        return F.transform("spans", lambda s: F.struct(F.array_min(window(s)).alias("print"), F.xxhash64(window(s)).alias("whole"), F.get(lines, s["i"])["at"].alias("start"), F.get(lines, s["j"])["at"].alias("stop")))
+
+    windows = checkpointed(df.select("doc_id", "key", F.inline(bound(F.col("lines"), cells))))
     # a fingerprint at one place only can't begin a match; windows of one place count once
     place = F.struct("doc_id", "key", "start").alias("place")
     prints = windows.groupBy("print").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("print")

@@ -8,14 +8,13 @@ is kept.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from defect_spark.llm.common import UPPER
+from defect_spark.llm.common import UPPER, bound
 
 SPACES = "\t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -48,11 +47,6 @@ class Test(NamedTuple):
 Rule = tuple[Test, ...]
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once even where the optimizer moves the expression."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def repeated_words(hashes: Column) -> Column:
     """How many of the words lie in windows that occur twice or more; null or 0 if none."""
 
