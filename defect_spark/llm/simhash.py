@@ -1,11 +1,14 @@
 """SimHash near-duplicate groups: fingerprints, vantage-point shards, components.
 
 A fingerprint is made from three-word shingles. Equal fingerprints are merged before any
-search, so a group of exact copies costs one point. A vantage-point tree over a bounded
-sample deals the distinct fingerprints to shards by their Hamming distance to pivots; a
-fingerprint within ``radius`` of a shard's boundary also queries that shard, so every linked
-pair meets where one of the two lives. Inside a shard the same tree goes on, pruned by the
-triangle inequality, and only a spanning forest of the links leaves the shard.
+search, so a group of exact copies costs one point. The 64 bits are cut into bands; two
+fingerprints within ``radius`` bits differ in at most ``radius // bands`` bits of one band. For
+each band a vantage-point tree over a bounded sample deals the distinct fingerprints to shards by
+the band's Hamming distance to pivots; a fingerprint so close to a shard's boundary also queries
+that shard, so every linked pair meets where one of the two lives. With more bands than radius no
+boundary is crossed and a fingerprint costs one row a band at every size; whole fingerprints lie
+near all boundaries. Inside a shard the tree goes on, over the band and then over all bits, pruned
+by the triangle inequality, and only a spanning forest of the links leaves the shard.
 """
 
 from __future__ import annotations
@@ -69,14 +72,15 @@ def choose_pivot(points: np.ndarray, seed: int) -> tuple[np.uint64, int, np.ndar
 
 
 class VantageTree:
-    """A tree of (pivot, median distance) nodes; its leaves are the shards."""
+    """A tree of (pivot, median distance) nodes over the bits in mask; its leaves are the shards."""
 
-    def __init__(self, sample: np.ndarray, leaves: int):
+    def __init__(self, sample: np.ndarray, leaves: int, mask: np.uint64):
+        self.mask = mask
         self.pivot: list[int] = []
         self.median: list[int] = []
         self.child: list[tuple[int, int]] = []
         self.leaves = 0
-        self.root = self._grow(sample, leaves)
+        self.root = self._grow(sample & mask, leaves)
 
     def _grow(self, points: np.ndarray, leaves: int) -> int:
         """The node's number, or -1 - shard for a leaf."""
@@ -95,6 +99,7 @@ class VantageTree:
 
     def deal(self, points: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(shard, indices, whether at home there) for every shard that a point lives in or must query."""
+        points = points & self.mask
         stack = [(self.root, np.arange(len(points)), np.ones(len(points), bool))]
         while stack:
             node, at, home = stack.pop()
@@ -141,21 +146,34 @@ class Forest:
             a, b = high, low
 
 
-def links_within(points: np.ndarray, home: np.ndarray, radius: int, block: int = 1 << 20) -> np.ndarray:
-    """For each point the index of its group's root, over all pairs that have a point at home."""
+def band_masks(bands: int) -> list[np.uint64]:
+    """The 64 bits in ``bands`` stretches of about equal width."""
+    cuts = [64 * k // bands for k in range(bands + 1)]
+    return [np.uint64((1 << high) - (1 << low)) for low, high in zip(cuts, cuts[1:])]
+
+
+def links_within(points: np.ndarray, home: np.ndarray, radius: int, mask: np.uint64, band_radius: int, block: int = 1 << 20) -> np.ndarray:
+    """For each point the index of its group's root, over all pairs that have a point at home and are close in the band."""
     forest = Forest(len(points))
-    stack = [(np.flatnonzero(home), np.arange(len(points)), 0)]
+    banded, everything = points & mask, (points, radius)
+    stack = [(np.flatnonzero(home), np.arange(len(points)), 0, (banded, band_radius))]
     while stack:
-        inside, asking, depth = stack.pop()
+        inside, asking, depth, (bits, reach) = stack.pop()
         if not len(inside) or not len(asking):
             continue
         if len(inside) * len(asking) > block and len(inside) > 64 and depth < 64:
-            pivot, m, d = choose_pivot(points[inside], depth)
+            pivot, m, d = choose_pivot(bits[inside], depth)
             near = d <= m
+            if near.all() and d.any():  # the median is the largest distance
+                m -= 1
+                near = d <= m
             if near.any() and not near.all():
-                q = distances(points[asking], pivot)
-                stack.append((inside[near], asking[q <= m + radius], depth + 1))
-                stack.append((inside[~near], asking[q > m - radius], depth + 1))
+                q = distances(bits[asking], pivot)
+                stack.append((inside[near], asking[q <= m + reach], depth + 1, (bits, reach)))
+                stack.append((inside[~near], asking[q > m - reach], depth + 1, (bits, reach)))
+                continue
+            if bits is banded:
+                stack.append((inside, asking, depth, everything))
                 continue
         step = max(1, block // len(inside))
         own = points[inside]
@@ -168,34 +186,39 @@ def links_within(points: np.ndarray, home: np.ndarray, radius: int, block: int =
     return forest.roots(np.arange(len(points)))
 
 
-def link_edges(points: DataFrame, radius: int = 3, shard_points: int = 16384, sample_points: int = 4096) -> DataFrame:
-    """(u, v), u > v: a spanning forest of all links between the distinct longs in column fp.
+def link_edges(points: DataFrame, radius: int = 3, shard_points: int = 16384, sample_points: int = 4096, bands: int | None = None) -> DataFrame:
+    """(u, v), u > v: spanning forests of all links between the distinct longs in column fp.
 
-    The tree is fitted on at most ``sample_points`` fingerprints, the ones with the smallest
-    hashes; every fingerprint is dealt and searched.
+    The trees are fitted on at most ``sample_points`` fingerprints, the ones with the smallest
+    hashes; every fingerprint is dealt and searched. bands is radius + 1 unless given.
     """
     spark = points.sparkSession
     count = points.count()
     shards = min(sample_points // 2, max(1, -(-count // shard_points)))
     sample = points.orderBy(F.xxhash64("fp"), "fp").limit(sample_points).collect() if shards > 1 else []
-    tree = spark.sparkContext.broadcast(VantageTree(np.array([r.fp for r in sample], np.int64).view(np.uint64), shards))
+    held = np.array([r.fp for r in sample], np.int64).view(np.uint64)
+    masks = band_masks(bands or radius + 1)
+    reach = radius // len(masks)
+    trees = spark.sparkContext.broadcast([VantageTree(held, shards, m) for m in masks])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.asarray(b.column(0)).view(np.uint64)
-            for shard, at, home in tree.value.deal(fps, radius):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard, np.int32)), pa.array(fps[at].view(np.int64)), pa.array(home)], ["shard", "fp", "home"])
+            for band, tree in enumerate(trees.value):
+                for shard, at, home in tree.deal(fps, reach):
+                    n = len(at)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, band, np.int32)), pa.array(np.full(n, shard, np.int32)), pa.array(fps[at].view(np.int64)), pa.array(home)], ["band", "shard", "fp", "home"])
 
     def search(group: pa.Table) -> pa.Table:
         fps = np.array(group.column("fp")).view(np.uint64)
         order = np.argsort(fps.view(np.int64), kind="stable")
         fps = fps[order]
-        root = links_within(fps, np.array(group.column("home"))[order], radius)
+        root = links_within(fps, np.array(group.column("home"))[order], radius, masks[group.column("band")[0].as_py()], reach)
         at = np.flatnonzero(root != np.arange(len(fps)))
         return pa.table({"u": fps[at].view(np.int64), "v": fps[root[at]].view(np.int64)})
 
-    dealt = points.select("fp").mapInArrow(deal, "shard int, fp long, home boolean")
-    return dealt.groupBy("shard").applyInArrow(search, "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    dealt = points.select("fp").mapInArrow(deal, "band int, shard int, fp long, home boolean")
+    return dealt.groupBy("band", "shard").applyInArrow(search, "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def star_roots(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -227,7 +250,7 @@ def star_roots(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, shard_points: int = 16384, sample_points: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, shard_points: int = 16384, sample_points: int = 4096, bands: int | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row for each row of docs.
 
     Texts are lower-cased (A-Z) and split at ASCII white space. Fingerprints that differ in at
@@ -238,7 +261,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     made = checkpointed(fingerprints(docs, id_col, text_col, shingle))
     classes = checkpointed(made.groupBy("fp").agg(F.min("doc_id").alias("smallest")))
-    roots = star_roots(link_edges(classes, radius, shard_points, sample_points)).withColumnRenamed("u", "fp")
+    roots = star_roots(link_edges(classes, radius, shard_points, sample_points, bands)).withColumnRenamed("u", "fp")
     placed = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = placed.groupBy("root").agg(F.min("smallest").alias("component_id"))
     by_fp = placed.join(named, "root").select("fp", "component_id")

@@ -166,8 +166,25 @@ def test_simhash_matches_brute_force(docs):
             if a < b and (prints[a] ^ prints[b]).bit_count() <= 3:
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
-    got = simhash.near_duplicates(docs, shard_points=32).collect()
-    assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {d: (f"{p:016x}", root(d)) for d, p in prints.items()}
+    for bands in (None, 1, 2):
+        got = simhash.near_duplicates(docs, shard_points=32, bands=bands).collect()
+        assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {d: (f"{p:016x}", root(d)) for d, p in prints.items()}
+
+
+def test_simhash_links_within_match_all_pairs():
+    rng = np.random.default_rng(5)
+    seeds = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    flips = (np.uint64(1) << rng.integers(0, 64, (3000, 2), dtype=np.uint64)).sum(1, dtype=np.uint64)
+    points = np.unique(seeds[rng.integers(0, 60, 3000)] ^ flips)
+    close = np.bitwise_count(points[:, None] ^ points[None, :]) <= 3
+    for mask in simhash.band_masks(4):
+        root = simhash.links_within(points, np.ones(len(points), bool), 3, mask, 0, block=4096)
+        forest = simhash.Forest(len(points))
+        forest.join(*np.nonzero(close & ((points[:, None] ^ points[None, :]) & mask == 0)))
+        want = forest.roots(np.arange(len(points)))
+        pairs = set(zip(root.tolist(), want.tolist()))
+        # the search may link more than the band's pairs, never fewer
+        assert all(len({r for r, w in pairs if w == k}) == 1 for k in set(want.tolist()))
 
 
 def test_licenses_match_brute_force(docs, awkward):
