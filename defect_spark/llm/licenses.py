@@ -1,8 +1,9 @@
-"""License scans: lines and paragraphs against notice templates by the Dice coefficient of word bigrams.
+"""License scans: lines, paragraphs and runs of words against templates by the Dice coefficient of word bigrams.
 
-Texts are lower-cased and cut to words of letters and digits. Only templates whose bigram
-count is within the size bounds of the threshold are counted, by an index from bigram to
-templates.
+Texts are lower-cased and cut to words of letters and digits. A match shares at least
+threshold / (2 - threshold) of a template's bigrams, so an index from bigram to templates leaves
+most texts no template to compare. For the others every line, every paragraph and every run of
+words that can score is compared; runs cross lines and paragraphs and begin and end anywhere.
 """
 
 from __future__ import annotations
@@ -11,13 +12,15 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from defect_spark.llm.common import pairs_of
+from defect_spark.llm.license_texts import TEXTS
 
-# Short public notices of well-known licences.
-TEMPLATES = {
+# Short public notices of well-known licences, with the whole texts.
+NOTICES = {
     "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the terms of the MIT license."),
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License v3.0."),
@@ -33,6 +36,7 @@ TEMPLATES = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "ISC": ("Licensed under the ISC License.",),
 }
+TEMPLATES = {name: NOTICES.get(name, ()) + TEXTS.get(name, ()) for name in NOTICES | TEXTS}
 WORD = re.compile(r"[^\W_]+")
 PARAGRAPH = re.compile(r"\n\s*\n")
 
@@ -51,9 +55,10 @@ class Scanner:
             for g in grams:
                 self.index.setdefault(g, []).append(k)
         sizes = [len(s) for _, s in self.sets if s]
-        ratio = threshold / (2 - threshold)
-        self.least, self.most = (ratio * min(sizes), max(sizes) / ratio) if sizes else (1, 0)
+        self.ratio = threshold / (2 - threshold)
+        self.least, self.most = (self.ratio * min(sizes), max(sizes) / self.ratio) if sizes else (1, 0)
         self.starts = {g[0] for g in self.index}
+        self.known = frozenset(self.index)
 
     def unit(self, text: str) -> tuple[float, str] | None:
         """The best (score, name) at or over the threshold; ties go to the first name."""
@@ -75,25 +80,89 @@ class Scanner:
                 best = (score, name)
         return best
 
+    def able(self, grams: set) -> list[int]:
+        """Templates of which a text with these bigrams holds enough for a match."""
+        shared = Counter(k for g in grams & self.known for k in self.index[g])
+        return [k for k, n in shared.items() if n >= self.ratio * len(self.sets[k][1]) - 1e-9]
+
+    def runs(self, words: list[str], able: list[int]) -> list[tuple[float, int, int, str]]:
+        """(score, begin, end, name) of runs of words that match, disjoint, the best first, in order of place.
+
+        The best run from any word on begins and ends with a bigram of the template. A bigram counts
+        where it comes first in the run: where its place before is before the run.
+        """
+        pairs = list(zip(words, words[1:]))
+        last: dict[tuple, int] = {}
+        before = np.empty(len(pairs), np.int64)
+        for i, g in enumerate(pairs):
+            before[i] = last.get(g, -1)
+            last[g] = i
+        found = []
+        for k in able:
+            name, own = self.sets[k]
+            m, hit = len(own), np.fromiter((g in own for g in pairs), bool, len(pairs))
+            need, most, places = self.ratio * m - 1e-9, m / self.ratio + 1e-9, np.flatnonzero(hit)
+            for n, a in enumerate(places.tolist()):
+                if len(places) - n < need:
+                    break
+                # grown until it has more bigrams than a match may have
+                size, stop = int(2 * most) + 2, len(pairs)
+                while True:
+                    new = before[a : a + size] < a
+                    grams = np.cumsum(new)
+                    if a + size >= stop or grams[-1] > most:
+                        break
+                    size *= 4
+                shared = np.cumsum(new & hit[a : a + size])
+                if shared[-1] < need:
+                    continue
+                score = 2 * shared / (m + grams)
+                e = int(np.argmax(score))
+                if score[e] >= self.threshold:
+                    found.append((float(score[e]), a, a + e + 2, name))
+        taken, out = np.zeros(len(words), bool), []
+        for one in sorted(found, key=lambda x: (-x[0], x[1] - x[2], x[1], x[3])):
+            if not taken[one[1] : one[2]].any():
+                taken[one[1] : one[2]] = True
+                out.append(one)
+        return sorted(out, key=lambda x: x[1])
+
     def text(self, text: str | None) -> list[dict]:
-        """Matches in order: unit kind, its number, name and score."""
+        """Matches in order: unit kind, its number (of a run: of its first line), name and score."""
         text = (text or "").lower()
-        out = []
+        words = WORD.findall(text)
+        able = self.able(set(zip(words, words[1:])))
+        if not able:
+            return []
+        out, covered = [], []
+        line_of, at = [], 0
         for k, line in enumerate(text.split("\n")):
+            n = len(WORD.findall(line))
+            line_of += [k] * n
             found = self.unit(line)
             if found:
                 out.append({"kind": "line", "at": k, "name": found[1], "score": found[0]})
+                covered.append((at, at + n, found[1]))
+            at += n
+        at = 0
         for k, part in enumerate(PARAGRAPH.split(text)):
+            n = len(WORD.findall(part))
             found = self.unit(part) if "\n" in part else None
             if found:
                 out.append({"kind": "paragraph", "at": k, "name": found[1], "score": found[0]})
+                covered.append((at, at + n, found[1]))
+            at += n
+        for score, begin, end, name in self.runs(words, able):
+            if not any(a < end and begin < b and name == x for a, b, x in covered):
+                out.append({"kind": "run", "at": line_of[begin], "name": name, "score": score})
         return out
 
 
 def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, matches): every line and every paragraph of several lines that matches a template.
+    """(doc_id, matches): every line, paragraph of several lines and run of words that matches a template.
 
-    Paragraphs end at blank lines. Bigrams are sets, so repeats count once. Null and empty texts
+    Paragraphs end at blank lines. Runs are the best disjoint ones; one that touches a line or
+    paragraph matched under the same name is left out. Bigrams are sets, so repeats count once. Null and empty texts
     match nothing; repeated rows are returned each; an empty table gives an empty result; other
     columns are ignored.
     """
