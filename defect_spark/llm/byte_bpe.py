@@ -3,19 +3,16 @@
 The pre-tokenizer of these vocabularies never lets a token cross the space before a word or a
 lone line break between words, so a text is cut there, each different chunk is encoded by the
 library once per worker (a bounded memo), and the results are strung together. Texts with other
-runs of white space are encoded whole.
+runs of white space, or with a special token's string, are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 
 import numpy as np
 
-#: White space next to white space or to an end of the text, or of another kind: chunks might interact.
-IRREGULAR = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
-
 _loaded: dict[tuple[str, str], Encoder] = {}
 
 
@@ -39,67 +36,147 @@ class Memo:
         self.new[key] = value
 
 
-def keys_of(text: str) -> list[str]:
-    """The chunks of a regular text: 'w' is ' w', '\\nw' is 'w' at a line's start, '\\n' a line break."""
-    keys: list[str] = []
-    for line in text.split("\n"):
-        words = line.split(" ")
-        words[0] = "\n" + words[0]
-        if keys:
-            keys.append("\n")
-        keys += words
-    return keys
+class Codes(dict):
+    """Numbers for chunks in order of appearance; new ones are listed in fresh."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = number = len(self)
+        self.fresh.append(chunk)
+        return number
+
 
+def irregular(text: str) -> bool:
+    """White space that merges with its neighbours, so that chunks would interact."""
+    return "  " in text or " \n" in text or "\n\n\n" in text or "\n\n " in text or text[-1] == " " or text.endswith("\n\n")
 
-def chunk_of(key: str) -> str:
-    return key if key == "\n" else key[1:] if key[0] == "\n" else " " + key
+
+def gathered(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indices begin[0], begin[0] + 1, ... of every stretch, strung together."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 class Encoder:
-    """what: 'ids' gives int32 ids, 'spans' int32 pairs of code-point start and end."""
+    """what: 'ids' gives int32 ids, 'spans' int32 pairs of code-point start and end.
+
+    A chunk is a word with the space or line break before it; its key lacks the space. The memo
+    holds at most about ``memo`` chunks: when it is full the half used most often stays.
+    """
 
-    def __init__(self, path: str, what: str, memo: int = 400_000):
+    GROUP = 1000  # chunks that the library encodes as one string
+
+    def __init__(self, path: str, what: str, memo: int = 1_000_000):
         from tokenizers import Tokenizer, processors
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         if what == "spans":
             self.tokenizer.post_processor = processors.ByteLevel(trim_offsets=False)
-        self.what, self.memo = what, Memo(memo)
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
+        vocabulary = self.tokenizer.get_vocab()
+        # a chunk's first token, and no other of its tokens, begins with its space or line break
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for t, i in vocabulary.items() if t[0] == "Ġ" or t == "Ċ"]] = True
+        self.what, self.most, self.width = what, memo, 1 if what == "ids" else 2
+        self.codes, self.used = Codes(), np.zeros(0, np.int64)
+        self.begin, self.size, self.chars = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros((0, self.width), np.int32)
+
+    def whole(self, text: str) -> np.ndarray:
+        """What the library gives for one string."""
+        if self.what == "ids":
+            return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32).reshape(-1, 1)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).offsets, np.int32).reshape(-1, 2)
 
-    def encode(self, chunks: list[str]) -> list[bytes]:
+    def group(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, tokens of each chunk), from one string that holds all chunks."""
         if self.what == "ids":
-            return [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        return [np.array(e.offsets, np.int32).tobytes() for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids, np.int32)
+            made = ids.reshape(-1, 1)
+        else:
+            found = self.tokenizer.encode("".join(chunks), add_special_tokens=False)
+            ids, made = np.array(found.ids, np.int32), np.array(found.offsets, np.int32).reshape(-1, 2)
+        at = np.flatnonzero(self.opens[ids])
+        size = np.diff(np.r_[at, len(ids)])
+        if len(at) != len(chunks) or at[0]:
+            raise ValueError("the vocabulary has tokens that cross words")
+        if self.what == "spans":
+            chars = np.fromiter(map(len, chunks), np.int64, len(chunks))
+            made = made - np.repeat(np.cumsum(chars) - chars, size)[:, None].astype(np.int32)
+        return made, size
+
+    def learn(self) -> None:
+        """Encodes the fresh chunks; size -1 marks those with other white space at an end."""
+        fresh, self.codes.fresh = self.codes.fresh, []
+        chunks = [k if k[:1] == "\n" else " " + k for k in fresh]
+        size = np.ones(len(fresh), np.int64)
+        odd = [len(c) < 2 and c != "\n" or c != "\n" and (c[1].isspace() or c[-1].isspace()) for c in chunks]
+        lone = [c == "\n" for c in chunks]
+        plain = np.flatnonzero(~(np.array(odd, bool) | np.array(lone, bool)))
+        parts = []
+        for at in range(0, len(plain), self.GROUP):
+            some = plain[at : at + self.GROUP]
+            made, size[some] = self.group([chunks[i] for i in some])
+            parts.append(made)
+        size[np.flatnonzero(odd)] = -1
+        held, begin = len(self.flat), np.zeros(len(fresh), np.int64)
+        begin[plain] = held + np.cumsum(size[plain]) - size[plain]
+        if any(lone):
+            begin[np.flatnonzero(lone)] = held + sum(map(len, parts))
+            parts.append(self.whole("\n"))
+        self.flat = np.concatenate([self.flat, *parts])
+        self.begin, self.size = np.r_[self.begin, begin], np.r_[self.size, size]
+        self.chars = np.r_[self.chars, np.fromiter(map(len, chunks), np.int64, len(chunks))]
+        self.used = np.r_[self.used, np.zeros(len(fresh), np.int64)]
+
+    def forget(self) -> None:
+        """Drops the half of the chunks that was used least."""
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: self.most // 2])
+        names = list(self.codes)
+        self.codes = Codes()
+        for new, old in enumerate(keep.tolist()):
+            self.codes[names[old]] = new
+        size = np.maximum(self.size[keep], 0)
+        self.flat = self.flat[gathered(self.begin[keep], size)]
+        self.begin, self.size, self.chars = np.cumsum(size) - size, self.size[keep], self.chars[keep]
+        self.used = np.zeros(len(keep), np.int64)
 
     def texts(self, texts: list[str]) -> list[np.ndarray]:
         """For each text what the library gives for the whole of it."""
-        cut = [None if not t or IRREGULAR.search(t) else keys_of(t) for t in texts]
-        seen: set[str] = set()
-        for keys in cut:
-            seen.update(keys or ())
-        known = {k: self.memo.get(k) for k in seen}
-        todo = [k for k, v in known.items() if v is None]
-        for k, made in zip(todo, self.encode([chunk_of(k) for k in todo])):
-            known[k] = made
-            self.memo.put(k, made)
-        out = []
-        for t, keys in zip(texts, cut):
-            if keys is None:
-                made = np.frombuffer(self.encode([t])[0] if t else b"", np.int32)
-                out.append(made if self.what == "ids" else made.reshape(-1, 2))
-                continue
-            parts = list(map(known.__getitem__, keys))
-            made = np.frombuffer(b"".join(parts), np.int32)
-            if self.what == "spans":
-                size = np.fromiter((1 if k == "\n" else len(k) - 1 if k[0] == "\n" else len(k) + 1 for k in keys), np.int64, len(keys))
-                tokens = np.fromiter(map(len, parts), np.int64, len(parts)) // 8
-                made = made.reshape(-1, 2) + np.repeat(np.cumsum(size) - size, tokens)[:, None]
-            out.append(made)
-        return out
+        if len(self.codes) > self.most:
+            self.forget()
+        keys: list[str] = []
+        stops, regular = [], []
+        for i, t in enumerate(texts):
+            if t and not irregular(t) and not any(s in t for s in self.special):
+                # a line break before the text stands for its beginning and is dropped again
+                keys += ("\n" + t).replace("\n", " \n")[1:].split(" ")
+                stops.append(len(keys))
+                regular.append(i)
+        codes = np.fromiter(map(self.codes.__getitem__, keys), np.int64, len(keys))
+        if self.codes.fresh:
+            self.learn()
+        self.used += np.bincount(codes, minlength=len(self.used))
+        size = self.size[codes]
+        odd = size < 0
+        size = np.maximum(size, 0)
+        made = self.flat[gathered(self.begin[codes], size)]
+        ends, chars = np.r_[0, np.cumsum(size)], np.r_[0, np.cumsum(self.chars[codes])]
+        if self.what == "spans":
+            made = made + np.repeat(chars[:-1], size)[:, None].astype(np.int32)
+        out: list[np.ndarray | None] = [None] * len(texts)
+        for i, low, high in zip(regular, [0, *stops], stops):
+            if not odd[low:high].any():
+                out[i] = made[ends[low] + 1 : ends[high]] - (int(chars[low]) + 1 if self.what == "spans" else 0)
+        for i, t in enumerate(texts):
+            if out[i] is None:
+                out[i] = self.whole(t) if t else np.zeros((0, self.width), np.int32)
+        return [x[:, 0] if self.what == "ids" else x for x in out]
 
 
 def encoder(path: str, what: str) -> Encoder:

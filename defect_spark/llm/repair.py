@@ -1,11 +1,13 @@
 """Token-id files compressed by a Re-Pair grammar per shard.
 
 A shard holds the ids of consecutive documents. Frequent id pairs are replaced by nonterminals,
-round after round; a round counts all pairs, replaces the commonest ones at once (at places
-where two would overlap the commoner wins) and goes on with the shorter sequence. No rule holds
-a pair that begins with the end id, so documents begin at symbols. A shard row has the rules,
-the expansion length of every rule and the sequence: cumulated expansion lengths lead to any
-document without expanding what comes before it.
+round after round: a round takes all pairs that occur at least 1/FALL as often as the commonest
+one and replaces them at once (where two would overlap the commoner wins). It goes on until no
+pair occurs ``least`` times. A rule costs three stored numbers and saves one for each use, so
+rarer pairs would not pay for theirs. No rule joins documents: no pair begins with a symbol that
+ends in the end id. So documents begin and end at symbols. A shard row has the rules, the
+expansion length of every rule and the sequence: cumulated expansion lengths lead to any document
+without expanding the others.
 """
 
 from __future__ import annotations
@@ -19,41 +21,86 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from defect_spark.llm.byte_bpe import encoder
+from defect_spark.llm.byte_bpe import encoder, gathered
 from defect_spark.llm.common import new_path, pairs_of
 
-SLOTS = 1 << 20
+FALL = 16
 
 
-def compress(ids: np.ndarray, first_symbol: int, rounds: int = 6, rules_a_round: int = 2048, least: int = 16, end_id: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def kinds_of(a: np.ndarray, b: np.ndarray, open_: np.ndarray, least: int, salt: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(places, kind at each or -1, pair of each kind, count of the commonest): all places of pairs that occur ``least`` times.
+
+    With a salt a kind is a hash slot and stands for one of its pairs; the places of its other
+    pairs have kind -1 and come round with another salt. Without one all pairs are sorted.
+    """
+    if salt is None:
+        pairs, back, n = np.unique((a.astype(np.int64) << 32) | b, return_inverse=True, return_counts=True)
+        places = np.flatnonzero((n >= least)[back] & open_)
+        return places, back[places], pairs, int(n.max(initial=0))
+    bits = max(10, min(20, (4 * len(a)).bit_length()))
+    slot = ((a.view(np.uint32) * np.uint32(2654435761 + 2 * salt) + b.view(np.uint32) * np.uint32(2246822519)) >> np.uint32(32 - bits)).astype(np.int64)
+    slot[~open_] = 1 << bits
+    count = np.bincount(slot, minlength=(1 << bits) + 1)
+    count[1 << bits] = 0
+    places = np.flatnonzero((count >= least)[slot])
+    slot = slot[places]
+    pair = (a[places].astype(np.int64) << 32) | b[places]
+    pairs = np.zeros(1 << bits, np.int64)
+    pairs[slot] = pair
+    return places, np.where(pairs[slot] == pair, slot, -1), pairs, int(count.max())
+
+
+def compress(ids: np.ndarray, first_symbol: int, least: int = 4, end_id: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(rules as pairs, sequence): symbol first_symbol + i stands for rules[i]."""
-    seq, rules = ids.astype(np.int64), []
-    symbol = first_symbol
-    for _ in range(rounds):
-        if len(seq) < 2 * least:
-            break
-        pair = (seq[:-1] << 32) | seq[1:]
-        slot = ((pair * np.int64(-7046029254386353131)) >> 44) & (SLOTS - 1)
-        slot[seq[:-1] == end_id] = SLOTS
-        count = np.bincount(slot, minlength=SLOTS + 1)
-        count[SLOTS] = 0
-        maybe = np.flatnonzero(count[slot] >= least)
-        kinds, back, n = np.unique(pair[maybe], return_inverse=True, return_counts=True)
-        top = np.argsort(-n, kind="stable")[:rules_a_round]
-        top = top[n[top] >= least]
-        if not len(top):
-            break
-        rank = np.zeros(len(kinds), np.int64)
-        rank[top] = np.arange(len(top), 0, -1)
-        weight = np.zeros(len(seq) + 1, np.int64)  # weight[i + 1]: of the pair at i
-        weight[maybe + 1] = 2 * rank[back] + (maybe & 1) * (rank[back] > 0)
-        at = np.flatnonzero((weight[1:-1] > weight[:-2]) & (weight[1:-1] > np.r_[weight[2:-1], 0]))
-        number = np.full(len(kinds), -1, np.int64)
-        number[top] = symbol + np.arange(len(top))
-        seq[at] = number[np.searchsorted(kinds, pair[at])]
-        seq = np.delete(seq, at + 1)
-        rules.append(np.stack([kinds[top] >> 32, kinds[top] & 0xFFFFFFFF], 1))
-        symbol += len(top)
+    seq, rules = ids.astype(np.int32), []
+    closed = np.zeros(first_symbol, bool)  # symbols whose last id is end_id
+    closed[end_id] = True
+    bound, salt = max(least, len(seq) // FALL), 0
+    asked = None  # all places
+    while True:
+        a, b = (seq[:-1], seq[1:]) if asked is None else (seq[asked], seq[asked + 1])
+        places, back, pairs, most = kinds_of(a, b, ~closed[a], bound, salt)
+        wanted = np.bincount(back[back >= 0], minlength=len(pairs)) >= bound
+        hit = (back >= 0) & wanted[back]
+        if not hit.any():
+            if bound > least:
+                bound = max(least, min(bound, most) // FALL)
+            elif salt is None or not len(places):
+                break
+            else:
+                salt = None  # no slot stands for a frequent pair: look at all of them
+            continue
+        maybe = places if asked is None else asked[places]
+        n = np.bincount(back[hit], minlength=len(pairs))
+        at, back = maybe[hit], back[hit]
+        weight = (((n[back] << 32) + back) << 1) + (at & 1)
+        near = np.diff(at) == 1
+        after, before = np.r_[np.where(near, weight[1:], 0), 0], np.r_[0, np.where(near, weight[:-1], 0)]
+        wins = (weight > before) & (weight > after)
+        at, back = at[wins], back[wins]
+        number = np.zeros(len(pairs), np.int32)
+        number[back] = 1
+        used = np.flatnonzero(number)
+        number[used] = len(closed) + np.arange(len(used))
+        seq[at] = number[back]
+        stays = np.ones(len(seq), bool)
+        stays[at + 1] = False
+        seq = seq[stays]
+        made = np.stack([pairs[used] >> 32, pairs[used] & 0xFFFFFFFF], 1)
+        rules.append(made)
+        closed = np.r_[closed, closed[made[:, 1]]]
+        if bound == least:
+            # pairs with a new symbol, or frequent and not replaced: no other can still be frequent
+            gone, new = at + 1, at - np.arange(len(at))
+            behind = np.searchsorted(gone, maybe)
+            left = (maybe - behind)[gone[np.minimum(behind, len(gone) - 1)] != maybe]
+            flag = np.zeros(len(seq) + 1, bool)
+            flag[np.concatenate([new, left])] = True
+            flag[new - 1] = True  # place -1 is the spare one
+            asked = np.flatnonzero(flag[: len(seq) - 1])
+        else:
+            bound = max(least, bound // FALL)
+        salt = 0 if salt is None else salt + 1
     return (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)), seq
 
 
@@ -65,30 +112,25 @@ def expansion_lengths(rules: np.ndarray, first_symbol: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def strung(symbols: np.ndarray, flat: np.ndarray, begin: np.ndarray, lengths: np.ndarray, first_symbol: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, how many of each symbol), from the expansions of rules in flat."""
+    inner = symbols >= first_symbol
+    size, base = np.ones(len(symbols), np.int64), np.zeros(len(symbols), np.int64)
+    size[inner], base[inner] = lengths[symbols[inner] - first_symbol], begin[symbols[inner] - first_symbol]
+    out, many = np.repeat(symbols, size), np.repeat(inner, size)
+    out[many] = flat[gathered(base, size)[many]]
+    return out, size
+
+
 def expand(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first_symbol: int) -> np.ndarray:
-    """The ids of a sequence of symbols."""
+    """The ids of a sequence of symbols. Rules are expanded by length: their parts are shorter."""
     begin = np.cumsum(lengths) - lengths
     flat = np.empty(int(lengths.sum()), np.int64)
-    for i, pair in enumerate(rules.tolist()):
-        at = begin[i]
-        for x in pair:
-            if x < first_symbol:
-                flat[at] = x
-                at += 1
-            else:
-                n = lengths[x - first_symbol]
-                flat[at : at + n] = flat[begin[x - first_symbol] : begin[x - first_symbol] + n]
-                at += n
-    inner = seq >= first_symbol
-    size = np.ones(len(seq), np.int64)
-    size[inner] = lengths[seq[inner] - first_symbol]
-    out = np.repeat(seq, size)
-    many = np.repeat(inner, size)
-    base = np.zeros(len(seq), np.int64)
-    base[inner] = begin[seq[inner] - first_symbol]
-    within = np.arange(len(out)) - np.repeat(np.cumsum(size) - size, size)
-    out[many] = flat[(np.repeat(base, size) + within)[many]]
-    return out
+    order = np.argsort(lengths, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
+        if len(some):
+            flat[gathered(begin[some], lengths[some])] = strung(rules[some].ravel(), flat, begin, lengths, first_symbol)[0]
+    return strung(seq, flat, begin, lengths, first_symbol)[0]
 
 
 def document(shard: dict, index: int) -> np.ndarray:
@@ -97,14 +139,20 @@ def document(shard: dict, index: int) -> np.ndarray:
     rules = np.frombuffer(shard["rules"], np.int32).reshape(-1, 2).astype(np.int64)
     lengths = np.frombuffer(shard["rule_lengths"], np.int32).astype(np.int64)
     seq = np.frombuffer(shard["body"], np.int32).astype(np.int64)
-    sizes = np.asarray(shard["n_tokens"], np.int64)
-    start, stop = int(sizes[:index].sum()), int(sizes[: index + 1].sum())
     size = np.ones(len(seq), np.int64)
-    inner = seq >= first
-    size[inner] = lengths[seq[inner] - first]
+    size[seq >= first] = lengths[seq[seq >= first] - first]
     ends = np.cumsum(size)
-    low, high = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
-    return expand(seq[low:high], rules, lengths, first)
+    stop = np.cumsum(np.asarray(shard["n_tokens"], np.int64))
+    low = np.searchsorted(ends, stop[index - 1], "right") if index else 0
+    todo = seq[low : np.searchsorted(ends, stop[index]) + 1][::-1].tolist()
+    out = []
+    while todo:
+        x = todo.pop()
+        if x < first:
+            out.append(x)
+        else:
+            todo += rules[x - first][::-1].tolist()
+    return np.array(out, np.int64)
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shard_ids: int = 1 << 20, first_symbol: int = 1 << 17) -> None:
@@ -179,6 +227,22 @@ def read_ids(shards: DataFrame, with_ids: bool = False) -> DataFrame:
     return shards.mapInArrow(run, f"doc_id {kind}, part int, seq int, at long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))
 
 
+def fetch(shards: DataFrame, doc_ids: list) -> DataFrame:
+    """(doc_id, ids) of the documents named in a bounded list, each found and expanded on its own."""
+    kind = dict(shards.dtypes)["doc_ids"][6:-1]
+    wanted = set(doc_ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                found = [(d, document(row, k)) for k, d in enumerate(row["doc_ids"]) if d in wanted]
+                id_type = b.schema.field("doc_ids").type.value_type
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], id_type), pa.array([x.astype(np.int32) for _, x in found], pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    some = shards.where(F.arrays_overlap("doc_ids", F.array(*(F.lit(d).cast(kind) for d in doc_ids))))
+    return some.mapInArrow(run, f"doc_id {kind}, ids array<int>")
+
+
 def shard_starts(shards: DataFrame) -> DataFrame:
     """(part, seq, shard_start): ids in all shards before; the unsplit window is over parts only."""
     sizes = shards.select("part", "seq", "n_ids")
