@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from defect_spark.llm.byte_bpe import encoder
+from defect_spark.llm.byte_bpe import encoder, gathered
 from defect_spark.llm.common import pairs_of
 
 RULES = ("majority", "start", "split")
@@ -40,13 +40,17 @@ def attribute(spans: np.ndarray, bounds: np.ndarray, rule: str) -> np.ndarray:
     if rule == "start":
         return np.bincount(first, minlength=sections).astype(float)
     out = np.bincount(first[first == last], minlength=sections).astype(float)
-    for at in np.flatnonzero(first != last):
-        touched = np.arange(first[at], last[at] + 1)
-        shares = np.minimum(bounds[touched + 1], end[at]) - np.maximum(bounds[touched], start[at])
+    cross = np.flatnonzero(first != last)
+    if len(cross):
+        # a row for each section that a crossing token touches
+        n = last[cross] - first[cross] + 1
+        token, touched = np.repeat(cross, n), gathered(first[cross], n)
+        shares = np.minimum(bounds[touched + 1], end[token]) - np.maximum(bounds[touched], start[token])
         if rule == "split":
-            out[touched] += shares / shares.sum()
-        else:
-            out[touched[int(np.argmax(shares))]] += 1
+            return out + np.bincount(touched, shares / (end - start)[token], sections)
+        most = np.repeat(np.maximum.reduceat(shares, np.cumsum(n) - n), n)
+        best = np.flatnonzero(shares == most)
+        out += np.bincount(touched[best[np.unique(token[best], return_index=True)[1]]], minlength=sections)
     return out
 
 
