@@ -1,31 +1,53 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton holds the words of its labelled texts. A text is parsed
-word by word into longest matches of an automaton; the language with the fewest phrases per
-character wins. A word's phrase counts are found once per worker (a bounded memo).
+For each language a suffix automaton holds a sample of its labelled texts. A whole text is parsed
+from left to right into longest matches of an automaton (a byte that the automaton doesn't know
+is a phrase of its own); the language with the fewest normalised phrases wins. Texts and samples
+are lower-cased, anything but letters becomes one space, and UTF-8 bytes are the symbols. With n
+bytes of sample and m of text, c phrases mean an estimated cross entropy of c * log2(n) / m bits
+a byte, which is what languages are compared by.
+
+An automaton becomes one table: the entry of a state and a byte has the next state and whether a
+phrase begins there. Texts of a batch are parsed side by side, a byte of each at a time; the few
+longest ones are finished one by one.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from defect_spark.llm.byte_bpe import Memo
 from defect_spark.llm.common import pairs_of
 
 UNDETERMINED = "und"
+#: ASCII bytes that are not letters to spaces; the bytes of other characters stay.
+LETTER_BYTES = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
+#: Texts that are parsed together, in bytes; fewer than FEW are parsed one by one.
+BATCH, FEW = 4 << 20, 32
+
+
+def letters_of(text: str | None) -> bytes:
+    """The lower-cased words of a text between single spaces, as UTF-8; empty without letters."""
+    text = (text or "").lower()
+    if not text.isascii():
+        odd = [c for c in set(text) if c > "\x7f" and not c.isalpha()]
+        if odd:
+            text = text.translate(dict.fromkeys(map(ord, odd), " "))
+    bare = b" ".join(text.encode().translate(LETTER_BYTES).split())
+    return b" " + bare + b" " if bare else b""
 
 
 class SuffixAutomaton:
-    """All substrings of a text; a state is a dict of its transitions."""
+    """All substrings of a sequence; a state is a dict of its transitions."""
 
-    def __init__(self, text: str):
-        self.next: list[dict[str, int]] = [{}]
+    def __init__(self, text):
+        self.next: list[dict] = [{}]
         link, length = [-1], [0]
         last = 0
         for c in text:
@@ -52,104 +74,170 @@ class SuffixAutomaton:
                     link[q] = link[new] = copy
             last = new
 
-    def phrases(self, word: str) -> int:
-        """How many longest matches make up the word; an unknown character is a phrase."""
-        count, at, n, states = 0, 0, len(word), self.next
-        while at < n:
-            state, begin = 0, at
-            while at < n:
-                to = states[state].get(word[at])
-                if to is None:
-                    break
-                state = to
-                at += 1
-            at += at == begin
-            count += 1
+
+    def phrases(self, text) -> int:
+        """How many longest matches make up the text; an unknown symbol is a phrase."""
+        count, state = 0, 0
+        for c in text:
+            to = self.next[state].get(c)
+            count += to is None or state == 0
+            state = self.next[0].get(c, 0) if to is None else to
         return count
 
 
 class CrossParser:
-    """The automata of all languages, built from their words; made once per worker."""
-
-    def __init__(self, words: dict[str, str], memo: int = 200_000):
-        self.langs = sorted(words)
-        self.automata = [SuffixAutomaton(f" {words[k]} ") for k in self.langs]
-        self.memo = Memo(memo)
-
-    def word(self, word: str) -> tuple[tuple[int, ...], int] | None:
-        """Phrases in each language and length of a word; None if it has no letter."""
-        bare = "".join(c if c.isalpha() else " " for c in word).split()
-        if not bare:
-            return None
-        padded = [f" {w} " for w in bare]
-        return tuple(sum(a.phrases(w) for w in padded) for a in self.automata), sum(map(len, padded))
-
-    def text(self, text: str | None) -> tuple[str, float]:
-        """(language, score). The score is the winner's lead over the next, 0 to 1; 1 if there is no other."""
-        total, size = np.zeros(len(self.langs)), 0
-        for word, times in Counter((text or "").lower().split()).items():
-            found = self.memo.get(word)
-            if found is None:
-                found = self.word(word) or ()
-                self.memo.put(word, found)
-            if found:
-                total += np.multiply(found[0], times)
-                size += found[1] * times
-        if not size or not len(total):
-            return UNDETERMINED, 0.0
-        per_char = total / size
-        order = np.argsort(per_char, kind="stable")
-        if len(order) == 1:
-            return self.langs[0], 1.0
-        return self.langs[order[0]], float(1 - per_char[order[0]] / per_char[order[1]])
-
-
-def learn(docs: DataFrame, rows_a_language: int = 400, words_a_language: int = 8000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
-    """The words of each language, joined by spaces, from a bounded sample of labelled rows.
-
-    The sample has the ``rows_a_language`` rows with the smallest hashes of doc_id; of their
-    words the ``words_a_language`` commonest that are more frequent there than in any other
-    language's rows. Null languages are left out.
+    """The automata of all languages as one table, built from their samples; made once per worker."""
+
+    def __init__(self, learned: dict[str, str]):
+        self.langs = sorted(learned)
+        samples = [letters_of(learned[k]) for k in self.langs]
+        self.bits = np.log2([max(2, len(s)) for s in samples])
+        known = sorted(set(b"".join(samples)))
+        self.code = np.zeros(256, np.uint8)  # 0: in no sample
+        self.code[known] = np.arange(1, len(known) + 1)
+        self.width = len(known) + 1
+        tables, rows = [], 0
+        self.roots = []
+        for sample in samples:
+            states = SuffixAutomaton(self.code[np.frombuffer(sample, np.uint8)].tolist()).next
+            base = rows * self.width
+            self.roots.append(base)
+            # from any state a byte that doesn't go on begins a phrase, as from the root
+            root = np.full(self.width, base << 1 | 1, np.int64)
+            for c, to in states[0].items():
+                root[c] = (base + to * self.width) << 1 | 1
+            table = np.tile(root, (len(states), 1))
+            at = np.repeat(np.arange(1, len(states)), [len(s) for s in states[1:]])
+            cs = np.fromiter((c for s in states[1:] for c in s), np.int64, len(at))
+            table[at, cs] = (base + np.fromiter((to for s in states[1:] for to in s.values()), np.int64, len(at)) * self.width) << 1
+            tables.append(table.ravel())
+            rows += len(states)
+        table = np.concatenate(tables) if tables else np.zeros(0, np.int64)
+        self.table = table.astype(np.int32) if rows * self.width < 1 << 30 else table
+        self.one_by_one = memoryview(self.table)
+
+    def phrases(self, texts: list[bytes]) -> np.ndarray:
+        """How many longest matches make up each text, in each language."""
+        count = np.zeros((len(texts), len(self.langs)), np.int64)
+        if not self.langs or not texts:
+            return count
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        order = np.argsort(-size, kind="stable")
+        codes = self.code[np.frombuffer(b"".join(texts), np.uint8)].astype(self.table.dtype)
+        at = (np.cumsum(size) - size)[order]
+        size = size[order]
+        state = np.tile(np.array(self.roots, self.table.dtype), (len(texts), 1))
+        made = np.zeros_like(state)
+        step, here = np.empty_like(state), np.empty(len(texts), self.table.dtype)
+        live = len(texts) - np.searchsorted(size[::-1], np.arange(size[0]), "right")  # texts longer than t
+        done = 0
+        for done, n in enumerate([*live.tolist(), 0]):
+            if n < FEW:
+                break
+            np.take(codes, at[:n], out=here[:n], mode="clip")
+            np.add(state[:n], here[:n, None], out=step[:n])
+            np.take(self.table, step[:n], out=state[:n], mode="clip")
+            np.bitwise_and(state[:n], 1, out=step[:n])
+            made[:n] += step[:n]
+            state[:n] >>= 1
+            at[:n] += 1
+        for k in range(int(np.sum(size > done))):
+            rest = codes[at[k] : at[k] + size[k] - done].tolist()
+            for j in range(len(self.langs)):
+                s, n, table = int(state[k, j]), 0, self.one_by_one
+                for c in rest:
+                    s = table[s + c]
+                    n += s & 1
+                    s >>= 1
+                made[k, j] += n
+        count[order] = made
+        return count
+
+    def judged(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(languages, scores, whether there are letters)."""
+        bare = list(map(letters_of, texts))
+        size = np.fromiter(map(len, bare), np.int64, len(bare))
+        if not self.langs:
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts)), size > 0
+        entropy = self.phrases(bare) * self.bits / np.maximum(size, 1)[:, None]
+        best = np.argmin(entropy, axis=1)
+        score = np.ones(len(texts))
+        if len(self.langs) > 1:
+            two = np.partition(entropy, 1, axis=1)
+            score = 1 - two[:, 0] / np.maximum(two[:, 1], 1e-300)
+        langs = [self.langs[k] if n else UNDETERMINED for k, n in zip(best.tolist(), size.tolist())]
+        return langs, np.where(size > 0, score, 0.0), size > 0
+
+
+def learn(docs: DataFrame, rows_a_language: int = 100, bytes_a_language: int = 64_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
+    """The sample of each language, its whole texts joined by spaces.
+
+    It is drawn from the ``rows_a_language`` labelled rows with the smallest hashes: in that
+    order each text whose letters still fit into ``bytes_a_language`` is taken, and if none does
+    the shortest. Null languages and texts without letters are left out.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null")
-    order = Window.partitionBy("lang").orderBy("h")
-    ranked = docs.select("lang", F.xxhash64("doc_id").alias("h")).withColumn("k", F.row_number().over(order)).where(f"k <= {rows_a_language}")
-    cuts = F.broadcast(ranked.groupBy("lang").agg(F.max("h").alias("cut")))
-    chosen = docs.join(cuts, "lang").where(F.xxhash64("doc_id") <= F.col("cut")).select("lang", F.explode(F.split(F.lower("text"), r"\P{L}+")).alias("word")).where("word <> ''")
-    counts = chosen.groupBy("lang", "word").agg(F.count("*").alias("n"))
-    totals = F.broadcast(counts.groupBy("lang").agg(F.sum("n").alias("all")))
-    shares = counts.join(totals, "lang").withColumn("share", F.col("n") / F.col("all"))
-    own = shares.withColumn("most", F.max("share").over(Window.partitionBy("word"))).where("share = most")
-    top = own.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(f"k <= {words_a_language}")
-    out: dict[str, list[str]] = {}
-    for r in top.select("lang", "word").orderBy("lang", "word").collect():
-        out.setdefault(r.lang, []).append(r.word)
-    return {k: " ".join(v) for k, v in out.items()}
-
-
-_made: dict[int, CrossParser] = {}
-
-
-def identify(docs: DataFrame, words: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of every text.
-
-    ``und`` with score 0 if the text is null or has no letters, or nothing was learned. Equal
-    phrase counts go to the language that comes first by name. Rows come out as they come in,
-    repeats and all; an empty table gives an empty result; other columns are ignored.
+    docs = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    # by leading zeros of the hash: the levels above the cut hold enough rows, and not twice as many
+    level = (64 - F.length(F.bin("h"))).alias("level")
+    levels = docs.groupBy("lang", level).agg(F.count("*").alias("n"))
+    down = Window.partitionBy("lang").orderBy(F.desc("level"))
+    cuts = levels.select("lang", "level", (F.sum("n").over(down) - F.col("n")).alias("above")).where(F.col("above") < rows_a_language).groupBy("lang").agg(F.min("level").alias("cut"))
+    some = docs.join(F.broadcast(cuts), "lang").where(level >= F.col("cut"))  # one row a language
+    first = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(level), "h", "text"))).where(F.col("k") <= rows_a_language)
+    texts: dict[str, list[str]] = {}
+    for r in first.select("lang", "k", "text").orderBy("lang", "k").toLocalIterator():
+        texts.setdefault(r.lang, []).append(letters_of(r.text).decode().strip())
+    out = {}
+    for lang, found in texts.items():
+        taken, held = [], 0
+        for t in found:
+            if held + len(t.encode()) + 1 <= bytes_a_language:
+                taken.append(t)
+                held += len(t.encode()) + 1
+        out[lang] = " ".join(taken or [min(found, key=len)])
+    return out
+
+
+_made: tuple[dict, CrossParser] | None = None
+
+
+def parser_for(learned: dict[str, str]) -> CrossParser:
+    global _made
+    if _made is None or _made[0] != learned:
+        _made = (learned, CrossParser(learned))
+    return _made[1]
+
+
+def with_language(docs: DataFrame, learned: dict[str, str], text_col: str = "text") -> DataFrame:
+    """docs with lang_pred, score and has_letters.
+
+    ``und`` with score 0 if the text is null or has no letters, or nothing was learned. The score
+    is the winner's lead in entropy over the next, 0 to 1; 1 if there is no other. Equal entropies
+    go to the language that comes first by name. Rows come out as they come in, repeats and all;
+    an empty table gives an empty result; other columns come along, ones with those three names
+    are replaced.
     """
-    learned = docs.sparkSession.sparkContext.broadcast(words)
+    shared = docs.sparkSession.sparkContext.broadcast(learned)
+    new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("has_letters", T.BooleanType())]
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in {f.name for f in new}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = _made.get(hash(tuple(learned.value.items())))
-        if parser is None:
-            _made.clear()
-            parser = _made[hash(tuple(learned.value.items()))] = CrossParser(learned.value)
+        parser = parser_for(shared.value)
         for b in batches:
-            made = [parser.text(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], ["doc_id", "lang_pred", "score"])
+            text = b.column(b.schema.get_field_index(text_col))
+            cost = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)) // BATCH
+            cuts = [0, *(np.flatnonzero(np.diff(cost)) + 1).tolist(), b.num_rows]
+            for low, high in zip(cuts, cuts[1:]):
+                part = b.slice(low, high - low)
+                langs, score, letters = parser.judged(text.slice(low, high - low).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(score), pa.array(letters)], [*b.schema.names, *(f.name for f in new)])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *new]))
+
 
-    docs = pairs_of(docs, id_col, text_col)
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
+def identify(docs: DataFrame, learned: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score) of every text; see with_language."""
+    return with_language(pairs_of(docs, id_col, text_col), learned).select("doc_id", "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id"):
