@@ -3,23 +3,28 @@
 Words are the alphabet. For each pattern length the shift table maps a block (the last two
 words under the search window) to how far the window may jump; a block that ends some pattern
 has shift 0 and leads to its suffix bucket, where the first word picks candidates and a direct
-comparison confirms them. Texts are scanned whole, in place; nothing is shuffled. Patterns are
-broadcast in shards of bounded size, and a larger benchmark takes several scans.
+comparison confirms them. Texts are scanned whole, in place; nothing is shuffled. Item texts are
+broadcast, and each worker makes its own tables of them. A benchmark over the bound is cut to
+shards with a scan each, one after another; a scan writes what it found in the few documents with
+hits, and these are joined in the end.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from defect_spark.llm.common import LOWER, UPPER, pairs_of
+from defect_spark.llm.common import LOWER, UPPER, checkpointed, pairs_of
 
 #: Upper case to lower case; every other ASCII byte but letters and digits to a space.
 WORD_BYTES = bytes(ord(chr(c).lower()) if chr(c) in UPPER else c if c > 127 or chr(c).isdigit() or chr(c) in LOWER else 32 for c in range(256))
-SPANS = "doc_id {id}, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
+SPANS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -68,7 +73,7 @@ class LengthClass:
             end += 1
 
 
-def build(rows: Iterator, window: int) -> list[LengthClass]:
+def build(rows: list[tuple], window: int) -> list[LengthClass]:
     """Classes from (item_id, text) rows; an item of fewer than ``window`` words is one pattern."""
     classes: dict[int, LengthClass] = {}
     for item, text in rows:
@@ -89,50 +94,90 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_items(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_mb: int = 8) -> DataFrame:
-    """(doc_id, n_words, spans, items): word spans of docs inside windows of items, item ids sorted.
+_built: tuple[str, list[LengthClass]] = ("", [])
 
-    A window is ``window`` consecutive words of an item; an item of fewer words, but not none,
-    is one window. Words are runs of digits, letters (A-Z lower-cased) and non-ASCII characters.
-    spans are disjoint, in order, end excluded. Null texts have no words; a null item_id is
-    listed as ''. Repeated rows and items are returned and searched as they come; an empty items
-    table gives no spans, an empty docs table no rows; other columns are ignored. At most
-    ``shard_mb`` MB of item texts are broadcast at a time (a single longer item is a shard).
-    """
-    spark = docs.sparkSession
-    items = items.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text"))
-    held = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-held // (shard_mb << 20)))
-    kind = dict(docs.dtypes)[id_col]
-    df = pairs_of(docs, id_col, text_col)
-    for shard in range(shards):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard)
-        classes = spark.sparkContext.broadcast(build(part.toLocalIterator(), window))
-        df = df.mapInArrow(scanner(classes, shard == 0, shard == shards - 1), SPANS.format(id=kind) + ("" if shard == shards - 1 else ", text string"))
-    return df
+
+def classes_for(token: str, rows: list[tuple], window: int) -> list[LengthClass]:
+    """The tables of a shard of items, made once per worker; only the last shard's are kept."""
+    global _built
+    if _built[0] != token:
+        _built = (token, build(rows, window))
+    return _built[1]
 
 
-def scanner(classes, first: bool, last: bool):
+def scanned(docs: DataFrame, rows: list[tuple], window: int, text_col: str) -> DataFrame:
+    """docs with n_words, spans and items for a shard of (item_id, text) rows."""
+    shared, token = docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = classes_for(token, shared.value, window)
         for b in batches:
             counts, all_spans, all_items = [], [], []
-            for i, text in enumerate(b.column("text")):
+            for text in b.column(b.schema.get_field_index(text_col)):
                 words = words_of(text.as_py())
-                spans = [] if first else [(s["start"], s["end"]) for s in b.column("spans")[i].as_py()]
-                found: set[str] = set() if first else set(b.column("items")[i].as_py())
-                for c in classes.value:
+                spans: list[tuple[int, int]] = []
+                found: set[str] = set()
+                for c in classes:
                     mine: list[tuple[int, int]] = []
                     c.scan(words, mine, found)
                     spans += mine
                 counts.append(len(words))
                 all_spans.append([{"start": s, "end": e} for s, e in merged(spans)])
                 all_items.append(sorted(found))
-            out = [b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(all_spans, span_type), pa.array(all_items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(out + ([] if last else [b.column("text")]), ["doc_id", "n_words", "spans", "items"] + ([] if last else ["text"]))
+            new = [pa.array(counts, pa.int64()), pa.array(all_spans, span_type), pa.array(all_items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *SPANS.names])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *SPANS.fields]))
+
+
+def merged_spans(spans: Column) -> Column:
+    """Sorted spans of several scans as disjoint ones."""
 
-    return run
+    def add(out: Column, s: Column) -> Column:
+        last = F.element_at(out, -1)
+        joined = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
+        return F.when((F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["end"] >= s["start"]), joined).otherwise(F.concat(out, F.array(s)))
+
+    return F.aggregate(F.sort_array(spans), F.slice(spans, 1, 0), add)
+
+
+def with_items(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_mb: float = 8) -> DataFrame:
+    """docs with n_words, spans and items: word spans inside windows of items, and the items' ids, sorted.
+
+    A window is ``window`` consecutive words of an item; an item of fewer words, but not none,
+    is one window. Words are runs of digits, letters (A-Z lower-cased) and non-ASCII characters.
+    spans are disjoint, in order, end excluded. Null texts have no words; a null item_id is
+    listed as ''. Repeated rows and items are returned and searched as they come; an empty items
+    table gives no spans, an empty docs table no rows; other columns come along, ones with those
+    three names are replaced. At most ``shard_mb`` MB of item texts are broadcast at a time (a
+    single longer item is a shard).
+    """
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in SPANS.names))
+    items = items.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text"))
+    held = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, math.ceil(held / (shard_mb * (1 << 20))))
+    part = lambda k: [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).toLocalIterator()]
+    if shards == 1:
+        return scanned(docs, part(0), window, text_col)
+    # equal texts have equal hits, so these are keyed by the text
+    key = [F.xxhash64(text_col).alias("k1_"), F.xxhash64(F.lit(1), text_col).alias("k2_")]
+    texts = docs.select(F.col(text_col).alias("text"))
+    hits = None
+    for k in range(1, shards):
+        found = scanned(texts, part(k), window, "text").where(F.size("spans") > 0)
+        found = checkpointed(found.select(F.xxhash64("text").alias("k1_"), F.xxhash64(F.lit(1), "text").alias("k2_"), F.col("spans").alias("s_"), F.col("items").alias("i_")).dropDuplicates(["k1_", "k2_"]))
+        hits = found if hits is None else hits.unionByName(found)
+    more = hits.groupBy("k1_", "k2_").agg(F.flatten(F.collect_list("s_")).alias("s_"), F.flatten(F.collect_list("i_")).alias("i_"))
+    both = scanned(docs, part(0), window, text_col).select("*", *key).join(more, ["k1_", "k2_"], "left")
+    spans = F.when(F.col("s_").isNull(), F.col("spans")).otherwise(merged_spans(F.concat("spans", "s_")))
+    names = F.when(F.col("i_").isNull(), F.col("items")).otherwise(F.array_sort(F.array_distinct(F.concat("items", "i_"))))
+    return both.select(*(F.col(f"`{c}`") for c in docs.columns), "n_words", spans.alias("spans"), names.alias("items"))
+
+
+def find_items(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_mb: float = 8) -> DataFrame:
+    """(doc_id, n_words, spans, items) of every document; see with_items."""
+    return with_items(pairs_of(docs, id_col, text_col), items, window, "text", item_col, item_text_col, shard_mb).select("doc_id", "n_words", "spans", "items")
 
 
 def digest(found: DataFrame) -> DataFrame:
