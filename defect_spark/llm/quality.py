@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from defect_spark.llm.common import UPPER, bound
+from defect_spark.llm.common import UPPER, bound, pairs_of
 
 SPACES = "\t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -156,13 +156,16 @@ def learn(values: dict[str, np.ndarray], bad: np.ndarray, most_rules: int = 8, m
     return rules
 
 
-def fit(stats: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> list[Rule]:
-    """Rules from at most ``most_rows`` labelled rows, those with the smallest hash of doc_id.
+def chosen_labels(labels: DataFrame, most_rows: int) -> DataFrame:
+    """(doc_id, quality) of at most ``most_rows`` labelled rows, those with the smallest hash of doc_id."""
+    return labels.where("quality is not null and doc_id is not null").select("doc_id", "quality").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most_rows)
 
-    labels has (doc_id, quality), 1 for good; null labels are left out. Without labelled bad
-    rows there are no rules and everything is kept.
+
+def fit(stats: DataFrame, wanted: DataFrame) -> list[Rule]:
+    """Rules from the statistics of labelled rows (doc_id, quality), quality 1 for good.
+
+    Without labelled bad rows there are no rules and everything is kept.
     """
-    wanted = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most_rows)
     rows = with_features(stats).join(wanted, "doc_id").where("n_words >= 20").select("quality", *FEATURES).collect()
     rows.sort()
     if not rows:
@@ -186,8 +189,24 @@ def apply_rules(stats: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Statistics and verdicts of all docs by rules learned from labels; see statistics, fit and apply_rules."""
-    wanted = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most_rows)
-    some = docs.join(F.broadcast(wanted.select("doc_id").distinct()), docs[id_col] == F.col("doc_id"), "left_semi") if id_col != "doc_id" else docs.join(F.broadcast(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
-    rules = fit(statistics(some, id_col, text_col), labels, most_rows)
-    return apply_rules(statistics(docs, id_col, text_col), rules)
+    """Statistics and verdicts of all docs by rules learned from at most ``most_rows`` rows of labels.
+
+    labels has (doc_id, quality); null ones are left out. See statistics, fit and apply_rules for
+    nulls, repeats and ties; empty docs give no rows; other columns are ignored.
+    """
+    docs = pairs_of(docs, id_col, text_col)
+    wanted = chosen_labels(labels, most_rows)
+    some = docs.join(F.broadcast(wanted.select("doc_id").distinct()), "doc_id", "left_semi")  # most_rows ids
+    return apply_rules(statistics(docs), fit(statistics(some), wanted))
+
+
+#: The base columns in DuckDB's SQL, to test statistics by.
+BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n FROM d),
+p AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+t AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS n FROM p) WHERE n > 1),
+r AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS k FROM t) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(l.n AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)
+"""
