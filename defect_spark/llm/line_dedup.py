@@ -1,16 +1,17 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions only.
 
 A window is the shortest stretch of lines with ``min_words`` words from a line on, or up to a
-line. Its smallest line hash is its fingerprint, so two copies of a run of that many words
-choose the same fingerprints at the same places. Positions whose fingerprint occurs once are
-dropped; for the others the windows around the position extend the match both ways and are
-compared as wholes. The first place of a window in (doc_id, text, line) order stays; the lines
-of all later places go. Neighbouring windows join to whole repeated runs of any length.
+line. The line with its smallest hash is its fingerprint, so two copies of a run of that many
+words choose the same fingerprints at the same places. Fingerprints are (hash, document, line);
+only a hash found at two places or more can begin a match, and the windows around the others are
+dropped. The windows around a place extend its match line by line, those from a line on to the
+left and those up to a line to the right, and are compared as wholes by 128 bits of hashes. The
+first place of a window in (doc_id, text, line) order stays; later ones go, joined to whole runs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from defect_spark.llm.common import bound, checkpointed, same, text_key
@@ -22,49 +23,65 @@ def trimmed(line: Column) -> Column:
     return F.trim(F.translate(line, SPACES, " " * len(SPACES)))
 
 
-def lines_of(text: Column) -> Column:
-    """array<struct<h, n, at>>: hash, words and number of each line that has a word."""
-    cells = F.transform(F.split(text, "\n"), lambda x, k: F.struct(trimmed(x).alias("x"), k.alias("at")))
-    full = F.filter(cells, lambda c: c["x"] != "")
-    return F.transform(full, lambda c: F.struct(F.xxhash64(c["x"]).alias("h"), F.size(F.array_remove(F.split(c["x"], " "), "")).alias("n"), c["at"].alias("at")))
+def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, key, at, h, g, n): number, two hashes and words of each line that has a word; repeats of a row once."""
+    df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
+    rows = df.select("doc_id", text_key(F.col("text")).alias("key"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    rows = rows.withColumn("x", trimmed(F.col("line"))).where("x <> ''")
+    words = F.size(F.array_remove(F.split("x", " "), "")).cast("long")
+    rows = rows.select("doc_id", "key", "at", F.xxhash64("x").alias("h"), F.xxhash64(F.lit(1), "x").alias("g"), words.alias("n"))
+    return rows.repartition("doc_id", "key").dropDuplicates(["doc_id", "key", "at"])
+
+
+def window_rows(lines: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, key, print, spot, w, v, start, stop): fingerprint and its line, two hashes, first and last line of each window."""
+    own = Window.partitionBy("doc_id", "key")
+    upto = F.sum("n").over(own.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    rows = lines.select("*", upto.alias("upto"), F.sum("n").over(own).alias("total")).withColumn("before", F.col("upto") - F.col("n"))
+    line = F.collect_list(F.struct("h", "at", "g"))
+    rows = rows.select("*", line.over(own.orderBy("before").rangeBetween(0, min_words - 1)).alias("ahead"))
+    rows = rows.select("*", line.over(own.orderBy("upto").rangeBetween(1 - min_words, 0)).alias("back"))
+    whole = F.array(F.when(F.col("total") - F.col("before") >= min_words, F.col("ahead")), F.when(F.col("upto") >= min_words, F.col("back")))
+    rows = rows.select("doc_id", "key", F.explode(whole).alias("w")).where("w is not null")
+    least = F.array_min("w")
+    return rows.select("doc_id", "key", least["h"].alias("print"), least["at"].alias("spot"), F.xxhash64("w.h").alias("w"), F.xxhash64("w.g").alias("v"), F.get("w", F.lit(0))["at"].alias("start"), F.element_at("w", -1)["at"].alias("stop"))
+
+
+def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, key, runs): the disjoint (start, stop) line numbers to delete, in order, in each document that has any."""
+    windows = checkpointed(window_rows(line_rows(docs, id_col, text_col), min_words))
+    spot, place = F.struct("doc_id", "key", "spot"), F.struct("doc_id", "key", "start")
+    prints = windows.groupBy("print").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("print")
+    found = windows.join(prints, "print", "left_semi")
+    first = found.groupBy("w", "v").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("w", "v", "first")
+    later = found.join(first, ["w", "v"]).where(place > F.col("first"))
+    ends = later.groupBy("doc_id", "key", "start").agg(F.max("stop").alias("stop"))
+    own = Window.partitionBy("doc_id", "key")
+    down = own.orderBy("start")
+    reach = F.max("stop").over(down.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce(F.col("start") > reach + 1, F.lit(True)).cast("int")
+    numbered = ends.select("*", new.alias("new")).select("*", F.sum("new").over(down.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
+    runs = numbered.groupBy("doc_id", "key", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return runs.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("runs"))
 
 
-def window_spans(lines: Column, min_words: int) -> Column:
-    """array<struct<i, j>> over lines, 0-based, both ends included: windows from and up to each line."""
-    here = F.size(lines)
+def repeated_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, key, gone): the numbers of the lines to delete in each document that has any."""
+    gone = F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["stop"])))
+    return repeated_runs(docs, min_words, id_col, text_col).select("doc_id", "key", gone.alias("gone"))
 
-    def stretch(cells: Column) -> Column:
-        """How many of cells hold min_words words; 0 if all don't."""
-        state = F.struct(F.lit(0).alias("w"), F.lit(0).alias("k"))
-        end = F.aggregate(cells, state, lambda a, c: F.when(a["w"] >= min_words, a).otherwise(F.struct((a["w"] + c["n"]).alias("w"), (a["k"] + 1).alias("k"))))
-        return F.when(end["w"] >= min_words, end["k"]).otherwise(F.lit(0))
 
-    places = F.when(here > 0, F.sequence(F.lit(0), here - 1)).otherwise(F.array().cast("array<int>"))
-    ahead = F.transform(places, lambda i: F.struct(i.alias("i"), (i + stretch(F.slice(lines, i + 1, min_words)) - 1).alias("j")))
-    first = lambda j: F.greatest(F.lit(0), j + 1 - min_words)
-    back = F.transform(places, lambda j: F.struct((j + 1 - stretch(F.reverse(F.slice(lines, first(j) + 1, j - first(j) + 1)))).alias("i"), j.alias("j")))
-    return F.filter(F.array_union(ahead, back), lambda s: s["j"] >= s["i"])
+def without_runs(text: Column, runs: Column) -> Column:
+    """The lines of text before, between and after the runs."""
 
+    def kept(lines: Column) -> Column:
+        def piece(k: Column) -> Column:
+            begin = F.when(k == 0, F.lit(0)).otherwise(F.get(runs, k - 1)["stop"] + 1)
+            return F.slice(lines, begin + 1, F.coalesce(F.get(runs, k)["start"], F.size(lines)) - begin)
 
-def repeated_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, gone): the numbers of the lines to delete in each document that has any."""
-    df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    df = df.select("doc_id", text_key(F.col("text")).alias("key"), lines_of(F.col("text")).alias("lines"))
-    df = df.withColumn("spans", bound(F.col("lines"), lambda x: window_spans(x, min_words))).where(F.size("spans") > 0)
-
-    def cells(lines: Column) -> Column:
-        window = lambda s: F.transform(F.slice(lines, s["i"] + 1, s["j"] - s["i"] + 1), lambda c: c["h"])
-        return F.transform("spans", lambda s: F.struct(F.array_min(window(s)).alias("print"), F.xxhash64(window(s)).alias("whole"), F.get(lines, s["i"])["at"].alias("start"), F.get(lines, s["j"])["at"].alias("stop")))
-
-    windows = checkpointed(df.select("doc_id", "key", F.inline(bound(F.col("lines"), cells))))
-    # a fingerprint at one place only can't begin a match; windows of one place count once
-    place = F.struct("doc_id", "key", "start").alias("place")
-    prints = windows.groupBy("print").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("print")
-    found = windows.join(prints, "print")
-    first = found.groupBy("whole").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("whole", "first")
-    later = found.join(first, "whole").where(F.struct("doc_id", "key", "start") > F.col("first"))
-    ends = later.groupBy("doc_id", "key", "start").agg(F.max("stop").alias("stop"))
-    return ends.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", "stop")))).alias("gone"))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(runs)), piece))
+
+    return F.array_join(bound(F.split(text, "\n"), kept), "\n")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,15 +91,15 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     a word belong to no run and go only inside a deleted one. Runs may lie in one text or in two.
     Null texts stay null, texts without repeats stay as they are. Rows equal in id and text are
     one document: each keeps its first occurrences. An empty table gives an empty result. All
-    other columns come along; one called n_lines_removed is replaced.
+    other columns come along; one called n_lines_removed, in any case, is replaced.
     """
-    gone = repeated_lines(docs, min_words, id_col, text_col)
+    runs = repeated_runs(docs, min_words, id_col, text_col)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"))
-    both = rows.alias("a").join(gone.alias("b"), same("doc_id", "key"), "left").select("a.row", "b.gone")
-    kept = F.filter(F.split(F.col("row")[text_col], "\n"), lambda x, k: ~F.array_contains("gone", k))
-    text = F.when(F.col("gone").isNull(), F.col("row")[text_col]).otherwise(F.array_join(kept, "\n"))
-    columns = [text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c != "n_lines_removed"]
-    return both.select(*columns, F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_lines_removed"))
+    both = rows.alias("a").join(runs.alias("b"), same("doc_id", "key"), "left").select("a.row", "b.runs")
+    text = F.when(F.col("runs").isNull(), F.col("row")[text_col]).otherwise(without_runs(F.col("row")[text_col], F.col("runs")))
+    columns = [text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c.lower() != "n_lines_removed"]
+    removed = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"] + 1)
+    return both.select(*columns, F.coalesce(removed, F.lit(0).cast("long")).alias("n_lines_removed"))
 
 
 def digest(done: DataFrame) -> DataFrame:
