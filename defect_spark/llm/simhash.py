@@ -3,12 +3,14 @@
 A fingerprint is made from three-word shingles. Equal fingerprints are merged before any
 search, so a group of exact copies costs one point. The 64 bits are cut into bands; two
 fingerprints within ``radius`` bits differ in at most ``radius // bands`` bits of one band. For
-each band a vantage-point tree over a bounded sample deals the distinct fingerprints to shards by
-the band's Hamming distance to pivots; a fingerprint so close to a shard's boundary also queries
+each band a vantage-point tree over a sample deals the distinct fingerprints to shards by the
+band's Hamming distance to pivots; a fingerprint so close to a shard's boundary also queries
 that shard, so every linked pair meets where one of the two lives. With more bands than radius no
 boundary is crossed and a fingerprint costs one row a band at every size; whole fingerprints lie
-near all boundaries. Inside a shard the tree goes on, over the band and then over all bits, pruned
-by the triangle inequality, and only a spanning forest of the links leaves the shard.
+near all boundaries. A shard that a hot band value makes too large is dealt on by a second tree
+over all bits, where fingerprints within ``radius`` of a boundary query the leaf beyond it, and a
+leaf that stays too large is cut to blocks. Inside a group the tree goes on, over the band and then
+over all bits, pruned by the triangle inequality, and only a spanning forest of links leaves it.
 """
 
 from __future__ import annotations
@@ -36,8 +38,12 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
         shingles, n = [b" ".join(words)], 1
     else:
         shingles, n = map(b" ".join, zip(*(words[i:] for i in range(shingle)))), len(words) - shingle + 1
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), shingles), np.uint64, n)
-    ones = np.zeros(64, np.int64)
+    return majority(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), shingles), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
+    n, ones = len(hashes), np.zeros(64, np.int64)
     for at in range(0, n, BLOCK):
         bits = np.unpackbits(hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
@@ -186,20 +192,85 @@ def links_within(points: np.ndarray, home: np.ndarray, radius: int, mask: np.uin
     return forest.roots(np.arange(len(points)))
 
 
-def link_edges(points: DataFrame, radius: int = 3, shard_points: int = 16384, sample_points: int = 4096, bands: int | None = None) -> DataFrame:
+GROUP = ("band", "shard", "leaf", "home_block", "ask_block")
+
+
+def sampled(points: DataFrame, wanted: int, count: int) -> np.ndarray:
+    """About ``wanted`` of the fingerprints in column fp, chosen by hash."""
+    share = min(1.0, wanted / max(1, count))
+    some = points.where(F.xxhash64("fp") <= F.lit(int(share * ((1 << 63) - 1)) * 2 - (1 << 63) + 1)) if share < 1 else points
+    return np.array(sorted(r.fp for r in some.select("fp").collect()), np.int64).view(np.uint64)
+
+
+def split_shards(dealt: DataFrame, radius: int, shard_points: int, most_points: int) -> DataFrame:
+    """dealt with leaf: shards of over ``most_points`` rows are dealt on by a second tree over all bits.
+
+    A fingerprint within ``radius`` of a leaf's boundary also queries that leaf. Each such shard
+    has about two sample points a leaf on the driver, one for ``shard_points`` / 2 of its rows.
+    """
+    large = {(r.band, r.shard): r.n for r in dealt.groupBy("band", "shard").agg(F.count("*").alias("n")).where(F.col("n") > most_points).collect()}
+    trees = {}
+    for (band, shard), n in sorted(large.items()):
+        leaves = -(-n // shard_points)
+        here = dealt.where((F.col("band") == band) & (F.col("shard") == shard))
+        trees[band, shard] = VantageTree(sampled(here, 2 * leaves, n), leaves, np.uint64((1 << 64) - 1))
+    if not trees:
+        return dealt.select("band", "shard", F.lit(0).alias("leaf"), "fp", "home")
+    shared = dealt.sparkSession.sparkContext.broadcast(trees)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            band, shard, fps, home = (b.column(n).to_numpy(zero_copy_only=False) for n in ("band", "shard", "fp", "home"))
+            for key in sorted(set(zip(band.tolist(), shard.tolist()))):
+                rows = np.flatnonzero((band == key[0]) & (shard == key[1]))
+                tree = shared.value.get(key)
+                for leaf, at, own in tree.deal(fps[rows].view(np.uint64), radius) if tree else [(0, np.arange(len(rows)), np.ones(len(rows), bool))]:
+                    n, some = len(at), rows[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key[0], np.int32)), pa.array(np.full(n, key[1], np.int32)), pa.array(np.full(n, leaf, np.int32)), pa.array(fps[some]), pa.array(own & home[some])], ["band", "shard", "leaf", "fp", "home"])
+
+    return dealt.mapInArrow(deal, "band int, shard int, leaf int, fp long, home boolean")
+
+
+def in_blocks(dealt: DataFrame, shard_points: int, most_points: int) -> DataFrame:
+    """dealt with home_block and ask_block: what the trees leave too large becomes a grid of bounded groups.
+
+    The points at home in a leaf are cut to blocks, and so are all that query it; each pair of
+    blocks is a group. Copies are in proportion to the blocks.
+    """
+    counts = dealt.groupBy("band", "shard", "leaf").agg(F.count("*").alias("asks"), F.count_if("home").alias("homes")).where(F.col("asks") > most_points)
+    blocks = [(*r[:3], -(-r.homes // shard_points) or 1, -(-r.asks // shard_points)) for r in counts.collect()]
+    one = dealt.select("*", F.lit(0).alias("home_block"), F.lit(0).alias("ask_block"))
+    if not blocks:
+        return one
+    # a row for most_points dealt rows at most
+    grid = F.broadcast(dealt.sparkSession.createDataFrame(blocks, "band int, shard int, leaf int, nh int, na int"))
+    joined = dealt.join(grid, ["band", "shard", "leaf"], "left")
+    small = joined.where("nh is null").select("band", "shard", "leaf", "fp", "home", F.lit(0).alias("home_block"), F.lit(0).alias("ask_block"))
+    part = lambda n: F.pmod(F.xxhash64(F.lit("block"), "fp"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    large = joined.where("nh is not null")
+    homes = large.where("home").select("band", "shard", "leaf", "fp", "home", part("nh").alias("home_block"), every("na").alias("ask_block"))
+    asks = large.select("band", "shard", "leaf", "fp", F.lit(False).alias("home"), every("nh").alias("home_block"), part("na").alias("ask_block"))
+    return small.unionByName(homes).unionByName(asks)
+
+
+def link_edges(points: DataFrame, radius: int = 3, shard_points: int = 16384, bands: int | None = None, most_points: int | None = None) -> DataFrame:
     """(u, v), u > v: spanning forests of all links between the distinct longs in column fp.
 
-    The trees are fitted on at most ``sample_points`` fingerprints, the ones with the smallest
-    hashes; every fingerprint is dealt and searched. bands is radius + 1 unless given.
+    A tree has a shard for ``shard_points`` fingerprints and is fitted on two sample points a
+    shard, or two for each value a band can have if these are fewer. Shards and leaves over
+    ``most_points`` (four times shard_points) are split; see split_shards and in_blocks. bands is
+    radius + 1 unless given.
     """
     spark = points.sparkSession
     count = points.count()
-    shards = min(sample_points // 2, max(1, -(-count // shard_points)))
-    sample = points.orderBy(F.xxhash64("fp"), "fp").limit(sample_points).collect() if shards > 1 else []
-    held = np.array([r.fp for r in sample], np.int64).view(np.uint64)
     masks = band_masks(bands or radius + 1)
     reach = radius // len(masks)
+    shards = max(1, -(-count // shard_points))
+    values = 1 << min(40, 64 // len(masks))
+    held = sampled(points, 2 * min(shards, values), count) if shards > 1 else np.zeros(0, np.uint64)
     trees = spark.sparkContext.broadcast([VantageTree(held, shards, m) for m in masks])
+    most_points = most_points or 4 * shard_points
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -214,14 +285,15 @@ def link_edges(points: DataFrame, radius: int = 3, shard_points: int = 16384, sa
         order = np.argsort(fps.view(np.int64), kind="stable")
         fps = fps[order]
         root = links_within(fps, np.array(group.column("home"))[order], radius, masks[group.column("band")[0].as_py()], reach)
-        at = np.flatnonzero(root != np.arange(len(fps)))
+        at = np.flatnonzero(fps[root] != fps)
         return pa.table({"u": fps[at].view(np.int64), "v": fps[root[at]].view(np.int64)})
 
-    dealt = points.select("fp").mapInArrow(deal, "band int, shard int, fp long, home boolean")
-    return dealt.groupBy("band", "shard").applyInArrow(search, "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    dealt = checkpointed(points.select("fp").mapInArrow(deal, "band int, shard int, fp long, home boolean"))
+    groups = in_blocks(split_shards(dealt, radius, shard_points, most_points), shard_points, most_points)
+    return groups.groupBy(*GROUP).applyInArrow(search, "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def star_roots(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def star_roots(edges: DataFrame) -> DataFrame:
     """(u, root): for each node of edges (u > v) that isn't its component's smallest, the smallest.
 
     Large-star and small-star steps; each round is checkpointed and hot nodes only take part
@@ -236,7 +308,7 @@ def star_roots(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     before = state(edges)
     if not before[0]:
         return edges.withColumnRenamed("v", "root")
-    for _ in range(most_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         edges = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -247,10 +319,9 @@ def star_roots(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == before:
             return edges.withColumnRenamed("v", "root")
         before = now
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, shard_points: int = 16384, sample_points: int = 4096, bands: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, shard_points: int = 16384, bands: int | None = None, most_points: int | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row for each row of docs.
 
     Texts are lower-cased (A-Z) and split at ASCII white space. Fingerprints that differ in at
@@ -261,7 +332,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     made = checkpointed(fingerprints(docs, id_col, text_col, shingle))
     classes = checkpointed(made.groupBy("fp").agg(F.min("doc_id").alias("smallest")))
-    roots = star_roots(link_edges(classes, radius, shard_points, sample_points, bands)).withColumnRenamed("u", "fp")
+    roots = star_roots(link_edges(classes, radius, shard_points, bands, most_points)).withColumnRenamed("u", "fp")
     placed = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = placed.groupBy("root").agg(F.min("smallest").alias("component_id"))
     by_fp = placed.join(named, "root").select("fp", "component_id")
