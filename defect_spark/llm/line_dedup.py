@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from defect_spark.llm.common import bound, checkpointed, same, text_key
 
+SALTS = 32
 SPACES = "\t\x0b\x0c\r"
 
 
@@ -52,9 +53,11 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     windows = checkpointed(window_rows(line_rows(docs, id_col, text_col), min_words))
     spot, place = F.struct("doc_id", "key", "spot"), F.struct("doc_id", "key", "start")
     prints = windows.groupBy("print").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("print")
-    found = windows.join(prints, "print", "left_semi")
-    first = found.groupBy("w", "v").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("w", "v", "first")
-    later = found.join(first, ["w", "v"]).where(place > F.col("first"))
+    # a window that very many documents share is dealt over SALTS tasks
+    found = windows.join(prints, "print", "left_semi").withColumn("salt", F.pmod(F.xxhash64("doc_id", "key"), F.lit(SALTS)))
+    parts = found.groupBy("w", "v", "salt").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+    first = parts.groupBy("w", "v").agg(F.min("a").alias("first"), F.max("b").alias("last"), F.collect_set("salt").alias("salts")).where("first <> last")
+    later = found.join(first.select("w", "v", "first", F.explode("salts").alias("salt")), ["w", "v", "salt"]).where(place > F.col("first"))
     ends = later.groupBy("doc_id", "key", "start").agg(F.max("stop").alias("stop"))
     own = Window.partitionBy("doc_id", "key")
     down = own.orderBy("start")
