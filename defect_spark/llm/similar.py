@@ -1,14 +1,17 @@
-"""Exact near-duplicate components: texts whose word shingles have a Jaccard similarity over a bound.
-
-A text is its set of shingles; equal sets are merged before any search. Two different sets with a
-similarity of ``least`` or more share at least COMMON shingles of their prefixes: the first
-n - ceil(least * n) + COMMON of n shingles in one order for all texts. So every such pair is found
-by grouping prefixes, and each candidate is confirmed on the whole sets. The order puts shingles
-first that are rare in a sample, which keeps the groups small; the sample decides the cost only.
-
-A group of more than ``most_pairs`` sets is searched twice: first a few stars, which connect most
-of a family of near copies at a cost in proportion to its rows, then the pairs of sets that are
-not in one component yet.
+"""SimHash near-dedup by similarity: the links of op9's trees, and exactly those its fingerprints can't see.
+
+A text is its set of word shingles; equal sets are merged before any search. Sets whose SimHash
+fingerprints are linked by the vantage-point trees, and pass the bound on the whole sets, are
+joined first. At a similarity of 0.8 most pairs differ in more bits than trees can search, so the
+rest comes from prefixes: two different sets with a similarity of ``least`` or more share at least
+COMMON shingles of their first n - ceil(least * n) + COMMON of n shingles, in one order for all
+texts. Grouping prefixes finds every such pair, and each candidate is confirmed on the whole sets.
+The order puts shingles first that are rare in a sample, which keeps the groups small; the sample
+decides the cost only.
+
+In a group of more than ``most_pairs`` sets a few stars connect most of a family of near copies at
+a cost in proportion to its rows; then only pairs of sets that are not in one component yet are
+compared.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from defect_spark.llm.common import checkpointed, same, text_key
-from defect_spark.llm.simhash import star_roots
+from defect_spark.llm.simhash import link_edges, majority, star_roots
 
 #: Common prefix shingles asked of a candidate. Sound up to ceil(least * n) for the smallest n that can have a partner.
 COMMON = 3
@@ -57,7 +60,7 @@ def common_shingles(docs: DataFrame, size: int, sample_rows: int, often: int = 3
 
 
 def prefixes(docs: DataFrame, size: int, least: float, sample_rows: int) -> DataFrame:
-    """(doc_id, key, cls, n, prefix): cls names the set, n is its size."""
+    """(doc_id, key, cls, n, fp, prefix): cls names the set, n is its size, fp its fingerprint."""
     found = common_shingles(docs, size, sample_rows)
     known = np.array(sorted(found), np.int64)
     shared = docs.sparkSession.sparkContext.broadcast((known, np.array([found[h] for h in known.tolist()], np.int64)))
@@ -65,19 +68,20 @@ def prefixes(docs: DataFrame, size: int, least: float, sample_rows: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = shared.value
         for b in batches:
-            names, sizes, cuts = [], [], []
+            names, sizes, prints, cuts = [], [], [], []
             for t in b.column(2):
                 grams = shingles(t.as_py(), size)
                 n = len(grams)
                 names.append(set_name(grams))
                 sizes.append(n)
+                prints.append(majority(grams.view(np.uint64)))
                 if len(known):
                     at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
                     grams = grams[np.lexsort((grams, np.where(known[at] == grams, times[at], 0)))]
                 cuts.append(grams[: n - math.ceil(least * n - 1e-9) + COMMON])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(cuts, pa.list_(pa.int64()))], ["doc_id", "key", "cls", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(cuts, pa.list_(pa.int64()))], ["doc_id", "key", "cls", "n", "fp", "prefix"])
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, key long, cls long, n int, prefix array<long>")
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, key long, cls long, n int, fp long, prefix array<long>")
 
 
 def confirmed(pairs: DataFrame, made: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
@@ -97,6 +101,17 @@ def confirmed(pairs: DataFrame, made: DataFrame, docs: DataFrame, size: int, lea
     return shared.where(F.col("s") * (1 + least) >= F.col("n") * least - 1e-9).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
 
 
+def twin_pairs(made: DataFrame, radius: int) -> DataFrame:
+    """(a, b): sets whose fingerprints are equal or linked by the trees; one set stands for each fingerprint."""
+    sets = checkpointed(made.select("fp", "cls").distinct())
+    firsts = sets.groupBy("fp").agg(F.min("cls").alias("first"))
+    equal = sets.join(firsts, "fp").where("cls <> first").select(F.col("cls").alias("a"), F.col("first").alias("b"))
+    edges = link_edges(checkpointed(firsts.select("fp")), radius)
+    ends = [firsts.select(F.col("fp").alias(x), F.col("first").alias(y)) for x, y in (("u", "a"), ("v", "b"))]
+    linked = edges.join(ends[0], "u").join(ends[1], "v").select("a", "b")
+    return equal.union(linked).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
 def star_pairs(groups: DataFrame, most_pairs: int) -> DataFrame:
     """(a, b): each set of a large group with the group's leader, in at most STARS groups a set."""
     stars = groups.where(F.size("g") > most_pairs).withColumn("top", F.array_min(F.transform("g", lambda x: F.struct(F.xxhash64(x["cls"], F.col("h")).alias("r"), x["cls"].alias("cls")))))
@@ -112,7 +127,7 @@ def all_pairs(groups: DataFrame, least: float) -> DataFrame:
     return rows.groupBy("a", F.col("b.cls").alias("b")).agg(F.count("*").alias("k")).where(f"k >= {COMMON}").select("a", "b")
 
 
-def keepers(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8192, most_pairs: int = 256) -> DataFrame:
+def keepers(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8192, most_pairs: int = 256, radius: int = 3) -> DataFrame:
     """(doc_id, key): of each component of texts linked by a similarity of ``least`` or more its smallest row.
 
     Words are cut as by SimHash. Rows are ordered by doc_id, null last, then by text_key; repeats
@@ -125,17 +140,14 @@ def keepers(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "d
     made = checkpointed(prefixes(docs, size, least, sample_rows))
     rows = made.select(F.explode("prefix").alias("h"), F.struct("cls", "n").alias("x"))
     groups = checkpointed(rows.groupBy("h").agg(F.collect_set("x").alias("g")).where(F.size("g") > 1))
-    alone = F.transform("g", lambda x: F.struct(x["cls"].alias("cls"), x["n"].alias("n"), x["cls"].alias("part")))
-    parted, linked = groups.withColumn("g", alone), None
-    if groups.where(F.size("g") > most_pairs).limit(1).count():
-        pairs = checkpointed(star_pairs(groups, most_pairs))
-        linked = checkpointed(confirmed(pairs, made, docs, size, least))
-        roots = star_roots(linked).withColumnRenamed("u", "cls")
-        members = groups.select("h", F.inline("g")).join(roots, "cls", "left")
-        parted = members.groupBy("h").agg(F.collect_set(F.struct("cls", "n", F.coalesce("root", "cls").alias("part"))).alias("g"))
+    pairs = checkpointed(twin_pairs(made, radius).union(star_pairs(groups, most_pairs)).distinct())
+    linked = checkpointed(confirmed(pairs, made, docs, size, least))
+    roots = star_roots(linked).withColumnRenamed("u", "cls")
+    members = groups.select("h", F.inline("g")).join(roots, "cls", "left")
+    parted = members.groupBy("h").agg(F.collect_set(F.struct("cls", "n", F.coalesce("root", "cls").alias("part"))).alias("g"))
     pairs = checkpointed(all_pairs(parted, least))
     more = confirmed(pairs, made, docs, size, least)
-    roots = star_roots(more if linked is None else more.union(linked).distinct()).withColumnRenamed("u", "cls")
+    roots = star_roots(more.union(linked).distinct()).withColumnRenamed("u", "cls")
     placed = made.select("doc_id", "key", "cls").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     first = placed.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "key")).alias("x"))
     return first.select("x.doc_id", "x.key")
