@@ -6,27 +6,14 @@ from pyspark.sql import functions as F
 
 from defect_spark.operators import cleaning, features, knn, metrics, profile, search, splits
 from defect_spark.plans.views import HOLES, LINES, RUNS, SCORED, line_defects, runs, scored, table, with_nulls
+from defect_spark.registry import ORACLES, QUERIES, query, rounded
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
 
 
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def rounded(df, *names: str):
-    return df.select(*(F.round(c, 6).alias(c) if c in names else F.col(c) for c in df.columns))
-
-
-@query("""SELECT 'o_orderstatus' AS column_name, count(*) AS n_rows, count(*) - count(o_orderstatus) AS n_nulls, count(DISTINCT o_orderstatus) AS n_distinct FROM orders
-UNION ALL SELECT 'o_orderpriority', count(*), count(*) - count(o_orderpriority), count(DISTINCT o_orderpriority) FROM orders
-UNION ALL SELECT 'o_custkey', count(*), count(*) - count(o_custkey), count(DISTINCT o_custkey) FROM orders""")
+@query("""SELECT 'o_orderstatus' AS column_name, 'string' AS dtype, count(*) AS n_rows, count(*) - count(o_orderstatus) AS n_nulls, count(DISTINCT o_orderstatus) AS n_distinct FROM orders
+UNION ALL SELECT 'o_orderpriority', 'string', count(*), count(*) - count(o_orderpriority), count(DISTINCT o_orderpriority) FROM orders
+UNION ALL SELECT 'o_custkey', 'bigint', count(*), count(*) - count(o_custkey), count(DISTINCT o_custkey) FROM orders""")
 def profile_columns(spark, sf):
     return profile.profile_columns(table(spark, sf, "orders").select("o_orderstatus", "o_orderpriority", "o_custkey"))
 
@@ -63,11 +50,6 @@ def impute(spark, sf):
     return cleaning.impute(with_nulls(line_defects(spark, sf)).select("row_id", "l_quantity", "l_linestatus"), ["l_quantity"], ["l_linestatus"])
 
 
-@query("SELECT doc_id, CASE WHEN toxic IS NOT NULL THEN CAST(lower(trim(CAST(toxic AS VARCHAR))) IN ('y', 'yes', 'true', '1', 'positive', 'defect', 'bug', 'm') AS INTEGER) END AS label FROM labels WHERE toxic IS NOT NULL")
-def binarize_target(spark, sf):
-    return cleaning.drop_null_target(table(spark, sf, "labels"), "toxic").select("doc_id", cleaning.binarize(F.col("toxic")).alias("label"))
-
-
 @query("SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS code FROM orders")
 def label_encode(spark, sf):
     return features.label_encode(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "code").select("o_orderkey", "code")
@@ -149,7 +131,8 @@ def binary_metrics(spark, sf):
 
 @query(f"""WITH c AS (SELECT fold, CAST(k AS VARCHAR) AS class, count(*) FILTER (WHERE label = k) AS support, count(*) FILTER (WHERE prediction = k) AS predicted, count(*) FILTER (WHERE label = k AND prediction = k) AS hits FROM ({SCORED}), (SELECT unnest([0, 1]) AS k) GROUP BY 1, 2),
 e AS (SELECT fold, class, coalesce(hits / nullif(predicted, 0), 0) AS precision, coalesce(hits / nullif(support, 0), 0) AS recall, 2 * hits / (predicted + support) AS f1, support FROM c),
-u AS (SELECT * FROM e UNION ALL SELECT fold, 'macro', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM e GROUP BY fold
+t AS (SELECT fold, sum(hits) / sum(support) AS a, CAST(sum(support) AS BIGINT) AS n FROM c GROUP BY fold),
+u AS (SELECT * FROM e UNION ALL SELECT fold, 'accuracy', a, a, a, n FROM t UNION ALL SELECT fold, 'macro', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM e GROUP BY fold
 UNION ALL SELECT fold, 'weighted', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM e GROUP BY fold)
 SELECT fold, class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM u""")
 def classification_report(spark, sf):
@@ -169,10 +152,14 @@ def roc_pr_curve(spark, sf):
     return rounded(metrics.curve(scored(spark, sf), "fold"), "tpr", "fpr", "precision")
 
 
-@query(f"SELECT 'f1' AS metric, round(avg(f1), 5) AS mean, round(min(f1), 5) AS min, round(max(f1), 5) AS max FROM ({RATES}) UNION ALL SELECT 'recall', round(avg(recall), 5), round(min(recall), 5), round(max(recall), 5) FROM ({RATES})")
+def spread(metric: str) -> str:
+    return f"SELECT '{metric}' AS metric, round(avg({metric}), 5) AS mean, round(stddev_pop({metric}), 5) AS std, round(min({metric}), 5) AS min, round(max({metric}), 5) AS max FROM ({RATES})"
+
+
+@query(f"{spread('f1')} UNION ALL {spread('recall')}")
 def cv_summary(spark, sf):
     found = metrics.cv_summary(metrics.binary_metrics(scored(spark, sf), "fold"), ["f1", "recall"])
-    return found.select("metric", *(F.round(c, 5).alias(c) for c in ("mean", "min", "max")))
+    return found.select("metric", *(F.round(c, 5).alias(c) for c in ("mean", "std", "min", "max")))
 
 
 @query(f"SELECT run, f1, recall FROM ({RUNS}) a WHERE NOT EXISTS (SELECT 1 FROM ({RUNS}) b WHERE b.f1 >= a.f1 AND b.recall >= a.recall AND (b.f1 > a.f1 OR b.recall > a.recall))")
@@ -194,3 +181,7 @@ def feature_frequency(spark, sf):
 def performance_by_value(spark, sf):
     found = search.performance_by_value(runs(spark, sf), "param", "f1")
     return found.select("value", *(F.round(c, 4).alias(c) for c in ("mean", "std", "min", "max")), "n")
+
+
+# the other queries register themselves
+from defect_spark import catalog_models, catalog_runs  # noqa: E402, F401

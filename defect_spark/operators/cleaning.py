@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType
+from pyspark.sql.types import FractionalType, NumericType, StringType
 
-# Names of target and id columns, and label values that mean "defective".
-TARGET_NAMES = ("bug", "bugs", "defect", "defects", "defective", "class", "target", "label")
+# Target names of the three rules, name endings of the last one, id names, label values.
+SERVICE_TARGETS = ("class", "label", "target", "diagnosis", "defect", "bug", "error", "fault", "issue", "vulnerable", "clean")
+NOTEBOOK_TARGETS = ("bug", "defects", "class", "defective", "Class")
+EVALUATOR_ENDINGS = ("_class", "_label")
+MOST_CLASSES = 10
 ID_NAMES = ("id", "index", "row_id", "record_id", "sample_id")
-POSITIVE = ("y", "yes", "true", "1", "positive", "defect", "bug", "m")
+YES = ("Y", "yes", "true", "True", "1")
+POSITIVE = ("Y", "yes", "true", "True", "1", "positive", "defect", "bug", "M")
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -20,9 +24,25 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, StringType)]
 
 
-def detect_target(df: DataFrame, names: tuple[str, ...] = TARGET_NAMES) -> str:
-    """The first column with a target's name, else the last column."""
-    return next((c for c in df.columns if c.lower() in names), df.columns[-1])
+def detect_target(df: DataFrame, rule: str = "service") -> str:
+    """The target column; the last column if no other is found.
+
+    - ``service``: the first column whose lower-case name is a target's;
+    - ``notebook``: the first of the list of names that is a column;
+    - ``evaluator``: the first column with a target's name or ending and at most ten values.
+    """
+    if rule == "notebook":
+        return next((n for n in NOTEBOOK_TARGETS if n in df.columns), df.columns[-1])
+    if rule == "service":
+        return next((c for c in df.columns if c.lower() in SERVICE_TARGETS), df.columns[-1])
+    if rule != "evaluator":
+        raise ValueError(f"unknown rule {rule}")
+    named = [c for c in df.columns if c.lower() in SERVICE_TARGETS or c.lower().endswith(EVALUATOR_ENDINGS)]
+    if not named:
+        return df.columns[-1]
+    # at most eleven different values of a column are looked at
+    few = [c for c in named if df.select(F.col(f"`{c}`").alias("v")).where("v is not null").distinct().limit(MOST_CLASSES + 1).count() <= MOST_CLASSES]
+    return few[0] if few else df.columns[-1]
 
 
 def drop_duplicate_rows(df: DataFrame, key: str) -> DataFrame:
@@ -40,25 +60,111 @@ def drop_all_null_rows(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.na.drop(how="all", subset=[c for c in df.columns if c != key])
 
 
-def drop_id_columns(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Drops columns with an id's name, and those whose values are all different; floats only if not in keep."""
-    row = df.agg(F.count("*").alias("all rows"), *(F.count_distinct(F.col(f"`{c}`")).alias(c) for c in df.columns)).first()
-    gone = [c for c in df.columns if c not in keep and (c.lower() in ID_NAMES or row["all rows"] > 0 and row[c] == row["all rows"])]
+def drop_id_columns(df: DataFrame, keep: tuple[str, ...] = (), protect_continuous: bool = False) -> DataFrame:
+    """Drops columns with an id's name, and those of numbers or text whose values are all different.
+
+    With protect_continuous floating-point columns are only dropped by name. Approximate counts
+    decide which columns are counted exactly.
+    """
+    kinds = {f.name: f.dataType for f in df.schema}
+    asked = [c for c in df.columns if c not in keep and c.lower() not in ID_NAMES and isinstance(kinds[c], (NumericType, StringType)) and not (protect_continuous and isinstance(kinds[c], FractionalType))]
+    gone = [c for c in df.columns if c not in keep and c.lower() in ID_NAMES]
+    if asked:
+        near = df.agg(F.count("*").alias("all rows"), *(F.approx_count_distinct(F.col(f"`{c}`")).alias(c) for c in asked)).first()
+        some = [c for c in asked if near["all rows"] and near[c] > 0.8 * near["all rows"]]
+        if some:
+            exact = df.agg(F.count("*").alias("all rows"), *(F.count_distinct(F.col(f"`{c}`")).alias(c) for c in some)).first()
+            gone += [c for c in some if exact[c] == exact["all rows"]]
     return df.drop(*gone)
 
 
+def ranked_value(df: DataFrame, column: str, rank: int, most: int = 10_000):
+    """The value at a rank (from 0) of the sorted non-null values.
+
+    Counts of distinct values decide at once if there are at most ``most``; else approximate
+    quantiles bound the range that the rank is in, and the search goes on inside it.
+    """
+    values = df.select(F.col(column).alias("v")).where("v is not null")
+    while True:
+        counts = values.groupBy("v").agg(F.count("*").alias("n"))
+        few = sorted(counts.limit(most + 1).collect())
+        if len(few) <= most:
+            for v, n in few:
+                if rank < n:
+                    return v
+                rank -= n
+            return None
+        cuts = sorted(set(values.agg(F.percentile_approx("v", [k / 64 for k in range(1, 64)], 1000).alias("c")).first().c))
+        part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("v")))
+        for r in values.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
+            if rank < r.n:
+                inside = F.lit(True) if r.part == 0 else F.col("v") > cuts[r.part - 1]
+                values = values.where(inside & (F.lit(True) if r.part == len(cuts) else F.col("v") <= cuts[r.part]))
+                break
+            rank -= r.n
+
+
+def exact_median(df: DataFrame, column: str) -> float | None:
+    n = df.where(F.col(column).isNotNull()).count()
+    if not n:
+        return None
+    low = ranked_value(df, column, (n - 1) // 2)
+    return float(low) if n % 2 else (float(low) + float(ranked_value(df, column, n // 2))) / 2
+
+
+def commonest(df: DataFrame, column: str) -> str | None:
+    """The most frequent value, the smallest on a tie."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    row = counts.orderBy(F.desc("n"), "v").first()
+    return row.v if row else None
+
+
+def fit_imputer(df: DataFrame, medians: list[str] = (), modes: list[str] = ()) -> dict:
+    """The value that fills each column: exact median, or commonest value ('unknown' without any)."""
+    return {c: exact_median(df, c) for c in medians} | {c: m if (m := commonest(df, c)) is not None else "unknown" for c in modes}
+
+
+def apply_imputer(df: DataFrame, fitted: dict) -> DataFrame:
+    return df.select(*(F.coalesce(F.col(f"`{c}`"), F.lit(fitted[c])).alias(c) if fitted.get(c) is not None else F.col(f"`{c}`") for c in df.columns))
+
+
 def impute(df: DataFrame, medians: list[str] = (), modes: list[str] = ()) -> DataFrame:
     """Nulls become the column's exact median, or its commonest value (the smallest on a tie; 'unknown' without any)."""
-    fitted = df.agg(*(F.median(c).alias(f"fit_{c}") for c in medians), *(F.mode(c, True).alias(f"fit_{c}") for c in modes))
-    joined = df.crossJoin(F.broadcast(fitted))  # one row
-    filled = {c: F.coalesce(F.col(c), F.col(f"fit_{c}")) for c in medians} | {c: F.coalesce(F.col(c), F.col(f"fit_{c}"), F.lit("unknown")) for c in modes}
-    return joined.select(*(filled[c].alias(c) if c in filled else F.col(c) for c in df.columns))
+    return apply_imputer(df, fit_imputer(df, medians, modes))
 
 
 def drop_null_target(df: DataFrame, target: str) -> DataFrame:
     return df.where(F.col(target).isNotNull())
 
 
-def binarize(target: Column) -> Column:
-    """1 for a value that means defective, 0 for any other, null for null."""
-    return F.when(target.isNotNull(), F.lower(F.trim(target.cast("string"))).isin(*POSITIVE).cast("int"))
+def binarize(target: Column, rule: str = "yes", values: list[str] = ()) -> Column:
+    """1 for defective, 0 for any other value, null for null.
+
+    - ``yes``: one of the yes values;
+    - ``not_false``: anything but 'false', lower-cased and trimmed;
+    - ``y``: exactly 'Y';
+    - ``positive``: the first of the sorted ``values`` that is a positive word, else the second
+      value, else the only one; see target_values.
+    """
+    text = target.cast("string")
+    if rule == "positive":
+        chosen = next((v for v in sorted(values) if v in POSITIVE), sorted(values)[:2][-1] if values else None)
+        made = text == F.lit(chosen)
+    else:
+        made = {"yes": text.isin(*YES), "not_false": F.lower(F.trim(text)) != "false", "y": text == "Y"}[rule]
+    return F.when(target.isNotNull(), made.cast("int"))
+
+
+def target_values(df: DataFrame, target: str, most: int = 1000) -> list[str]:
+    """The different values of a target as text; an error beyond ``most``."""
+    found = [r[0] for r in df.select(F.col(f"`{target}`").cast("string").alias("v")).where("v is not null").distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{target} has more than {most} values")
+    return sorted(found)
+
+
+def binarize_target(df: DataFrame, target: str, rule: str = "yes") -> DataFrame:
+    """Rows with a target, with it as 0 or 1; see binarize."""
+    df = drop_null_target(df, target)
+    values = target_values(df, target) if rule == "positive" else []
+    return df.withColumn(target, binarize(F.col(f"`{target}`"), rule, values))

@@ -2,18 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def label_encode(df: DataFrame, column: str, out: str) -> DataFrame:
-    """out: the rank of the value among the sorted distinct values, from 0; null for null.
+def ranks(values: DataFrame, column: str) -> DataFrame:
+    """values (distinct, not null) with rank_, from 0, in ascending order.
 
-    The code book is made from the distinct values, which must be few enough for a sorted array.
+    Values are dealt by the two characters after their common prefix (numbers by approximate
+    quantiles); ranks count within a part and the parts before are added, so no task has all values.
     """
-    book = df.agg(F.array_sort(F.collect_set(column)).alias("book"))
-    coded = F.array_position("book", F.col(column)).cast("int") - 1
-    return df.crossJoin(F.broadcast(book)).withColumn(out, coded).drop("book")  # one row
+    if dict(values.dtypes)[column] == "string":
+        ends = values.agg(F.min(column).alias("a"), F.max(column).alias("b")).first()
+        shared = len(os.path.commonprefix([ends.a or "", ends.b or ""]))
+        part = F.substring(column, shared + 1, 2)
+    else:
+        cuts = values.agg(F.percentile_approx(column, [k / 64 for k in range(1, 64)], 1000).alias("c")).first().c or []
+        part = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(column))) if cuts else F.lit(0)
+    parted = values.select(column, part.alias("part_"))
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # over parts, not values
+    offsets = parted.groupBy("part_").agg(F.count("*").alias("n_")).select("part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("offset_"))
+    own = F.row_number().over(Window.partitionBy("part_").orderBy(column)) - 1
+    return parted.select(column, "part_", own.alias("own_")).join(offsets, "part_").select(column, (F.col("own_") + F.col("offset_")).cast("int").alias("rank_"))
+
+
+def label_encode(df: DataFrame, column: str, out: str) -> DataFrame:
+    """out: the rank of the value among the sorted distinct values, from 0; null for null."""
+    book = ranks(df.select(column).where(F.col(column).isNotNull()).distinct(), column)
+    coded = df.join(book.select(F.col(column).alias("value_"), F.col("rank_").alias(out)), F.col(column) == F.col("value_"), "left")
+    return coded.drop("value_")
 
 
 def high_cardinality(df: DataFrame, columns: list[str], most: int = 50) -> list[str]:
@@ -21,6 +40,10 @@ def high_cardinality(df: DataFrame, columns: list[str], most: int = 50) -> list[
     return [c for c in columns if row[c] > most]
 
 
+def drop_high_cardinality(df: DataFrame, columns: list[str], most: int = 50) -> DataFrame:
+    return df.drop(*high_cardinality(df, columns, most))
+
+
 def one_hot(df: DataFrame, column: str, most: int = 50) -> DataFrame:
     """A 0/1 column for each value but the first in order; a constant column gives none. At most ``most`` values."""
     values = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect())
@@ -56,3 +79,35 @@ def binned_mutual_info(df: DataFrame, features: dict[str, str], label: str) -> D
 def select_k_best(scores: DataFrame, k: int) -> DataFrame:
     """The k features with the highest mi, ties by name."""
     return scores.orderBy(F.desc("mi"), "feature").limit(k)
+
+
+def mi_ranking(scores: DataFrame, n: int = 10) -> DataFrame:
+    """(feature, mi, rank) of the n features with the highest mi, ties by name."""
+    return select_k_best(scores, n).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mi"), "feature")))  # n rows
+
+
+# What keeps the sum from being zero, and the bounds of a selection probability.
+TINY, LEAST_PRIOR, MOST_PRIOR = 1e-10, 0.2, 0.8
+
+
+def mi_prior(scores: DataFrame) -> DataFrame:
+    """(feature, prior): the share of all mi, clipped, as a probability to select the feature."""
+    total = scores.agg(F.sum("mi").alias("sum"))
+    share = F.col("mi") / (F.col("sum") + TINY)
+    clipped = F.greatest(F.lit(LEAST_PRIOR), F.least(F.lit(MOST_PRIOR), share))
+    return scores.crossJoin(F.broadcast(total)).select("feature", clipped.alias("prior"))  # one row
+
+
+def missing_features(columns: list[str], wanted: list[str]) -> list[str]:
+    return [c for c in wanted if c not in columns]
+
+
+def select_by_name(df: DataFrame, wanted: list[str], keep: list[str] = ()) -> tuple[DataFrame, list[str]]:
+    """df with keep and those of wanted that it has, and the names it lacks."""
+    there = [c for c in wanted if c in df.columns]
+    return df.select(*keep, *(F.col(f"`{c}`") for c in there)), missing_features(df.columns, wanted)
+
+
+def select_by_index(df: DataFrame, mask: list[int], features: list[str], keep: list[str] = ()) -> DataFrame:
+    """df with keep and the features whose mask is 1; more mask than features is ignored."""
+    return df.select(*keep, *(F.col(f"`{c}`") for c, bit in zip(features, mask) if bit))

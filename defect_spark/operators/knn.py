@@ -6,16 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 2048
 
 
-def blocks(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
-    """Rows packed to blocks of about BLOCK rows by a hash of the key."""
+def blocks(df: DataFrame, key: str, vector: str, name: str, *more: str) -> DataFrame:
+    """Rows (key, vector and more columns) packed to blocks of about BLOCK rows by a hash of the key."""
     number = max(1, -(-df.count() // BLOCK))
-    cells = df.select(F.pmod(F.xxhash64(key), F.lit(number)).alias("b"), F.struct(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector")).alias("x"))
+    cells = df.select(F.pmod(F.xxhash64(key), F.lit(number)).alias("b"), F.struct(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"), *more).alias("x"))
     return cells.groupBy("b").agg(F.collect_list("x").alias(name)).drop("b")
 
 
@@ -39,7 +39,12 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, key: str, vector: str,
                     diff = np.abs(y - x[at])
                     d = np.sqrt((diff * diff).sum(1)) if p == 2 else diff.sum(1) if p == 1 else (diff**p).sum(1) ** (1 / p)
                     d[o == q[at]] = np.inf
-                    near = np.lexsort((o, d))[: k]
+                    if len(d) > k:
+                        # all at the k-th distance, so that ties go by base_id
+                        some = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+                        near = some[np.lexsort((o[some], d[some]))[:k]]
+                    else:
+                        near = np.lexsort((o, d))
                     near = near[np.isfinite(d[near])]
                     out.append((np.full(len(near), q[at]), o[near], d[near]))
                 a, c, d = (np.concatenate(v) for v in zip(*out))
@@ -51,8 +56,8 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, key: str, vector: str,
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def knn_vote(neighbours: DataFrame, labels: DataFrame, key: str, label: str, weights: str = "uniform") -> DataFrame:
-    """(query_id, prediction, share): the label with most weight, the smallest on a tie, and its share.
+def knn_shares(neighbours: DataFrame, labels: DataFrame, key: str, label: str, weights: str = "uniform") -> DataFrame:
+    """(query_id, label, w, share): each label's weight among the neighbours, and its share of all.
 
     weights: uniform, or distance (1 / dist; neighbours at distance 0, if any, are the only ones).
     """
@@ -63,5 +68,20 @@ def knn_vote(neighbours: DataFrame, labels: DataFrame, key: str, label: str, wei
     else:
         weight = F.lit(1.0)
     sums = joined.withColumn("w", weight).groupBy("query_id", "label").agg(F.sum("w").alias("w"))
-    best = sums.groupBy("query_id").agg(F.max(F.struct("w", (-F.col("label")).alias("l"))).alias("b"), F.sum("w").alias("all"))
-    return best.select("query_id", (-F.col("b.l")).alias("prediction"), (F.col("b.w") / F.col("all")).alias("share"))
+    return sums.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("query_id")))
+
+
+def knn_vote(neighbours: DataFrame, labels: DataFrame, key: str, label: str, weights: str = "uniform") -> DataFrame:
+    """(query_id, prediction, share): the label with most weight, the smallest on a tie, and its share; see knn_shares."""
+    best = knn_shares(neighbours, labels, key, label, weights).groupBy("query_id").agg(F.max(F.struct("w", (-F.col("label")).alias("l"), "share")).alias("b"))
+    return best.select("query_id", (-F.col("b.l")).alias("prediction"), F.col("b.share").alias("share"))
+
+
+#: The most neighbours ever asked for, and the share of training rows in cross-validation.
+MOST_NEIGHBOURS, ROWS_A_NEIGHBOUR = 20, 5
+
+
+def knn_cap_k(k: Column, rows: Column, cross_validation: bool = True) -> Column:
+    """k clamped to what the rows allow: one to a fifth of them in cross-validation, to all but one in a test."""
+    most = F.floor(rows / ROWS_A_NEIGHBOUR) if cross_validation else rows - 1
+    return F.greatest(F.lit(1), F.least(k, F.lit(MOST_NEIGHBOURS), most)).cast("int")

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from defect_spark.operators import knn
+from defect_spark.operators.metrics import ratio
+from defect_spark.operators.resample import uniform
+
 
 def grid(spark: SparkSession, values: dict[str, list]) -> DataFrame:
     """Every combination of the values, one column for each parameter."""
@@ -14,15 +22,39 @@ def grid(spark: SparkSession, values: dict[str, list]) -> DataFrame:
     return out
 
 
+def front_within(points: DataFrame, objectives: list[str]) -> DataFrame:
+    """The points of each partition that no other point of it beats."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, len(objectives)))
+        for b in batches:
+            new = np.column_stack([b.column(k).cast(pa.float64()).to_numpy(zero_copy_only=False) for k in range(len(objectives))])
+            for at in range(0, len(new), 256):
+                both = np.concatenate([held, new[at : at + 256]])
+                both = both[np.lexsort(both.T[::-1])[::-1]]  # a point is only beaten by an earlier one
+                stays: list[np.ndarray] = []
+                for x in both:
+                    if not any((y >= x).all() for y in stays):
+                        stays.append(x)
+                held = np.array(stays)
+        yield pa.RecordBatch.from_arrays([pa.array(held[:, k]) for k in range(len(objectives))], objectives)
+
+    kinds = ", ".join(f"`{o}` double" for o in objectives)
+    return points.mapInArrow(run, kinds)
+
+
 def pareto_front(scored: DataFrame, objectives: list[str], key: str) -> DataFrame:
-    """Rows that no other row beats: at least equal in every objective and better in one."""
-    points = scored.select(*objectives).distinct()
-    a, b = points.alias("a"), points.alias("b")
-    least = better = None
-    for o in objectives:
-        ge, gt = F.col(f"b.{o}") >= F.col(f"a.{o}"), F.col(f"b.{o}") > F.col(f"a.{o}")
-        least, better = (ge, gt) if least is None else (least & ge, better | gt)
-    front = a.join(b, least & better, "left_anti")
+    """Rows that no other row beats: at least equal in every objective and better in one.
+
+    Objectives are doubles without nulls. Each partition finds its own front, then fewer and
+    fewer partitions the fronts of these; the last one holds only points that won before.
+    """
+    parts = scored.select(*(F.col(o).cast("double").alias(o) for o in objectives)).distinct()
+    n = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    front = front_within(parts, objectives)
+    while n > 1:
+        n = max(1, n // 16)
+        front = front_within(front.repartition(n), objectives)
     return scored.join(front, objectives).select(*scored.columns)
 
 
@@ -46,3 +78,139 @@ def feature_frequency(runs: DataFrame, features: str = "features") -> DataFrame:
 def performance_by_value(runs: DataFrame, param: str, metric: str) -> DataFrame:
     """(value, mean, std, min, max, n) of a metric for each value of a parameter; std is the sample's."""
     return runs.groupBy(F.col(param).alias("value")).agg(F.avg(metric).alias("mean"), F.stddev_samp(metric).alias("std"), F.min(metric).alias("min"), F.max(metric).alias("max"), F.count("*").alias("n"))
+
+
+def random_candidates(spark: SparkSession, n: int, features: int, seed: int = 42, most_k: int = 20, prior: list[float] | None = None) -> DataFrame:
+    """(candidate, k, weights, p, mask) drawn by hashes; prior is the probability of each feature, a half unless given."""
+    c = F.col("id")
+    chance = F.array(*map(F.lit, prior or [0.5] * features))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(features - 1)), lambda i: (uniform(seed, F.lit("mask"), c, i) < F.get(chance, i)).cast("int"))
+    made = {
+        "k": F.floor(uniform(seed, F.lit("k"), c) * most_k).cast("int") + 1,
+        "weights": F.when(uniform(seed, F.lit("weights"), c) < 0.5, "uniform").otherwise("distance"),
+        "p": F.when(uniform(seed, F.lit("p"), c) < 0.5, 1).otherwise(2),
+        "mask": mask,
+    }
+    return spark.range(n).select(c.alias("candidate"), *(e.alias(name) for name, e in made.items()))
+
+
+# Kernels by number, and the ranges that bit strings of a candidate stand for.
+KERNELS = ["linear", "poly", "rbf", "sigmoid"]
+
+
+def decode_bits(bits: Column, low: float, high: float) -> Column:
+    """10 to the power of the bits' number, spread evenly over low to high; bits is an array of 0 and 1."""
+    number = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a * 2 + b)
+    return F.pow(F.lit(10.0), low + number / (F.pow(F.lit(2.0), F.size(bits)) - 1) * (high - low))
+
+
+def decode_svm(candidates: DataFrame, bits: str = "bits") -> DataFrame:
+    """candidates with c (1 to 10), gamma (0.1 to 1) and kernel from 12 bits: five, five and two."""
+    part = lambda at, n: F.slice(bits, at, n)
+    kernel = F.get(F.array(*map(F.lit, KERNELS)), F.aggregate(part(11, 2), F.lit(0), lambda a, b: a * 2 + b))
+    return candidates.select("*", decode_bits(part(1, 5), 0, 1).alias("c"), decode_bits(part(6, 5), -1, 0).alias("gamma"), kernel.alias("kernel"))
+
+
+def tournament_select(population: DataFrame, n: int, metrics: list[str], key: str = "candidate", size: int = 3, seed: int = 42, generation: int = 0) -> DataFrame:
+    """(slot, key): for each of n slots the best of ``size`` drawn members by metrics in order, the smallest key on a tie.
+
+    Members are numbered by key; the population is a table of candidates, not data.
+    """
+    order = Window.orderBy(key)
+    numbered = population.select((F.row_number().over(order) - 1).alias("member"), key, *metrics)
+    count = population.count()
+    draws = population.sparkSession.range(n).select(F.col("id").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("j"))
+    drawn = draws.withColumn("member", F.floor(uniform(seed, F.lit(generation), F.col("slot"), F.col("j")) * count).cast("int"))
+    best = drawn.join(numbered, "member").groupBy("slot").agg(F.max_by(key, F.struct(*metrics, -F.col(key))).alias(key))
+    return best
+
+
+def crossover(pairs: DataFrame, a: str, b: str, kind: str, key: str, seed: int = 42, alpha: float = 0.3) -> DataFrame:
+    """pairs with child_a and child_b of two arrays: two_point (a stretch changes sides), uniform (each gene by half a chance) or blend."""
+    n = F.size(a)
+    u = lambda *k: uniform(seed, F.lit(kind), F.col(key), *k)
+    if kind == "two_point":
+        one, two = F.floor(u(F.lit(1)) * n), F.floor(u(F.lit(2)) * n)
+        swap = lambda i: (i >= F.least(one, two)) & (i <= F.greatest(one, two))
+    elif kind == "uniform":
+        swap = lambda i: u(i) < 0.5
+    elif kind == "blend":
+        # each gene moves to a point of the stretch between the parents, widened by alpha
+        share = lambda i: (1 + 2 * alpha) * u(i) - alpha
+        mixed = lambda x, y: F.transform(x, lambda v, i: (1 - share(i)) * v + share(i) * F.get(y, i))
+        return pairs.select("*", mixed(F.col(a), F.col(b)).alias("child_a"), mixed(F.col(b), F.col(a)).alias("child_b"))
+    else:
+        raise ValueError(f"unknown kind {kind}")
+    child = lambda x, y: F.transform(x, lambda v, i: F.when(swap(i), F.get(y, i)).otherwise(v))
+    return pairs.select("*", child(F.col(a), F.col(b)).alias("child_a"), child(F.col(b), F.col(a)).alias("child_b"))
+
+
+def mutate_mask(population: DataFrame, mask: str, key: str, rate: float = 0.05, seed: int = 42) -> DataFrame:
+    """population with each bit of the mask flipped by chance ``rate``."""
+    flipped = F.transform(mask, lambda v, i: F.when(uniform(seed, F.lit("flip"), F.col(key), i) < rate, 1 - v).otherwise(v))
+    return population.withColumn(mask, flipped)
+
+
+def mutate_parameter(population: DataFrame, column: str, values: list, key: str, rate: float = 0.3, seed: int = 42) -> DataFrame:
+    """population with the parameter drawn anew from values by chance ``rate``."""
+    pick = F.get(F.array(*map(F.lit, values)), F.floor(uniform(seed, F.lit(column), F.lit("value"), F.col(key)) * len(values)).cast("int"))
+    return population.withColumn(column, F.when(uniform(seed, F.lit(column), F.lit("whether"), F.col(key)) < rate, pick).otherwise(F.col(column)))
+
+
+def evaluate_candidates(candidates: DataFrame, data: DataFrame) -> DataFrame:
+    """(candidate, fold, tn, fp, fn, tp): each candidate (candidate, k, weights, p, mask) tested on each fold of data.
+
+    data is (key long, label 0 or 1, vector, fold); its rows meet block by block, as in knn_join,
+    and each block keeps a row's k nearest of other folds. candidates is a population, not data:
+    it goes to every task. k is capped as in cross-validation. A candidate without features
+    predicts 0; a row without a row of another fold isn't counted.
+    """
+    some = [r.asDict() for r in candidates.select(F.col("candidate").cast("long").alias("candidate"), "k", "weights", "p", "mask").collect()]
+    sizes = {r.fold: r.n for r in data.groupBy("fold").agg(F.count("*").alias("n")).collect()}
+    most = {f: max(1, min(knn.MOST_NEIGHBOURS, (sum(sizes.values()) - n) // knn.ROWS_A_NEIGHBOUR)) for f, n in sizes.items()}
+
+    def side(cell) -> list[np.ndarray]:
+        key, label, fold = (np.asarray(cell.values.field(n)) for n in ("key", "label", "fold"))
+        vector = np.asarray(cell.values.field("vector").flatten()).reshape(len(key), -1)
+        order = np.argsort(key)
+        return [key[order], label[order], fold[order], vector[order]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                (key, label, fold, x), (other, near, its, y) = side(b.column("q")[row]), side(b.column("o")[row])
+                for c in some:
+                    mask = np.flatnonzero(c["mask"])
+                    if not len(mask):
+                        continue
+                    out = []
+                    for at in range(len(key)):
+                        diff = np.abs(y[:, mask] - x[at, mask])
+                        d = np.sqrt((diff * diff).sum(1)) if c["p"] == 2 else diff.sum(1) if c["p"] == 1 else (diff ** c["p"]).sum(1) ** (1 / c["p"])
+                        d[its == fold[at]] = np.inf
+                        best = np.argsort(d, kind="stable")[: min(c["k"], most[fold[at].item()])]
+                        best = best[np.isfinite(d[best])]
+                        out.append((np.full(len(best), at), best, d[best]))
+                    q, o, d = (np.concatenate(v) for v in zip(*out))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), c["candidate"])), pa.array(key[q]), pa.array(label[q], pa.int32()), pa.array(fold[q], pa.int32()), pa.array(other[o]), pa.array(near[o], pa.int32()), pa.array(d)], ["candidate", "key", "label", "fold", "other", "near", "dist"])
+
+    pairs = knn.blocks(data, "key", "vector", "o", "label", "fold").crossJoin(knn.blocks(data, "key", "vector", "q", "label", "fold"))
+    found = pairs.mapInArrow(run, "candidate long, key long, label int, fold int, other long, near int, dist double")
+    own = Window.partitionBy("candidate", "key")
+    caps = F.create_map(*(F.lit(v) for item in most.items() for v in item))
+    spec = data.sparkSession.createDataFrame([(c["candidate"], c["k"], c["weights"]) for c in some], "candidate long, k int, weights string")
+    ranked = found.withColumn("rank", F.row_number().over(own.orderBy("dist", "other"))).join(F.broadcast(spec), "candidate")  # the population
+    kept = ranked.where(F.col("rank") <= F.least("k", caps[F.col("fold")])).withColumn("zero", F.min("dist").over(own) == 0)
+    weight = F.when(F.col("weights") != "distance", F.lit(1.0)).when(F.col("zero"), (F.col("dist") == 0).cast("double")).otherwise(1 / F.nullif(F.col("dist"), F.lit(0.0)))
+    side_of = lambda y: F.sum(F.when(F.col("near") == y, weight).otherwise(0.0))
+    voted = kept.groupBy("candidate", "key", "label", "fold").agg((side_of(1) > side_of(0)).cast("int").alias("prediction"))
+    empty = data.select("label", "fold").crossJoin(F.broadcast(candidates.where(~F.exists("mask", lambda x: x != 0)).select(F.col("candidate").cast("long").alias("candidate"))))
+    both = voted.select("candidate", "fold", "label", "prediction").unionByName(empty.select("candidate", "fold", "label", F.lit(0).alias("prediction")))
+    cell = lambda y, p: F.count_if((F.col("label") == y) & (F.col("prediction") == p))
+    return both.groupBy("candidate", "fold").agg(cell(0, 0).alias("tn"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(1, 1).alias("tp"))
+
+
+def fitness(cells: DataFrame) -> DataFrame:
+    """(candidate, f1, recall): means over folds of evaluated candidates; 0 where undefined."""
+    recall, f1 = ratio(F.col("tp"), F.col("tp") + F.col("fn")), ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
+    return cells.groupBy("candidate").agg(F.avg(f1).alias("f1"), F.avg(recall).alias("recall"))

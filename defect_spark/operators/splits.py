@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,11 +30,48 @@ def stratified_kfold(df: DataFrame, label: str, key: str, folds: int = 5, seed:
     return ranked(df, label, key, seed).withColumn("fold", (F.col("rank") % folds).cast("int")).drop("rank", "class_rows")
 
 
-def train_test_split(df: DataFrame, label: str, key: str, test: float = 0.2, seed: int = 42) -> DataFrame:
-    """df with is_test: of each class the first ceil(test * rows)."""
+def train_test_split(df: DataFrame, label: str | None, key: str, test: float = 0.2, seed: int = 42) -> DataFrame:
+    """df with is_test: of each class the first ceil(test * rows), or of all rows where label is None."""
+    if label is None:
+        return train_test_split(df.withColumn("all_", F.lit(0)), "all_", key, test, seed).drop("all_")
     return ranked(df, label, key, seed).withColumn("is_test", F.col("rank") < F.ceil(F.col("class_rows") * test)).drop("rank", "class_rows")
 
 
+def cross_project_pairs(df: DataFrame, project: str, train: list[str] | None = None, test: list[str] | None = None) -> DataFrame:
+    """(train_project, test_project, n_train, n_test) of every two different projects, or of the named ones.
+
+    Its rows are pairs of projects, so it is for a list of projects, not for a column of many values.
+    """
+    counts = df.groupBy(project).agg(F.count("*").alias("n"))
+    some = lambda names: counts.where(F.col(project).isin(names)) if names else counts
+    a = some(train).select(F.col(project).alias("train_project"), F.col("n").alias("n_train"))
+    b = some(test).select(F.col(project).alias("test_project"), F.col("n").alias("n_test"))
+    return a.join(b, F.col("train_project") != F.col("test_project")).select("train_project", "test_project", "n_train", "n_test")
+
+
+def nested_train_sets(df: DataFrame, label: str, key: str, fractions: list[float], folds: int = 5, seed: int = 42) -> DataFrame:
+    """df with fold and entered: the smallest of fractions whose training sets hold the row. Sets of a fold are nested."""
+    placed = ranked(df, label, key, seed).withColumn("fold", (F.col("rank") % folds).cast("int"))
+    share = (F.floor(F.col("rank") / folds) + 1) / F.ceil(F.col("class_rows") / folds)
+    first = F.lit(None).cast("double")
+    for x in sorted(fractions, reverse=True):
+        first = F.when(share <= x, F.lit(float(x))).otherwise(first)
+    return placed.withColumn("entered", first).drop("rank", "class_rows")
+
+
+def learning_curve(df: DataFrame, label: str, key: str, score: Callable[[DataFrame, DataFrame], DataFrame], fractions: list[float] = (0.1, 0.325, 0.55, 0.775, 1.0), folds: int = 5, seed: int = 42) -> DataFrame:
+    """(fraction, fold, correct, n): score(train, test) gives (key, prediction); each fold is tested by nested parts of the others."""
+    sets = nested_train_sets(df, label, key, list(fractions), folds, seed)
+    out = []
+    for x in fractions:
+        for fold in range(folds):
+            test = sets.where(F.col("fold") == fold)
+            found = score(sets.where((F.col("fold") != fold) & (F.col("entered") <= x)), test).select(key, "prediction")
+            joined = test.select(key, label).join(found, key)
+            out.append(joined.agg(F.count_if(F.col(label) == F.col("prediction")).alias("correct"), F.count("*").alias("n")).select(F.lit(float(x)).alias("fraction"), F.lit(fold).alias("fold"), "correct", "n"))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 def random_under(df: DataFrame, label: str, key: str, ratio: float = 1.0, seed: int = 42) -> DataFrame:
     """Drops rows of larger classes until the smallest has ratio times their rows."""
     least = F.broadcast(df.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n").alias("least")))
