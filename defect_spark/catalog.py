@@ -39,6 +39,11 @@ def drop_duplicate_rows(spark, sf):
     return cleaning.drop_duplicate_rows(docs.unionByName(docs.withColumn("doc_id", -1 - F.col("doc_id"))), "doc_id")
 
 
+@query("SELECT count(*) AS n_rows, count(DISTINCT (text, lang, source)) AS n_kept, count(*) - count(DISTINCT (text, lang, source)) AS n_removed FROM documents")
+def duplicate_count(spark, sf):
+    return cleaning.duplicate_count(table(spark, sf, "documents").select("text", "lang", "source", "doc_id"), "doc_id")
+
+
 @query(f"SELECT row_id, l_quantity, l_linestatus FROM ({HOLES}) WHERE l_quantity IS NOT NULL OR l_linestatus IS NOT NULL")
 def drop_all_null_rows(spark, sf):
     return cleaning.drop_all_null_rows(with_nulls(line_defects(spark, sf)).select("row_id", "l_quantity", "l_linestatus"), "row_id")
@@ -55,10 +60,9 @@ def label_encode(spark, sf):
     return features.label_encode(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "code").select("o_orderkey", "code")
 
 
-@query("SELECT lang, source, count(*) AS n, " + "CAST(sum(CAST(lang = 'es' AS INTEGER)) AS BIGINT) AS n_es, CAST(sum(CAST(lang = 'fr' AS INTEGER)) AS BIGINT) AS n_fr FROM documents GROUP BY 1, 2")
+@query("""SELECT o_orderkey, o_custkey, CAST(o_orderstatus = 'O' AS INTEGER) AS o_orderstatus_O, CAST(o_orderstatus = 'P' AS INTEGER) AS o_orderstatus_P FROM orders""")
 def one_hot(spark, sf):
-    made = features.one_hot(table(spark, sf, "documents").select("lang", F.col("lang").alias("kept"), "source"), "lang")
-    return made.groupBy(F.col("kept").alias("lang"), "source").agg(F.count("*").alias("n"), F.sum("lang_es").alias("n_es"), F.sum("lang_fr").alias("n_fr"))
+    return features.one_hot(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderstatus")
 
 
 @query(f"SELECT row_id, round((l_quantity - m) / s, 6) AS l_quantity FROM ({LINES}), (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS s FROM ({LINES}))")
@@ -91,6 +95,12 @@ def random_under(spark, sf):
     return splits.random_under(line_defects(spark, sf).select("row_id", "label"), "label", "row_id")
 
 
+@query(f"""SELECT row_id, label FROM (SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('7:' || row_id), row_id) AS k FROM ({LINES}))
+WHERE k <= (SELECT greatest(min(n), floor(min(n) / 0.8)) FROM (SELECT count(*) AS n FROM ({LINES}) GROUP BY label))""")
+def random_under_ratio(spark, sf):
+    return splits.random_under(line_defects(spark, sf).select("row_id", "label"), "label", "row_id", ratio=0.8, seed=7)
+
+
 @query(f"SELECT label, n, round(t / (c * n), 6) AS weight FROM (SELECT label, count(*) AS n, sum(count(*)) OVER () AS t, count(*) OVER () AS c FROM ({LINES}) GROUP BY label)")
 def class_weights(spark, sf):
     return rounded(splits.class_weights(line_defects(spark, sf), "label"), "weight")
@@ -177,10 +187,13 @@ def feature_frequency(spark, sf):
     return rounded(search.feature_frequency(runs(spark, sf)), "percent")
 
 
-@query(f"SELECT param AS value, round(avg(f1), 4) AS mean, round(stddev_samp(f1), 4) AS std, round(min(f1), 4) AS min, round(max(f1), 4) AS max, count(*) AS n FROM ({RUNS}) GROUP BY 1")
+BY_VALUE = ", ".join(f"round({e.format(m)}, 4) AS {m}_{n}" for m in ("f1", "recall") for n, e in (("mean", "avg({})"), ("std", "stddev_samp({})"), ("min", "min({})"), ("max", "max({})")))
+
+
+@query(f"SELECT param AS value, count(*) AS n, {BY_VALUE} FROM ({RUNS}) GROUP BY 1")
 def performance_by_value(spark, sf):
-    found = search.performance_by_value(runs(spark, sf), "param", "f1")
-    return found.select("value", *(F.round(c, 4).alias(c) for c in ("mean", "std", "min", "max")), "n")
+    found = search.performance_by_value(runs(spark, sf), "param", ["f1", "recall"])
+    return rounded(found, *(c for c in found.columns if c not in ("value", "n")), digits=4)
 
 
 # the other queries register themselves

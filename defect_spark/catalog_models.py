@@ -130,6 +130,16 @@ def edited_nn(spark, sf):
     return resample.edited_nn(two_classes(spark, sf)).select("key", "label")
 
 
+@query(None)
+def smote_tomek(spark, sf):
+    return resample.smote_tomek(two_classes(spark, sf), 1).groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("key") < 0).alias("made"))
+
+
+@query(None)
+def smote_enn(spark, sf):
+    return resample.smote_enn(two_classes(spark, sf), 1).groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("key") < 0).alias("made"))
+
+
 # ---- models and scoring ----
 
 PARTS = f"""SELECT row_id, l_orderkey, CASE l_orderkey % 4 WHEN 0 THEN [1 - l_discount, l_discount] WHEN 1 THEN [l_discount, l_tax, 1 - l_discount - l_tax] END AS probability, CASE WHEN l_orderkey % 4 = 2 THEN l_tax * 10 - 0.4 END AS margin FROM ({LINES})"""

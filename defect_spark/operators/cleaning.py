@@ -51,6 +51,12 @@ def drop_duplicate_rows(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(*data).agg(F.min(key).alias(key)).select(*df.columns)
 
 
+def duplicate_count(df: DataFrame, key: str) -> DataFrame:
+    """(n_rows, n_kept, n_removed): what drop_duplicate_rows does to df."""
+    groups = df.groupBy(*(c for c in df.columns if c != key)).agg(F.count("*").alias("n"))
+    return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_kept")).withColumn("n_removed", F.col("n_rows") - F.col("n_kept"))
+
+
 def drop_all_null_columns(df: DataFrame) -> DataFrame:
     held = df.agg(*(F.count(F.col(f"`{c}`")).alias(c) for c in df.columns)).first()
     return df.select(*(F.col(f"`{c}`") for c in df.columns if held[c]))

@@ -75,9 +75,10 @@ def feature_frequency(runs: DataFrame, features: str = "features") -> DataFrame:
     return counts.crossJoin(total).select("feature", "n", (100 * F.col("n") / F.col("runs")).alias("percent"))
 
 
-def performance_by_value(runs: DataFrame, param: str, metric: str) -> DataFrame:
-    """(value, mean, std, min, max, n) of a metric for each value of a parameter; std is the sample's."""
-    return runs.groupBy(F.col(param).alias("value")).agg(F.avg(metric).alias("mean"), F.stddev_samp(metric).alias("std"), F.min(metric).alias("min"), F.max(metric).alias("max"), F.count("*").alias("n"))
+def performance_by_value(runs: DataFrame, param: str, metrics: list[str]) -> DataFrame:
+    """(value, n, then mean, std, min and max of each metric) for each value of a parameter; std is the sample's."""
+    made = [e.alias(f"{m}_{n}") for m in metrics for n, e in (("mean", F.avg(m)), ("std", F.stddev_samp(m)), ("min", F.min(m)), ("max", F.max(m)))]
+    return runs.groupBy(F.col(param).alias("value")).agg(F.count("*").alias("n"), *made)
 
 
 def random_candidates(spark: SparkSession, n: int, features: int, seed: int = 42, most_k: int = 20, prior: list[float] | None = None) -> DataFrame:
