@@ -3,9 +3,9 @@
 A text is its set of word shingles; equal sets are merged before any search. Sets whose SimHash
 fingerprints are linked by the vantage-point trees, and pass the bound on the whole sets, are
 joined first. At a similarity of 0.8 most pairs differ in more bits than trees can search, so the
-rest comes from prefixes: two different sets with a similarity of ``least`` or more share at least
-COMMON shingles of their first n - ceil(least * n) + COMMON of n shingles, in one order for all
-texts. Grouping prefixes finds every such pair, and each candidate is confirmed on the whole sets.
+rest comes from prefixes: two different sets with a similarity of ``least`` or more share one of
+their first n - ceil(least * n) + 1 of n shingles, in one order for all texts. Grouping prefixes
+finds every such pair, and each candidate is confirmed on the whole sets.
 The order puts shingles first that are rare in a sample, which keeps the groups small; the sample
 decides the cost only.
 
@@ -23,14 +23,12 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from defect_spark.llm.common import checkpointed, same, text_key
 from defect_spark.llm.simhash import link_edges, majority, star_roots
 
-#: Common prefix shingles asked of a candidate. Sound up to ceil(least * n) for the smallest n that can have a partner.
-COMMON = 3
 STARS = 4
 
 
@@ -78,7 +76,7 @@ def prefixes(docs: DataFrame, size: int, least: float, sample_rows: int) -> Data
                 if len(known):
                     at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
                     grams = grams[np.lexsort((grams, np.where(known[at] == grams, times[at], 0)))]
-                cuts.append(grams[: n - math.ceil(least * n - 1e-9) + COMMON])
+                cuts.append(grams[: n - math.ceil(least * n - 1e-9) + 1])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(cuts, pa.list_(pa.int64()))], ["doc_id", "key", "cls", "n", "fp", "prefix"])
 
     return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, key long, cls long, n int, fp long, prefix array<long>")
@@ -121,10 +119,21 @@ def star_pairs(groups: DataFrame, most_pairs: int) -> DataFrame:
 
 
 def all_pairs(groups: DataFrame, least: float) -> DataFrame:
-    """(a, b): sets of two components that meet in COMMON groups and are close enough in size."""
-    close = lambda a: lambda b: (b["cls"] > a["cls"]) & (b["part"] != a["part"]) & (F.least(a["n"], b["n"]) >= F.greatest(a["n"], b["n"]) * least - 1e-9)
-    rows = groups.select(F.explode("g").alias("one"), "g").select(F.col("one.cls").alias("a"), F.explode(F.filter("g", close(F.col("one")))).alias("b"))
-    return rows.groupBy("a", F.col("b.cls").alias("b")).agg(F.count("*").alias("k")).where(f"k >= {COMMON}").select("a", "b")
+    """(a, b): sets of two components that can still have a similarity of ``least`` or more.
+
+    A pair needs o = least / (1 + least) of the sum of its sizes in common. Shingles that come
+    before the first common one are not shared, so that one stands at a place of at most the size
+    less o in either set; only there do two sets meet.
+    """
+    need = lambda a, b: F.ceil(least / (1 + least) * (a["n"] + b["n"]) - 1e-9)
+
+    def close(a: Column):
+        size = lambda b: F.least(a["n"], b["n"]) >= F.greatest(a["n"], b["n"]) * least - 1e-9
+        place = lambda b: (a["i"] <= a["n"] - need(a, b)) & (b["i"] <= b["n"] - need(a, b))
+        return lambda b: (b["cls"] > a["cls"]) & (b["part"] != a["part"]) & size(b) & place(b)
+
+    rows = groups.select(F.explode("g").alias("a"), "g").select("a", F.explode(F.filter("g", close(F.col("a")))).alias("b"))
+    return rows.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
 
 
 def keepers(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8192, most_pairs: int = 256, radius: int = 3) -> DataFrame:
@@ -138,13 +147,13 @@ def keepers(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "d
         raise ValueError("least must be over 0.5")
     docs = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     made = checkpointed(prefixes(docs, size, least, sample_rows))
-    rows = made.select(F.explode("prefix").alias("h"), F.struct("cls", "n").alias("x"))
+    rows = made.select("cls", "n", F.posexplode("prefix").alias("i", "h")).select("h", F.struct("cls", "n", "i").alias("x"))
     groups = checkpointed(rows.groupBy("h").agg(F.collect_set("x").alias("g")).where(F.size("g") > 1))
     pairs = checkpointed(twin_pairs(made, radius).union(star_pairs(groups, most_pairs)).distinct())
     linked = checkpointed(confirmed(pairs, made, docs, size, least))
     roots = star_roots(linked).withColumnRenamed("u", "cls")
     members = groups.select("h", F.inline("g")).join(roots, "cls", "left")
-    parted = members.groupBy("h").agg(F.collect_set(F.struct("cls", "n", F.coalesce("root", "cls").alias("part"))).alias("g"))
+    parted = members.groupBy("h").agg(F.collect_set(F.struct("cls", "n", "i", F.coalesce("root", "cls").alias("part"))).alias("g"))
     pairs = checkpointed(all_pairs(parted, least))
     more = confirmed(pairs, made, docs, size, least)
     roots = star_roots(more.union(linked).distinct()).withColumnRenamed("u", "cls")
