@@ -39,6 +39,12 @@ def shingles(text: str | None, size: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), parts), np.uint64).view(np.int64))
 
 
+def parities(grams: np.ndarray) -> np.ndarray:
+    """Two longs of bits: whether a set has an odd number of shingles in each of 128 buckets."""
+    odd = np.bincount(grams & 127, minlength=128) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def set_name(grams: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(grams.tobytes()) - (1 << 63)
 
@@ -58,7 +64,7 @@ def common_shingles(docs: DataFrame, size: int, sample_rows: int, often: int = 3
 
 
 def prefixes(docs: DataFrame, size: int, least: float, sample_rows: int) -> DataFrame:
-    """(doc_id, key, cls, n, fp, prefix): cls names the set, n is its size, fp its fingerprint."""
+    """(doc_id, key, cls, n, fp, s, t, prefix): cls names the set, n is its size, fp its fingerprint, s and t its parities."""
     found = common_shingles(docs, size, sample_rows)
     known = np.array(sorted(found), np.int64)
     shared = docs.sparkSession.sparkContext.broadcast((known, np.array([found[h] for h in known.tolist()], np.int64)))
@@ -66,20 +72,22 @@ def prefixes(docs: DataFrame, size: int, least: float, sample_rows: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = shared.value
         for b in batches:
-            names, sizes, prints, cuts = [], [], [], []
+            names, sizes, prints, odd, cuts = [], [], [], [], []
             for t in b.column(2):
                 grams = shingles(t.as_py(), size)
                 n = len(grams)
                 names.append(set_name(grams))
                 sizes.append(n)
                 prints.append(majority(grams.view(np.uint64)))
+                odd.append(parities(grams))
                 if len(known):
                     at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
                     grams = grams[np.lexsort((grams, np.where(known[at] == grams, times[at], 0)))]
                 cuts.append(grams[: n - math.ceil(least * n - 1e-9) + 1])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(cuts, pa.list_(pa.int64()))], ["doc_id", "key", "cls", "n", "fp", "prefix"])
+            bits = np.array(odd, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.array(cuts, pa.list_(pa.int64()))], ["doc_id", "key", "cls", "n", "fp", "s", "t", "prefix"])
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, key long, cls long, n int, fp long, prefix array<long>")
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, key long, cls long, n int, fp long, s long, t long, prefix array<long>")
 
 
 def confirmed(pairs: DataFrame, made: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
@@ -123,14 +131,16 @@ def all_pairs(groups: DataFrame, least: float) -> DataFrame:
 
     A pair needs o = least / (1 + least) of the sum of its sizes in common. Shingles that come
     before the first common one are not shared, so that one stands at a place of at most the size
-    less o in either set; only there do two sets meet.
+    less o in either set; only there do two sets meet. Each bucket whose parities differ has a
+    shingle that is not shared, so there may be at most as many as the sizes less twice o.
     """
     need = lambda a, b: F.ceil(least / (1 + least) * (a["n"] + b["n"]) - 1e-9)
 
     def close(a: Column):
         size = lambda b: F.least(a["n"], b["n"]) >= F.greatest(a["n"], b["n"]) * least - 1e-9
         place = lambda b: (a["i"] <= a["n"] - need(a, b)) & (b["i"] <= b["n"] - need(a, b))
-        return lambda b: (b["cls"] > a["cls"]) & (b["part"] != a["part"]) & size(b) & place(b)
+        odd = lambda b: F.bit_count(a["s"].bitwiseXOR(b["s"])) + F.bit_count(a["t"].bitwiseXOR(b["t"])) <= a["n"] + b["n"] - 2 * need(a, b)
+        return lambda b: (b["cls"] > a["cls"]) & (b["part"] != a["part"]) & size(b) & place(b) & odd(b)
 
     rows = groups.select(F.explode("g").alias("a"), "g").select("a", F.explode(F.filter("g", close(F.col("a")))).alias("b"))
     return rows.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
@@ -147,13 +157,13 @@ def keepers(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "d
         raise ValueError("least must be over 0.5")
     docs = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     made = checkpointed(prefixes(docs, size, least, sample_rows))
-    rows = made.select("cls", "n", F.posexplode("prefix").alias("i", "h")).select("h", F.struct("cls", "n", "i").alias("x"))
+    rows = made.select("cls", "n", "s", "t", F.posexplode("prefix").alias("i", "h")).select("h", F.struct("cls", "n", "i", "s", "t").alias("x"))
     groups = checkpointed(rows.groupBy("h").agg(F.collect_set("x").alias("g")).where(F.size("g") > 1))
     pairs = checkpointed(twin_pairs(made, radius).union(star_pairs(groups, most_pairs)).distinct())
     linked = checkpointed(confirmed(pairs, made, docs, size, least))
     roots = star_roots(linked).withColumnRenamed("u", "cls")
     members = groups.select("h", F.inline("g")).join(roots, "cls", "left")
-    parted = members.groupBy("h").agg(F.collect_set(F.struct("cls", "n", "i", F.coalesce("root", "cls").alias("part"))).alias("g"))
+    parted = members.groupBy("h").agg(F.collect_set(F.struct("cls", "n", "i", "s", "t", F.coalesce("root", "cls").alias("part"))).alias("g"))
     pairs = checkpointed(all_pairs(parted, least))
     more = confirmed(pairs, made, docs, size, least)
     roots = star_roots(more.union(linked).distinct()).withColumnRenamed("u", "cls")
