@@ -48,6 +48,22 @@ class Codes(dict):
         return number
 
 
+class Grown:
+    """An array that rows are appended to; its space doubles, so appending is cheap."""
+
+    def __init__(self, dtype, *width: int):
+        self.data, self.n = np.zeros((1024, *width), dtype), 0
+
+    def add(self, rows: np.ndarray) -> None:
+        stop = self.n + len(rows)
+        if stop > len(self.data):
+            more = np.zeros((max(stop, 2 * len(self.data)), *self.data.shape[1:]), self.data.dtype)
+            more[: self.n] = self.data[: self.n]
+            self.data = more
+        self.data[self.n : stop] = rows
+        self.n = stop
+
+
 def irregular(text: str) -> bool:
     """White space that merges with its neighbours, so that chunks would interact."""
     return "  " in text or " \n" in text or "\n\n\n" in text or "\n\n " in text or text[-1] == " " or text.endswith("\n\n")
@@ -83,9 +99,10 @@ class Encoder:
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for t, i in vocabulary.items() if t[0] == "Ġ" or t == "Ċ"]] = True
         self.what, self.most, self.width = what, memo, 1 if what == "ids" else 2
-        self.codes, self.used = Codes(), np.zeros(0, np.int64)
-        self.begin, self.size, self.chars = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros((0, self.width), np.int32)
+        self.codes = Codes()
+        # of each chunk: begin and number of its tokens in flat, its characters, in how many batches it was used
+        self.begin, self.size, self.chars, self.used = (Grown(np.int64) for _ in range(4))
+        self.flat = Grown(np.int32, self.width)
 
     def whole(self, text: str) -> np.ndarray:
         """What the library gives for one string."""
@@ -124,27 +141,35 @@ class Encoder:
             made, size[some] = self.group([chunks[i] for i in some])
             parts.append(made)
         size[np.flatnonzero(odd)] = -1
-        held, begin = len(self.flat), np.zeros(len(fresh), np.int64)
+        held, begin = self.flat.n, np.zeros(len(fresh), np.int64)
         begin[plain] = held + np.cumsum(size[plain]) - size[plain]
         if any(lone):
             begin[np.flatnonzero(lone)] = held + sum(map(len, parts))
             parts.append(self.whole("\n"))
-        self.flat = np.concatenate([self.flat, *parts])
-        self.begin, self.size = np.r_[self.begin, begin], np.r_[self.size, size]
-        self.chars = np.r_[self.chars, np.fromiter(map(len, chunks), np.int64, len(chunks))]
-        self.used = np.r_[self.used, np.zeros(len(fresh), np.int64)]
+        for made in parts:
+            self.flat.add(made)
+        self.begin.add(begin)
+        self.size.add(size)
+        self.chars.add(np.fromiter(map(len, chunks), np.int64, len(chunks)))
+        self.used.add(np.zeros(len(fresh), np.int64))
 
     def forget(self) -> None:
         """Drops the half of the chunks that was used least."""
-        keep = np.sort(np.argsort(-self.used, kind="stable")[: self.most // 2])
+        n = len(self.codes)
+        keep = np.sort(np.argsort(-self.used.data[:n], kind="stable")[: self.most // 2])
         names = list(self.codes)
         self.codes = Codes()
         for new, old in enumerate(keep.tolist()):
             self.codes[names[old]] = new
-        size = np.maximum(self.size[keep], 0)
-        self.flat = self.flat[gathered(self.begin[keep], size)]
-        self.begin, self.size, self.chars = np.cumsum(size) - size, self.size[keep], self.chars[keep]
-        self.used = np.zeros(len(keep), np.int64)
+        begin, size, chars, flat = self.begin.data[keep], self.size.data[keep], self.chars.data[keep], self.flat
+        held = np.maximum(size, 0)
+        self.begin, self.size, self.chars, self.used = (Grown(np.int64) for _ in range(4))
+        self.flat = Grown(np.int32, self.width)
+        self.flat.add(flat.data[gathered(begin, held)])
+        self.begin.add(np.cumsum(held) - held)
+        self.size.add(size)
+        self.chars.add(chars)
+        self.used.add(np.zeros(len(keep), np.int64))
 
     def texts(self, texts: list[str]) -> list[np.ndarray]:
         """For each text what the library gives for the whole of it."""
@@ -161,12 +186,12 @@ class Encoder:
         codes = np.fromiter(map(self.codes.__getitem__, keys), np.int64, len(keys))
         if self.codes.fresh:
             self.learn()
-        self.used += np.bincount(codes, minlength=len(self.used))
-        size = self.size[codes]
+        self.used.data[codes] += 1
+        size = self.size.data[codes]
         odd = size < 0
         size = np.maximum(size, 0)
-        made = self.flat[gathered(self.begin[codes], size)]
-        ends, chars = np.r_[0, np.cumsum(size)], np.r_[0, np.cumsum(self.chars[codes])]
+        made = self.flat.data[gathered(self.begin.data[codes], size)]
+        ends, chars = np.r_[0, np.cumsum(size)], np.r_[0, np.cumsum(self.chars.data[codes])]
         if self.what == "spans":
             made = made + np.repeat(chars[:-1], size)[:, None].astype(np.int32)
         out: list[np.ndarray | None] = [None] * len(texts)
