@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from defect_spark.llm import chat, decontaminate, language, licenses, line_dedup, quality, repair, simhash, spelling, token_counts, unigram
+from defect_spark.llm import chat, decontaminate, language, licenses, line_dedup, prefix_trie, quality, repair, simhash, spelling, token_counts, unigram
 from defect_spark.llm.common import table
 
 
@@ -63,9 +63,13 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_join(names, ",").alias("licenses"), F.coalesce(F.array_max(F.transform("matches", lambda m: m["score"])), F.lit(0.0)).alias("best_score"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_line_dedup, op3_decontaminate, op4_token_counts, op5_language, op6_sentencepiece, op7_quality, op8_token_ids, op9_simhash, op10_licenses, op12_spelling)}
-ORACLES = {"op1_chat_format": chat.ORACLE, "op3_decontaminate": decontaminate.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_line_dedup, op3_decontaminate, op4_token_counts, op5_language, op6_sentencepiece, op7_quality, op8_token_ids, op9_simhash, op10_licenses, op11_prefix_trie, op12_spelling)}
+ORACLES = {"op1_chat_format": chat.ORACLE, "op3_decontaminate": decontaminate.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE}
