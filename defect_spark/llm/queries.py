@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from defect_spark.llm import chat, decontaminate, language, licenses, line_dedup, prefix_trie, quality, repair, simhash, spelling, token_counts, unigram
+from defect_spark.llm import chat, decontaminate, language, licenses, line_dedup, packing, prefix_trie, quality, repair, simhash, spelling, token_counts, unigram
 from defect_spark.llm.common import table
 
 
@@ -71,5 +71,9 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_line_dedup, op3_decontaminate, op4_token_counts, op5_language, op6_sentencepiece, op7_quality, op8_token_ids, op9_simhash, op10_licenses, op11_prefix_trie, op12_spelling)}
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), with_ids=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_line_dedup, op3_decontaminate, op4_token_counts, op5_language, op6_sentencepiece, op7_quality, op8_token_ids, op9_simhash, op10_licenses, op11_prefix_trie, op12_spelling, op13_packing)}
 ORACLES = {"op1_chat_format": chat.ORACLE, "op3_decontaminate": decontaminate.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE}
