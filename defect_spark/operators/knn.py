@@ -1,4 +1,4 @@
-"""Exact nearest neighbours of a query set, block against block, and votes."""
+"""Exact nearest neighbours of a query set, by blocks that pivots allow, and votes."""
 
 from __future__ import annotations
 
@@ -9,21 +9,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from defect_spark.operators import ranges
+
 BLOCK = 2048
 
 
-def blocks(df: DataFrame, key: str, vector: str, name: str, *more: str) -> DataFrame:
+def blocks(df: DataFrame, key: str, vector: str, name: str, *more: str | Column) -> DataFrame:
     """Rows (key, vector and more columns) packed to blocks of about BLOCK rows by a hash of the key."""
     number = max(1, -(-df.count() // BLOCK))
     cells = df.select(F.pmod(F.xxhash64(key), F.lit(number)).alias("b"), F.struct(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"), *more).alias("x"))
     return cells.groupBy("b").agg(F.collect_list("x").alias(name)).drop("b")
 
 
-def knn_join(queries: DataFrame, base: DataFrame, k: int, key: str, vector: str, p: float = 2.0) -> DataFrame:
-    """(query_id, base_id, dist, rank): the k nearest other rows of base by the Minkowski distance, ties by base_id.
+def distances(y: np.ndarray, x: np.ndarray, p: float) -> np.ndarray:
+    """The Minkowski distances of the rows of y from the point x."""
+    diff = np.abs(y - x)
+    return np.sqrt((diff * diff).sum(1)) if p == 2 else diff.sum(1) if p == 1 else (diff**p).sum(1) ** (1 / p)
 
-    Keys must be longs; vectors of one length, without nulls. A row isn't its own neighbour.
-    """
+
+def nearest(d: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k least finite distances, ties by key."""
+    if len(d) > k:
+        # all at the k-th distance, so that ties go by key
+        some = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+        near = some[np.lexsort((keys[some], d[some]))[:k]]
+    else:
+        near = np.lexsort((keys, d))
+    return near[np.isfinite(d[near])]
+
+
+def searched(pairs: DataFrame, k: int, p: float) -> DataFrame:
+    """(query_id, base_id, dist) of packs of queries q and blocks of rows o: the k nearest of each block within a query's limit."""
 
     def side(cell) -> tuple[np.ndarray, np.ndarray]:
         keys = np.asarray(cell.values.field("key"))
@@ -34,28 +50,115 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, key: str, vector: str,
             for row in range(b.num_rows):
                 q, x = side(b.column("q")[row])
                 o, y = side(b.column("o")[row])
+                limits = np.asarray(b.column("q")[row].values.field("limit"))
                 out = []
                 for at in range(len(q)):
-                    diff = np.abs(y - x[at])
-                    d = np.sqrt((diff * diff).sum(1)) if p == 2 else diff.sum(1) if p == 1 else (diff**p).sum(1) ** (1 / p)
-                    d[o == q[at]] = np.inf
-                    if len(d) > k:
-                        # all at the k-th distance, so that ties go by base_id
-                        some = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-                        near = some[np.lexsort((o[some], d[some]))[:k]]
-                    else:
-                        near = np.lexsort((o, d))
-                    near = near[np.isfinite(d[near])]
+                    d = distances(y, x[at], p)
+                    d[(o == q[at]) | (d > limits[at])] = np.inf
+                    near = nearest(d, o, k)
                     out.append((np.full(len(near), q[at]), o[near], d[near]))
                 a, c, d = (np.concatenate(v) for v in zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(d)], ["query_id", "base_id", "dist"])
 
-    pairs = blocks(base, key, vector, "o").crossJoin(blocks(queries, key, vector, "q"))
-    near = pairs.mapInArrow(run, "query_id long, base_id long, dist double")
+    return pairs.select("q", "o").mapInArrow(run, "query_id long, base_id long, dist double")
+
+
+def merged(near: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy("dist", "base_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+SLACK = 1 + 1e-9  # rounding of distances must not cut a tie off
+
+
+def pivot_search(queries: DataFrame, base: DataFrame, k: int, key: str, vector: str, p: float = 2.0, block_rows: int = BLOCK, most_pivots: int = 256) -> tuple[DataFrame, DataFrame]:
+    """(neighbours, work) by blocks that the triangle inequality allows; p must be 1 or more.
+
+    At most ``most_pivots`` rows are pivots. Each row belongs to its nearest pivot's cell, and a
+    cell is cut by the distance from the pivot into blocks of ``block_rows``, so a block is a ring
+    with an inner and an outer radius. The counts and radii of the cells bound a query's k-th
+    distance at first; the block around the query in its own cell bounds it again; then it goes to
+    every other block whose ring comes within that bound. work has (query blocks shipped, pairs
+    compared, all pairs).
+    """
+    if p < 1:
+        raise ValueError("pivots need a metric: p must be 1 or more")
+    pick = lambda df: df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+    base, queries = pick(base), pick(queries)
+    n = base.count()
+    if not n:
+        none = base.sparkSession.createDataFrame([], "query_id long, base_id long, dist double")
+        return merged(none, k), base.sparkSession.createDataFrame([(0, 0, 0)], "shipped long, compared long, all_pairs long")
+    some = base.orderBy(F.xxhash64("key"), "key").limit(max(1, min(most_pivots, -(-n // block_rows)))).collect()
+    pivots = np.unique(np.array([r.vector for r in some], float), axis=0)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.asarray(b.column("vector").flatten()).reshape(b.num_rows, -1)
+            d = np.array([distances(pivots, v, p) for v in x]).reshape(b.num_rows, -1)
+            cell = d.argmin(1) if d.size else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("vector"), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], ["key", "vector", "c", "far"])
+
+    assigned = base.mapInArrow(assign, "key long, vector array<double>, c int, far double")
+    rows = ranges.ranks(assigned, ["c"], ["far", "key"], "at").withColumn("block", F.floor(F.col("at") / block_rows))
+    made = rows.groupBy("c", "block").agg(F.collect_list(F.struct("key", "vector")).alias("o"), F.min("far").alias("low"), F.max("far").alias("high"), F.count("*").alias("n"))  # block_rows at most
+    made = ranges.checkpointed(made)
+    rings = made.select("c", "block", "low", "high", "n")
+    cells = {r.c: r for r in rings.groupBy("c").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).collect()}  # a row a pivot
+    held = np.array(sorted(cells), np.int64)
+    low, high, number = (np.array([cells[c][x] for c in held.tolist()], float) for x in ("low", "high", "n"))
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.asarray(b.column("vector").flatten()).reshape(b.num_rows, -1)
+            out = []
+            for i, q in enumerate(b.column("key").to_pylist()):
+                d = distances(pivots[held], x[i], p)
+                order = np.argsort(d + high)
+                # all rows of the first cells in this order are within the last one's reach; one may be the query itself
+                enough = np.searchsorted(np.cumsum(number[order]), k + 1)
+                limit = float((d + high)[order[enough]]) * SLACK if enough < len(order) else np.inf
+                on = np.flatnonzero((low - d <= limit) & (d - high <= limit))
+                out.append((np.full(len(on), q), held[on], d[on], np.full(len(on), limit)))
+            if out:
+                a, c, d, limit = (np.concatenate(v) for v in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c.astype(np.int32)), pa.array(d), pa.array(limit)], ["key", "c", "d", "limit"])
+
+    gap = F.greatest(F.lit(0.0), F.col("low") - F.col("d"), F.col("d") - F.col("high"))
+    pairs = queries.mapInArrow(reach, "key long, c int, d double, limit double").join(rings, "c").withColumn("gap", gap).where("gap <= limit")
+    home = F.row_number().over(Window.partitionBy("key").orderBy("gap", "d", "c", "block"))
+    pairs = ranges.checkpointed(pairs.select("key", "c", "block", "limit", "gap", "n", (home == 1).alias("home")))
+
+    def shipped(asked: DataFrame) -> DataFrame:
+        sizes = asked.groupBy("c", "block").agg(F.ceil(F.count("*") / block_rows).alias("packs"))
+        sent = asked.join(queries, "key").join(sizes, ["c", "block"])
+        packs = sent.groupBy("c", "block", F.pmod(F.xxhash64("key"), F.col("packs")).alias("pack")).agg(F.collect_list(F.struct("key", "vector", "limit")).alias("q"))
+        return searched(packs.join(made.select("c", "block", "o"), ["c", "block"]), k, p)
+
+    first = ranges.checkpointed(shipped(pairs.where("home")))
+    bounds = first.groupBy(F.col("query_id").alias("key")).agg(F.when(F.count("*") >= k, F.max("dist") * SLACK).alias("bound"))
+    more = pairs.where("not home").join(bounds, "key", "left").withColumn("limit", F.least("limit", "bound")).where("gap <= limit")
+    more = ranges.checkpointed(more.select("key", "c", "block", "limit", "gap", "n"))
+    counted = pairs.where("home").select("n").union(more.select("n"))
+    asked = queries.agg(F.count("*").alias("asked"))
+    work = counted.agg(F.count("*").alias("shipped"), F.coalesce(F.sum("n"), F.lit(0)).alias("compared")).crossJoin(asked).select("shipped", "compared", (F.col("asked") * n).alias("all_pairs"))  # one row
+    return merged(first.unionByName(shipped(more)), k), work
+
+
+def knn_join(queries: DataFrame, base: DataFrame, k: int, key: str, vector: str, p: float = 2.0, block_rows: int = BLOCK) -> DataFrame:
+    """(query_id, base_id, dist, rank): the k nearest other rows of base by the Minkowski distance, ties by base_id.
+
+    Keys must be longs; vectors of one length, without nulls. A row isn't its own neighbour. A
+    base of more than four blocks is searched by pivots; where p is below 1, which is no metric,
+    every block is compared.
+    """
+    if p >= 1 and base.count() > 4 * block_rows:
+        return pivot_search(queries, base, k, key, vector, p, block_rows)[0]
+    free = F.lit(float("inf")).alias("limit")
+    pairs = blocks(base, key, vector, "o").crossJoin(blocks(queries, key, vector, "q", free))
+    return merged(searched(pairs, k, p), k)
+
+
 def knn_shares(neighbours: DataFrame, labels: DataFrame, key: str, label: str, weights: str = "uniform") -> DataFrame:
     """(query_id, label, w, share): each label's weight among the neighbours, and its share of all.
 
