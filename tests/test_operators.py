@@ -159,7 +159,7 @@ def test_models_fit_score_and_store(spark, tmp_path):
     flat = df.selectExpr("key", "label", "vector[0] as a", "vector[1] as b", "vector[2] as c")
     columns = ["a", "b", "c"]
     made = [models.fit_logistic(flat, columns, "label"), models.fit_random_forest(flat, columns, "label", trees=5)]
-    made += [models.fit_svm(flat, columns, "label", "key", kernel=k, landmarks=12, iterations=12) for k in ("linear", "poly", "rbf", "sigmoid")]
+    made += [models.fit_svm(flat, columns, "label", "key", kernel=k, landmarks=12, passes=6) for k in ("linear", "poly", "rbf", "sigmoid")]
     for model in made:
         scored = models.probabilities(model, flat, columns, "key", "label").withColumn("prediction", models.apply_threshold(F.col("probability"), F.col("own"), 0.5))
         row = models.evaluate(models.prediction_rows(scored, "key")).first()
