@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from defect_spark.operators import cleaning, features, knn, metrics, models, profile, resample, search, splits
+from defect_spark.operators import cleaning, features, knn, metrics, models, profile, resample, search, splits, svm
 from defect_spark.plans.preprocess import PreprocessPlan
 from defect_spark.plans.views import LINES, RESULTS, SCORED_ROWS, TARGETS, doc_defects, line_defects, results, scored_rows, table, targets
 from defect_spark.registry import query, rounded
@@ -108,36 +108,46 @@ U = "(('0x' || substr(md5(concat_ws(':', '42', '{0}', i)), 1, 8))::BIGINT / 4294
 GAP, BASE, PICK = U.format("gap"), U.format("base"), U.format("near")
 
 
-@query(f"""WITH t AS ({TWO}), m AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || key), key) - 1 AS r FROM t WHERE label = 1), c AS (SELECT count(*) FILTER (WHERE label = 1) AS few, count(*) FILTER (WHERE label = 0) AS many FROM t),
+MADE = f"""WITH t AS ({TWO}), m AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || key), key) - 1 AS r FROM t WHERE label = 1), c AS (SELECT count(*) FILTER (WHERE label = 1) AS few, count(*) FILTER (WHERE label = 0) AS many FROM t),
 near AS (SELECT * FROM (SELECT a.key AS a, b.key AS b, b.vector AS y, row_number() OVER (PARTITION BY a.key ORDER BY list_distance(a.vector, b.vector), b.key) AS j FROM m a, m b WHERE a.key <> b.key) WHERE j <= 5),
 d AS (SELECT i, CAST(floor({BASE} * few) AS BIGINT) AS r, CAST(floor({PICK} * least(5, few - 1)) AS BIGINT) + 1 AS j, {GAP} AS u FROM c, range((SELECT many - few FROM c)) t(i))
-SELECT -1 - d.i AS key, 1 AS label, round(list_sum(list_transform(range(1, 65), lambda k: m.vector[k] + d.u * (near.y[k] - m.vector[k]))), 5) AS total FROM d JOIN m USING (r) JOIN near ON near.a = m.key AND near.j = d.j""")
+SELECT -1 - d.i AS key, 1 AS label, list_transform(range(1, 65), lambda k: m.vector[k] + d.u * (near.y[k] - m.vector[k])) AS vector FROM d JOIN m USING (r) JOIN near ON near.a = m.key AND near.j = d.j"""
+
+
+@query(f"SELECT key, label, i, round(x, 5) AS x FROM (SELECT key, label, unnest(range(64)) AS i, unnest(vector) AS x FROM ({MADE}))")
 def smote(spark, sf):
     made = resample.smote(two_classes(spark, sf), 1).where("key < 0")
-    return rounded(made.select("key", "label", F.aggregate("vector", F.lit(0.0), lambda a, x: a + x).alias("total")), "total", digits=5)
+    return rounded(made.select("key", "label", F.posexplode("vector").alias("i", "x")).withColumn("i", F.col("i").cast("long")), "x", digits=5)
 
 
-NEXT = f"SELECT a.key AS a, b.key AS b, a.label AS la, b.label AS lb, row_number() OVER (PARTITION BY a.key ORDER BY list_distance(a.vector, b.vector), b.key) AS j FROM ({TWO}) a, ({TWO}) b WHERE a.key <> b.key"
+def next_sql(rows: str, k: int) -> str:
+    """(a, b, la, lb, j): the k nearest other rows of each row of a table (key, label, vector)."""
+    return f"""SELECT a, p.b AS b, la, p.lb AS lb, j FROM (SELECT a, la, unnest(near) AS p, unnest(range(1, len(near) + 1)) AS j FROM (
+  SELECT a.key AS a, a.label AS la, list_slice(list_sort(list({{'d': list_distance(a.vector, b.vector), 'b': b.key, 'lb': b.label}})), 1, {k}) AS near FROM {rows} a JOIN {rows} b ON a.key <> b.key GROUP BY 1, 2))"""
 
 
-@query(f"WITH n AS (SELECT * FROM ({NEXT}) WHERE j = 1) SELECT x.a, x.b FROM n x JOIN n y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b AND x.la <> x.lb")
+@query(f"WITH t AS MATERIALIZED ({TWO}), n AS MATERIALIZED ({next_sql('t', 1)}) SELECT x.a, x.b FROM n x JOIN n y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b AND x.la <> x.lb")
 def tomek_links(spark, sf):
     return resample.tomek_links(two_classes(spark, sf))
 
 
-@query(f"SELECT a AS key, la AS label FROM ({NEXT}) WHERE j <= 3 GROUP BY 1, 2 HAVING bool_and(la = lb)")
+@query(f"WITH t AS MATERIALIZED ({TWO}) SELECT a AS key, la AS label FROM ({next_sql('t', 3)}) GROUP BY 1, 2 HAVING bool_and(la = lb)")
 def edited_nn(spark, sf):
     return resample.edited_nn(two_classes(spark, sf)).select("key", "label")
 
 
-@query(None)
+OVER = f"WITH made AS MATERIALIZED ({MADE}), v AS MATERIALIZED (SELECT key, label, vector FROM ({TWO}) UNION ALL SELECT key, label, vector FROM made)"
+
+
+@query(f"""{OVER}, n AS MATERIALIZED ({next_sql('v', 1)}), gone AS (SELECT x.a AS key FROM n x JOIN n y ON x.a = y.b AND x.b = y.a WHERE x.la <> x.lb)
+SELECT key, label FROM v WHERE key NOT IN (SELECT key FROM gone)""")
 def smote_tomek(spark, sf):
-    return resample.smote_tomek(two_classes(spark, sf), 1).groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("key") < 0).alias("made"))
+    return resample.smote_tomek(two_classes(spark, sf), 1).select("key", "label")
 
 
-@query(None)
+@query(f"{OVER} SELECT a AS key, la AS label FROM ({next_sql('v', 3)}) GROUP BY 1, 2 HAVING bool_and(la = lb)")
 def smote_enn(spark, sf):
-    return resample.smote_enn(two_classes(spark, sf), 1).groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("key") < 0).alias("made"))
+    return resample.smote_enn(two_classes(spark, sf), 1).select("key", "label")
 
 
 # ---- models and scoring ----
@@ -175,27 +185,29 @@ def soft_vote(spark, sf):
     return rounded(models.soft_vote(members, "row_id"), "probability")
 
 
-SCALED = """SELECT vec_id AS key, CAST(label = 0 AS INTEGER) AS label, vec_id % 10 = 0 AS is_test, list_transform(range(1, 9), lambda i: embedding[i]::DOUBLE) AS x FROM embeddings"""
+SCALED = """SELECT vec_id AS key, CAST(label = 0 AS INTEGER) AS label, vec_id % 10 = 0 AS is_test, list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE) AS x FROM embeddings"""
 
 
-@query(f"""WITH e AS ({SCALED}), s AS (SELECT [{', '.join(f'avg(x[{i}])' for i in range(1, 9))}] AS m, [{', '.join(f'stddev_pop(x[{i}])' for i in range(1, 9))}] AS d FROM e WHERE NOT is_test),
-z AS (SELECT key, label, is_test, list_transform(range(1, 9), lambda i: (x[i] - m[i]) / d[i]) AS x FROM e, s),
+@query(f"""WITH e AS ({SCALED}), s AS (SELECT [{', '.join(f'avg(x[{i}])' for i in range(1, 65))}] AS m, [{', '.join(f'stddev_pop(x[{i}])' for i in range(1, 65))}] AS d FROM e WHERE NOT is_test),
+z AS (SELECT key, label, is_test, list_transform(range(1, 65), lambda i: (x[i] - m[i]) / d[i]) AS x FROM e, s),
 n AS (SELECT * FROM (SELECT a.key, a.label, b.label AS near, row_number() OVER (PARTITION BY a.key ORDER BY list_distance(a.x, b.x), b.key) AS k FROM z a, z b WHERE a.is_test AND NOT b.is_test) WHERE k <= 5),
 p AS (SELECT key, label, avg(near) AS p FROM n GROUP BY 1, 2)
 SELECT key, label, CAST(p >= 0.3 AS INTEGER) AS prediction, round(p, 6) AS probability, round(CASE WHEN p >= 0.3 THEN p ELSE 1 - p END, 6) AS confidence, label = CAST(p >= 0.3 AS INTEGER) AS correct FROM p""")
 def batch_score(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").cast("long").alias("key"), (F.col("label") == 0).cast("int").alias("label"), *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)))
-    model = models.fit_knn(e.where("key % 10 <> 0"), [f"x{i}" for i in range(8)], "label", "key")
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").cast("long").alias("key"), (F.col("label") == 0).cast("int").alias("label"), *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)))
+    model = models.fit_knn(e.where("key % 10 <> 0"), [f"x{i}" for i in range(64)], "label", "key")
     return rounded(models.batch_score(e.where("key % 10 = 0"), model, "key", "label", 0.3), "probability", "confidence")
 
 
 def fitted(spark, sf, fit) -> DataFrame:
-    """Metrics on its own rows of a model of line items by label."""
-    columns = ["l_quantity", "l_discount", "l_tax"]
+    """Metrics on held-out rows (a fifth of each class) of a model of line items by label."""
+    columns = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
     df = line_defects(spark, sf).select("row_id", "label", *(F.col(c).cast("double").alias(c) for c in columns))
-    made = models.probabilities(fit(df, columns), df, columns, "row_id", "label")
-    rows = made.withColumn("prediction", models.apply_threshold(F.col("probability"), F.col("own"), 0.5))
-    return models.evaluate(models.prediction_rows(rows, "row_id"))
+    parted = splits.train_test_split(df, "label", "row_id")
+    train, test = parted.where("not is_test").drop("is_test"), parted.where("is_test").drop("is_test")
+    scaler = features.fit_scaler(train, columns)
+    model = models.ModelPackage(fit(features.apply_scaler(train, scaler, columns), columns), columns, scaler)
+    return models.evaluate(models.batch_score(test, model, "row_id", "label"))
 
 
 @query(None)
@@ -205,12 +217,12 @@ def fit_logistic(spark, sf):
 
 @query(None)
 def fit_random_forest(spark, sf):
-    return fitted(spark, sf, lambda df, columns: models.fit_random_forest(df, columns, "label", trees=20))
+    return fitted(spark, sf, lambda df, columns: models.fit_random_forest(df, columns, "label"))
 
 
 @query(None)
 def fit_svm(spark, sf):
-    return fitted(spark, sf, lambda df, columns: models.fit_svm(df, columns, "label", "row_id", landmarks=10))
+    return fitted(spark, sf, lambda df, columns: models.fit_svm(df, columns, "label", "row_id"))
 
 
 # ---- evaluation ----
@@ -295,34 +307,80 @@ DRAW = "(('0x' || substr(md5(concat_ws(':', '42', {0})), 1, 8))::BIGINT / 429496
 FRACTIONS = [0.1, 0.325, 0.55, 0.775, 1.0]
 
 
-def centroid_score(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Each test row gets the label with the nearest mean of the training rows, the smallest on a tie."""
-    means = train.groupBy("label").agg(*(F.avg(f"x{i}").alias(f"m{i}") for i in range(4))).withColumnRenamed("label", "prediction")
-    square = sum((F.col(f"x{i}") - F.col(f"m{i}")) * (F.col(f"x{i}") - F.col(f"m{i}")) for i in range(4))
-    pairs = test.crossJoin(F.broadcast(means))  # a row for each of the ten labels
-    return pairs.groupBy("key").agg(F.min_by("prediction", F.struct(square.alias("d"), "prediction")).alias("prediction"))
+CURVE = """e AS (SELECT CAST(vec_id AS BIGINT) AS key, {0} AS label, embedding::DOUBLE[] AS v FROM embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || key), key) - 1 AS r, count(*) OVER (PARTITION BY label) AS n FROM e),
+s AS (SELECT key, label, v, r % 5 AS fold, (r // 5 + 1) / ceil(n / 5) AS share FROM r), c AS (SELECT f.fraction, g.fold FROM (SELECT unnest([0.1, 0.325, 0.55, 0.775, 1.0]::DOUBLE[]) AS fraction) f, range(5) g(fold))"""
 
 
-@query(f"""WITH e AS (SELECT CAST(vec_id AS BIGINT) AS key, label, embedding[1]::DOUBLE AS x0, embedding[2]::DOUBLE AS x1, embedding[3]::DOUBLE AS x2, embedding[4]::DOUBLE AS x3 FROM embeddings),
-r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || key), key) - 1 AS r, count(*) OVER (PARTITION BY label) AS n FROM e),
-s AS (SELECT *, r % 5 AS fold, (r // 5 + 1) / ceil(n / 5) AS share FROM r), c AS (SELECT f.fraction, g.fold FROM (SELECT unnest([0.1, 0.325, 0.55, 0.775, 1.0]::DOUBLE[]) AS fraction) f, range(5) g(fold)),
-m AS (SELECT c.fraction, c.fold, label, avg(x0) AS m0, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3 FROM c JOIN s ON s.fold <> c.fold AND s.share <= c.fraction GROUP BY 1, 2, 3),
-p AS (SELECT m.fraction, m.fold, s.key, s.label, m.label AS prediction, row_number() OVER (PARTITION BY m.fraction, s.key ORDER BY (x0 - m0) * (x0 - m0) + (x1 - m1) * (x1 - m1) + (x2 - m2) * (x2 - m2) + (x3 - m3) * (x3 - m3), m.label) AS k FROM s JOIN m ON s.fold = m.fold)
+@query(f"""WITH {CURVE.format("label")},
+m AS (SELECT c.fraction, c.fold, label, i, avg(v[i]) AS m FROM c JOIN s ON s.fold <> c.fold AND s.share <= c.fraction, range(1, 65) t(i) GROUP BY 1, 2, 3, 4), w AS MATERIALIZED (SELECT fraction, fold, label, list(m ORDER BY i) AS m FROM m GROUP BY 1, 2, 3),
+p AS (SELECT w.fraction, w.fold, s.key, s.label, w.label AS prediction, row_number() OVER (PARTITION BY w.fraction, s.key ORDER BY list_distance(s.v, w.m), w.label) AS k FROM s JOIN w ON s.fold = w.fold)
 SELECT fraction, CAST(fold AS INTEGER) AS fold, count(*) FILTER (WHERE label = prediction) AS correct, count(*) AS n FROM p WHERE k = 1 GROUP BY 1, 2""")
 def learning_curve(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").cast("long").alias("key"), "label", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(4)))
-    return splits.learning_curve(e, "label", "key", centroid_score, FRACTIONS)
+    return splits.means_curve(table(spark, sf, "embeddings").withColumn("key", F.col("vec_id").cast("long")), "label", "key", "embedding", FRACTIONS)
+
+
+@query(f"""WITH {CURVE.format("CAST(label = 0 AS INTEGER)")}, pairs AS MATERIALIZED (SELECT q.key, q.fold, q.label, b.key AS near, b.label AS "is", b.fold AS other, b.share, list_distance(q.v, b.v) AS d FROM s q JOIN s b ON q.fold <> b.fold),
+k AS (SELECT c.fraction, c.fold, greatest(1, least(5, 20, count(*) // 5)) AS k FROM c JOIN s ON s.fold <> c.fold AND s.share <= c.fraction GROUP BY 1, 2),
+o AS (SELECT k.fraction, p.fold, p.key, p.label, p."is", k.k, row_number() OVER (PARTITION BY k.fraction, p.key ORDER BY d, near) AS j FROM pairs p JOIN k ON k.fold = p.fold AND p.share <= k.fraction),
+v AS (SELECT fraction, fold, key, label, CAST(avg("is") > 0.5 AS INTEGER) AS p FROM o WHERE j <= k GROUP BY 1, 2, 3, 4)
+SELECT fraction, CAST(fold AS INTEGER) AS fold, count(*) FILTER (WHERE label = 0 AND p = 0) AS tn, count(*) FILTER (WHERE label = 0 AND p = 1) AS fp, count(*) FILTER (WHERE label = 1 AND p = 0) AS fn, count(*) FILTER (WHERE label = 1 AND p = 1) AS tp FROM v GROUP BY 1, 2""")
+def knn_learning_curve(spark, sf):
+    return search.knn_curve(two_classes(spark, sf), "label", "key", "vector", fractions=FRACTIONS)
 
 
 # ---- search steps ----
 
-@query(f"""SELECT i AS candidate, CAST(floor({DRAW.format("'k', i")} * 20) AS INTEGER) + 1 AS k, CASE WHEN {DRAW.format("'weights', i")} < 0.5 THEN 'uniform' ELSE 'distance' END AS weights, CASE WHEN {DRAW.format("'p', i")} < 0.5 THEN 1 ELSE 2 END AS p,
-  array_to_string(list_transform(range(8), lambda j: CAST({DRAW.format("'mask', i, j")} < 0.5 AS INTEGER)), '') AS mask FROM range((SELECT count(*) FROM customer)) t(i)""")
+@query(f"""SELECT c_custkey AS candidate, CAST(floor({DRAW.format("'k', c_custkey")} * 20) AS INTEGER) + 1 AS k, CASE WHEN {DRAW.format("'weights', c_custkey")} < 0.5 THEN 'uniform' ELSE 'distance' END AS weights, CASE WHEN {DRAW.format("'p', c_custkey")} < 0.5 THEN 1 ELSE 2 END AS p,
+  array_to_string(list_transform(range(8), lambda j: CAST({DRAW.format("'mask', c_custkey, j")} < 0.5 AS INTEGER)), '') AS mask FROM customer""")
 def random_candidates(spark, sf):
-    made = search.random_candidates(spark, table(spark, sf, "customer").count(), 8)
+    made = search.random_candidates(table(spark, sf, "customer"), "c_custkey", 8)
     return made.withColumn("mask", F.array_join(F.col("mask").cast("array<string>"), ""))
 
 
+@query(f"""SELECT c_custkey AS candidate, round(0.01 + {DRAW.format("'c', c_custkey")} * 9.99, 6) AS c, round(0.001 + {DRAW.format("'gamma', c_custkey")} * 9.999, 6) AS gamma, ['linear', 'poly', 'rbf', 'sigmoid'][1 + CAST(floor({DRAW.format("'kernel', c_custkey")} * 4) AS BIGINT)] AS kernel,
+  2 + CAST(floor({DRAW.format("'degree', c_custkey")} * 4) AS INTEGER) AS degree, round({DRAW.format("'coef0', c_custkey")} * 10, 6) AS coef0, array_to_string(list_transform(range(8), lambda j: CAST({DRAW.format("'mask', c_custkey, j")} < 0.1 * (j + 1) AS INTEGER)), '') AS mask FROM customer""")
+def random_svm_candidates(spark, sf):
+    made = search.random_svm_candidates(table(spark, sf, "customer"), "c_custkey", 8, prior=[0.1 * (i + 1) for i in range(8)])
+    return rounded(made.withColumn("mask", F.array_join(F.col("mask").cast("array<string>"), "")), "c", "gamma", "coef0")
+
+
+GENES = "SELECT CAST(o_orderkey AS BIGINT) AS candidate, list_transform(range(6), lambda i: CAST((o_orderkey * (37 + i * 11)) % 101 AS DOUBLE) / 101) AS genes FROM orders"
+
+
+def genes(spark, sf) -> DataFrame:
+    made = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: (F.col("o_orderkey") * (37 + i * 11) % 101).cast("double") / 101)
+    return table(spark, sf, "orders").select(F.col("o_orderkey").cast("long").alias("candidate"), made.alias("genes"))
+
+
+@query(f"""SELECT candidate, array_to_string(list_transform(genes[1:3], lambda g: CAST(g > 0.5 AS INTEGER)), '') AS mask, CAST(greatest(1, floor(genes[4] * 20)) AS INTEGER) AS k, CASE WHEN genes[5] > 0.5 THEN 'distance' ELSE 'uniform' END AS weights,
+  CASE WHEN genes[6] < 0.33 THEN 1 WHEN genes[6] < 0.66 THEN 2 ELSE 3 END AS p FROM ({GENES})""")
+def decode_genes(spark, sf):
+    return search.decode_genes(genes(spark, sf)).select("candidate", F.array_join(F.col("mask").cast("array<string>"), "").alias("mask"), "k", "weights", "p")
+
+
+@query(f"""SELECT candidate, i, round(CASE WHEN {DRAW.format("'whether', candidate, i")} < 0.3 THEN genes[i + 1] + 0.2 * sqrt(-2 * ln(1 - {DRAW.format("'length', candidate, i")})) * cos(2 * pi() * {DRAW.format("'angle', candidate, i")}) ELSE genes[i + 1] END, 6) AS x FROM ({GENES}), range(6) t(i)""")
+def mutate_gaussian(spark, sf):
+    made = search.mutate_gaussian(genes(spark, sf), "genes", "candidate")
+    return rounded(made.select("candidate", F.posexplode("genes").alias("i", "x")).withColumn("i", F.col("i").cast("long")), "x")
+
+
+LAYERS = "(SELECT CAST(c_custkey AS BIGINT) AS k, CAST(c_custkey * 7919 % 97 AS DOUBLE) AS a, CAST(c_custkey * 104729 % 89 AS DOUBLE) AS b FROM customer)"
+
+
+@query(f"""WITH RECURSIVE p AS MATERIALIZED {LAYERS}, beats AS MATERIALIZED (SELECT x.k AS k, y.k AS by FROM p x JOIN p y ON y.a >= x.a AND y.b >= x.b AND (y.a > x.a OR y.b > x.b)),
+deep AS (SELECT k, 0 AS layer FROM p UNION SELECT b.k, d.layer + 1 FROM deep d JOIN beats b ON b.by = d.k WHERE d.layer < 12), l AS (SELECT k, a, b, max(layer) AS layer FROM deep JOIN p USING (k) GROUP BY 1, 2, 3),
+f AS (SELECT layer, count(*) AS n, max(a) - min(a) AS ra, max(b) - min(b) AS rb FROM l GROUP BY 1),
+o AS (SELECT l.*, n, ra, rb, row_number() OVER wa AS ia, lead(a) OVER wa - lag(a) OVER wa AS ga, row_number() OVER wb AS ib, lead(b) OVER wb - lag(b) OVER wb AS gb FROM l JOIN f USING (layer) WINDOW wa AS (PARTITION BY layer ORDER BY a, k), wb AS (PARTITION BY layer ORDER BY b, k)),
+c AS (SELECT k, layer, CASE WHEN ia IN (1, n) OR ib IN (1, n) THEN CAST('inf' AS DOUBLE) ELSE coalesce(ga / nullif(2 * ra, 0), 0) + coalesce(gb / nullif(2 * rb, 0), 0) END AS crowding FROM o)
+SELECT k, layer, CASE WHEN isinf(crowding) THEN -1 ELSE round(crowding, 6) END AS crowding FROM c ORDER BY layer, c.crowding DESC, k LIMIT 30""")
+def nsga2_select(spark, sf):
+    k = F.col("c_custkey").cast("long")
+    scored = table(spark, sf, "customer").select(k.alias("k"), (k * 7919 % 97).cast("double").alias("a"), (k * 104729 % 89).cast("double").alias("b"))
+    made = search.nsga2_select(scored, 30, ["a", "b"], "k")
+    return made.select("k", "layer", F.when(F.col("crowding") == float("inf"), -1.0).otherwise(F.round("crowding", 6)).alias("crowding"))
+
+
 BITS = "SELECT CAST(o_orderkey AS BIGINT) AS candidate, list_transform(range(12), lambda i: CAST((o_orderkey * 37 // CAST(pow(2, i) AS BIGINT)) % 2 AS INTEGER)) AS bits, list_transform(range(12), lambda i: CAST((o_custkey * 53 // CAST(pow(2, i) AS BIGINT)) % 2 AS INTEGER)) AS other FROM orders"
 
 
@@ -371,18 +429,56 @@ def generation_stats(spark, sf):
     return rounded(search.generation_stats(results(spark, sf), ["workflow", "k"], "f1"), "avg", "std", "min", "max", digits=5)
 
 
-CELLS = f"""WITH e AS (SELECT CAST(vec_id AS BIGINT) AS key, CAST(label = 0 AS INTEGER) AS label, list_transform(range(1, 9), lambda i: embedding[i]::DOUBLE) AS x FROM embeddings),
+CELLS = f"""WITH e AS (SELECT CAST(vec_id AS BIGINT) AS key, CAST(label = 0 AS INTEGER) AS label, embedding::DOUBLE[] AS x FROM embeddings),
 r AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY md5('42:' || key), key) - 1) % 5 AS fold FROM e), z AS (SELECT fold, count(*) AS n FROM r GROUP BY 1),
-c AS (SELECT i AS candidate, 2 * i + 1 AS k, list_transform(range(8), lambda j: CAST((i + 1) * 37 // CAST(pow(2, j) AS BIGINT) % 2 AS INTEGER)) AS mask FROM range(4) t(i)),
+c AS (SELECT i AS candidate, 2 * i + 1 AS k, list_transform(range(64), lambda j: CAST((i + 1) * 37 // CAST(pow(2, j % 8) AS BIGINT) % 2 AS INTEGER)) AS mask FROM range(4) t(i)),
 d AS (SELECT c.candidate, q.fold, q.key, q.label, b.label AS near, least(c.k, 20, ((SELECT count(*) FROM r) - z.n) // 5) AS k,
-  row_number() OVER (PARTITION BY c.candidate, q.key ORDER BY sqrt(list_sum(list_transform(range(1, 9), lambda i: c.mask[i] * (q.x[i] - b.x[i]) * (q.x[i] - b.x[i])))), b.key) AS rank FROM c, r q JOIN z USING (fold) JOIN r b ON b.fold <> q.fold),
+  row_number() OVER (PARTITION BY c.candidate, q.key ORDER BY sqrt(list_sum(list_transform(range(1, 65), lambda i: c.mask[i] * (q.x[i] - b.x[i]) * (q.x[i] - b.x[i])))), b.key) AS rank FROM c, r q JOIN z USING (fold) JOIN r b ON b.fold <> q.fold),
 p AS (SELECT candidate, fold, key, label, CAST(avg(near) > 0.5 AS INTEGER) AS prediction FROM d WHERE rank <= k GROUP BY 1, 2, 3, 4)
 SELECT candidate, fold, count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn, count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp, count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn, count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp FROM p GROUP BY 1, 2"""
 
 
 @query(CELLS)
 def evaluate_candidates(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").cast("long").alias("key"), (F.col("label") == 0).cast("int").alias("label"), F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("vector"))
-    bits = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: (F.floor((F.col("id") + 1) * 37 / F.pow(F.lit(2.0), j)) % 2).cast("int"))
+    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: (F.floor((F.col("id") + 1) * 37 / F.pow(F.lit(2.0), j % 8)) % 2).cast("int"))
     some = spark.range(4).select(F.col("id").alias("candidate"), (2 * F.col("id") + 1).cast("int").alias("k"), F.lit("uniform").alias("weights"), F.lit(2).alias("p"), bits.alias("mask"))
-    return search.evaluate_candidates(some, splits.stratified_kfold(e, "label", "key"))
+    return search.evaluate_candidates(some, splits.stratified_kfold(two_classes(spark, sf), "label", "key"))
+
+
+@query(None)
+def evaluate_svm_candidates(spark, sf):
+    """Four machines, one a kernel, with all features or every other one, by five folds of all embeddings."""
+    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: ((j + 1) % (F.col("id") % 2 + 1) == 0).cast("int"))
+    kernel = F.get(F.array(*map(F.lit, search.KERNELS)), F.col("id").cast("int"))
+    some = spark.range(4).select(F.col("id").alias("candidate"), F.lit(1.0).alias("c"), kernel.alias("kernel"), F.lit(0.05).alias("gamma"), F.lit(2).alias("degree"), F.lit(1.0).alias("coef0"), bits.alias("mask"))
+    cells = svm.evaluate_svm_candidates(some, splits.stratified_kfold(two_classes(spark, sf), "label", "key"), landmarks=30)
+    return svm.weighted_fitness(cells, some)
+
+
+@query(f"""WITH t AS MATERIALIZED ({TWO}) SELECT a AS query_id, b AS base_id, CAST(j AS INTEGER) AS rank FROM ({next_sql('t', 5)})""")
+def knn_pivot_join(spark, sf):
+    df = two_classes(spark, sf)
+    near, _ = knn.pivot_search(df, df, 5, "key", "vector", block_rows=64)
+    return near.select("query_id", "base_id", F.col("rank").cast("int").alias("rank"))
+
+
+INFO = "SELECT d.doc_id, toxic, 'n_chars' AS feature, CAST(n_chars AS DOUBLE) AS x FROM documents d JOIN labels l USING (doc_id) UNION ALL SELECT d.doc_id, toxic, 'n_lines', CAST(length(text) - length(replace(text, chr(10), '')) AS DOUBLE) FROM documents d JOIN labels l USING (doc_id)"
+
+
+@query(f"""WITH v AS MATERIALIZED ({INFO}), n AS (SELECT feature, toxic, count(*) AS n FROM v GROUP BY 1, 2), p AS MATERIALIZED (SELECT a.feature, a.doc_id, a.x, a.toxic, n.n, b.toxic AS other, b.doc_id AS o, abs(a.x - b.x) AS d FROM v a JOIN v b USING (feature) JOIN n ON n.feature = a.feature AND n.toxic = a.toxic),
+r AS (SELECT feature, doc_id, max(d) AS r, max(n) AS n FROM (SELECT *, row_number() OVER (PARTITION BY feature, doc_id ORDER BY d) AS j FROM p WHERE toxic = other AND o <> doc_id) WHERE j <= 3 GROUP BY 1, 2),
+m AS (SELECT feature, doc_id, r.n, count(*) FILTER (WHERE d < r.r OR (d = 0 AND r.r = 0)) AS m FROM p JOIN r USING (feature, doc_id) GROUP BY 1, 2, 3), h AS MATERIALIZED (SELECT i AS n, -0.5772156649015329 + coalesce(sum(1.0 / i) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS psi FROM range(1, (SELECT count(*) + 2 FROM labels)) t(i)),
+s AS (SELECT feature, count(*) AS c, avg((SELECT psi FROM h WHERE h.n = 3) - a.psi - b.psi) AS t FROM m JOIN h a ON a.n = m.n JOIN h b ON b.n = m.m GROUP BY 1)
+SELECT feature, round(greatest(0, h.psi + t), 6) AS mi FROM s JOIN h ON h.n = s.c""")
+def mutual_info(spark, sf):
+    df = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    df = df.withColumn("n_lines", F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))))
+    return rounded(features.mutual_info(df, ["n_chars", "n_lines"], "toxic", "doc_id"), "mi")
+
+
+@query("SELECT CAST(l_linenumber % 2 AS VARCHAR) AS value, count(*) AS n FROM lineitem GROUP BY 1")
+def detect_target(spark, sf):
+    """Classes of the column that the evaluator's rule finds: label has too many values, Error is no name of that rule."""
+    key = F.col("l_orderkey") % 50
+    df = table(spark, sf, "lineitem").select(key.alias("Error"), key.alias("label"), (F.col("l_linenumber") % 2).alias("is_class"), F.col("l_returnflag").alias("bug"))
+    return profile.value_counts(df.select(F.col(cleaning.detect_target(df, "evaluator")).cast("string").alias("value")), "value")

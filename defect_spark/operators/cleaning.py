@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FractionalType, NumericType, StringType
@@ -9,6 +11,7 @@ from pyspark.sql.types import FractionalType, NumericType, StringType
 # Target names of the three rules, name endings of the last one, id names, label values.
 SERVICE_TARGETS = ("class", "label", "target", "diagnosis", "defect", "bug", "error", "fault", "issue", "vulnerable", "clean")
 NOTEBOOK_TARGETS = ("bug", "defects", "class", "defective", "Class")
+EVALUATOR_TARGETS = ("bug", "defect", "class", "target", "label", "y", "outcome", "diagnosis")
 EVALUATOR_ENDINGS = ("_class", "_label")
 MOST_CLASSES = 10
 ID_NAMES = ("id", "index", "row_id", "record_id", "sample_id")
@@ -37,7 +40,7 @@ def detect_target(df: DataFrame, rule: str = "service") -> str:
         return next((c for c in df.columns if c.lower() in SERVICE_TARGETS), df.columns[-1])
     if rule != "evaluator":
         raise ValueError(f"unknown rule {rule}")
-    named = [c for c in df.columns if c.lower() in SERVICE_TARGETS or c.lower().endswith(EVALUATOR_ENDINGS)]
+    named = [c for c in df.columns if c.lower() in EVALUATOR_TARGETS or c.lower().endswith(EVALUATOR_ENDINGS)]
     if not named:
         return df.columns[-1]
     # at most eleven different values of a column are looked at
@@ -84,50 +87,87 @@ def drop_id_columns(df: DataFrame, keep: tuple[str, ...] = (), protect_continuou
     return df.drop(*gone)
 
 
-def ranked_value(df: DataFrame, column: str, rank: int, most: int = 10_000):
-    """The value at a rank (from 0) of the sorted non-null values.
+def exact_medians(df: DataFrame, columns: list[str], most_counts: int = 100_000, cuts: int = 64) -> dict[str, float | None]:
+    """The exact median of each column as a double, None without a value; the mean of the middle two where their number is even.
 
-    Counts of distinct values decide at once if there are at most ``most``; else approximate
-    quantiles bound the range that the rank is in, and the search goes on inside it.
+    All columns are narrowed together. A round takes one quantile sketch of each column inside its
+    range of values and counts each part of it; the parts with the middle ranks are the next
+    range. A part is a single value or what lies between two, so frequent values come out at once.
+    When few values are left of every column they are counted, at most ``most_counts`` in all. The
+    number of jobs grows with the digits of the row count, not with the columns.
     """
-    values = df.select(F.col(column).alias("v")).where("v is not null")
-    while True:
-        counts = values.groupBy("v").agg(F.count("*").alias("n"))
-        few = sorted(counts.limit(most + 1).collect())
-        if len(few) <= most:
-            for v, n in few:
-                if rank < n:
-                    return v
-                rank -= n
-            return None
-        cuts = sorted(set(values.agg(F.percentile_approx("v", [k / 64 for k in range(1, 64)], 1000).alias("c")).first().c))
-        part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("v")))
-        for r in values.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
-            if rank < r.n:
-                inside = F.lit(True) if r.part == 0 else F.col("v") > cuts[r.part - 1]
-                values = values.where(inside & (F.lit(True) if r.part == len(cuts) else F.col("v") <= cuts[r.part]))
-                break
-            rank -= r.n
-
-
-def exact_median(df: DataFrame, column: str) -> float | None:
-    n = df.where(F.col(column).isNotNull()).count()
-    if not n:
-        return None
-    low = ranked_value(df, column, (n - 1) // 2)
-    return float(low) if n % 2 else (float(low) + float(ranked_value(df, column, n // 2))) / 2
-
-
-def commonest(df: DataFrame, column: str) -> str | None:
-    """The most frequent value, the smallest on a tie."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    row = counts.orderBy(F.desc("n"), "v").first()
-    return row.v if row else None
+    name = lambda c: F.col(f"`{c}`").cast("double")
+    counts = df.agg(*(F.count(F.col(f"`{c}`")).alias(str(k)) for k, c in enumerate(columns))).first() if columns else []
+    out: dict[str, float | None] = {}
+    # of each open column: the two middle ranks, how many values are below the range, its bounds
+    todo = {k: {"ranks": ((n - 1) // 2, n // 2), "below": 0, "low": None, "high": None, "in": n} for k, n in enumerate(counts) if n}
+    out |= {columns[k]: None for k, n in enumerate(counts) if not n}
+    few = max(64, most_counts // max(1, len(columns)))
+
+    def inside(k: int) -> Column:
+        x, t = name(columns[k]), todo[k]
+        from_ = x.isNotNull() if t["low"] is None else x >= t["low"]
+        return from_ if t["high"] is None else from_ & (x <= t["high"])
+
+    while wide := [k for k, t in todo.items() if t["in"] > few and t["low"] != t["high"] or t["in"] > few and t["low"] is None]:
+        shares = [i / cuts for i in range(cuts + 1)]
+        sketch = df.agg(*(F.percentile_approx(F.when(inside(k), name(columns[k])), shares, 1000).alias(str(k)) for k in wide)).first()
+        marks = {k: sorted(set(sketch[str(k)])) for k in wide}
+        # part 2i + 1 is the i-th mark itself, part 2i what lies before it
+        passed = lambda x: lambda a, m: a + (x >= m).cast("int") + (x > m).cast("int")
+        part = lambda k: F.aggregate(F.array(*map(F.lit, marks[k])), F.lit(0), passed(name(columns[k])))
+        cells = F.explode(F.array(*(F.when(inside(k), F.struct(F.lit(k).alias("k"), part(k).alias("part"))) for k in wide)))
+        sizes: dict[int, list] = {k: [] for k in wide}
+        for r in df.select(cells.alias("x")).where("x IS NOT NULL").groupBy("x.k", "x.part").agg(F.count("*").alias("n")).orderBy("k", "part").collect():  # twice the marks
+            sizes[r.k].append((r.part, r.n))
+        for k in wide:
+            t, first, below = todo[k], None, todo[k]["below"]
+            for p, n in sizes[k]:
+                if first is None and t["ranks"][0] < below + n:
+                    first, start = p, below
+                below += n
+                if first is not None and t["ranks"][1] < below:
+                    edge = lambda i: marks[k][i] if 0 <= i < len(marks[k]) else None
+                    low, high = edge(first // 2) if first % 2 else edge(first // 2 - 1), edge(p // 2)
+                    low, high = (t["low"] if low is None else low), (t["high"] if high is None else high)
+                    # an open part begins above its mark
+                    if not first % 2 and first // 2:
+                        low = math.nextafter(low, math.inf)
+                    if not p % 2 and p // 2 < len(marks[k]):
+                        high = math.nextafter(high, -math.inf)
+                    t |= {"below": start, "low": low, "high": high, "in": below - start}
+                    break
+    if todo:
+        cells = F.explode(F.array(*(F.when(inside(k), F.struct(F.lit(k).alias("k"), name(columns[k]).alias("v"))) for k in todo)))
+        held: dict[int, list] = {k: [] for k in todo}
+        for r in df.select(cells.alias("x")).where("x IS NOT NULL").groupBy("x.k", "x.v").agg(F.count("*").alias("n")).orderBy("k", "v").collect():
+            held[r.k].append((r.v, r.n))
+        for k, t in todo.items():
+            found = []
+            for rank in t["ranks"]:
+                below = t["below"]
+                for v, n in held[k]:
+                    below += n
+                    if rank < below:
+                        found.append(v)
+                        break
+            out[columns[k]] = sum(found) / 2
+    return out
+
+
+def commonest(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
+    """The most frequent value of each column as text, the smallest on a tie; all columns in one count."""
+    if not columns:
+        return {}
+    cells = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"`{c}`").cast("string").alias("v")) for k, c in enumerate(columns))))
+    counts = df.select(cells.alias("x")).where("x.v IS NOT NULL").groupBy("x.k", "x.v").agg(F.count("*").alias("n"))
+    best = {r.k: r.b.v for r in counts.groupBy("k").agg(F.min(F.struct((-F.col("n")).alias("n"), "v")).alias("b")).collect()}  # a row a column
+    return {c: best.get(k) for k, c in enumerate(columns)}
 
 
 def fit_imputer(df: DataFrame, medians: list[str] = (), modes: list[str] = ()) -> dict:
     """The value that fills each column: exact median, or commonest value ('unknown' without any)."""
-    return {c: exact_median(df, c) for c in medians} | {c: m if (m := commonest(df, c)) is not None else "unknown" for c in modes}
+    return exact_medians(df, list(medians)) | {c: m if m is not None else "unknown" for c, m in commonest(df, list(modes)).items()}
 
 
 def apply_imputer(df: DataFrame, fitted: dict) -> DataFrame:

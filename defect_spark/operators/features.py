@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from defect_spark.operators import ranges
 
-def ranks(values: DataFrame, column: str) -> DataFrame:
-    """values (distinct, not null) with rank_, from 0, in ascending order.
 
-    Values are dealt by the two characters after their common prefix (numbers by approximate
-    quantiles); ranks count within a part and the parts before are added, so no task has all values.
-    """
-    if dict(values.dtypes)[column] == "string":
-        ends = values.agg(F.min(column).alias("a"), F.max(column).alias("b")).first()
-        shared = len(os.path.commonprefix([ends.a or "", ends.b or ""]))
-        part = F.substring(column, shared + 1, 2)
-    else:
-        cuts = values.agg(F.percentile_approx(column, [k / 64 for k in range(1, 64)], 1000).alias("c")).first().c or []
-        part = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(column))) if cuts else F.lit(0)
-    parted = values.select(column, part.alias("part_"))
-    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # over parts, not values
-    offsets = parted.groupBy("part_").agg(F.count("*").alias("n_")).select("part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("offset_"))
-    own = F.row_number().over(Window.partitionBy("part_").orderBy(column)) - 1
-    return parted.select(column, "part_", own.alias("own_")).join(offsets, "part_").select(column, (F.col("own_") + F.col("offset_")).cast("int").alias("rank_"))
+def ranks(values: DataFrame, column: str, rows_a_part: int = 1 << 17) -> DataFrame:
+    """values (distinct, not null) with rank_, from 0, in ascending order, counted by ranges of values of equal size."""
+    made = ranges.ranks(values.select(column), [], [column], "rank_", rows_a_part)
+    return made.withColumn("rank_", F.col("rank_").cast("int"))
 
 
 def label_encode(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -76,6 +62,62 @@ def binned_mutual_info(df: DataFrame, features: dict[str, str], label: str) -> D
     return joined.groupBy("feature").agg(F.sum(part).alias("mi"))
 
 
+def digamma(n: Column) -> Column:
+    """The logarithmic derivative of the gamma function at a whole number of 1 or more, to about 1e-14."""
+    x = n + 10.0
+    far = F.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6) + 1 / (240 * x**8)
+    return far - F.aggregate(F.sequence(F.lit(0), F.lit(9)), F.lit(0.0), lambda s, i: s + 1 / (n + i))
+
+
+def mutual_info(df: DataFrame, features: list[str], label: str, key: str, k: int = 3, range_rows: int = 1 << 16, rows_a_part: int = 1 << 17) -> DataFrame:
+    """(feature, mi): mutual information, in nats, of each numeric feature with the class, by k nearest neighbours in the class.
+
+    A row's radius is the distance of its k-th neighbour in its class (of all others where there
+    are fewer); the rows of any class nearer than that are counted, those at distance 0 if the
+    radius is 0. Classes of one row are left out, as are rows with a null in the feature or the
+    class; the result is not below 0. Keys are different: they order equal values.
+    Sorted rows of a class are cut into ranges of ``range_rows`` with k rows of either neighbour
+    range beside them, and rows in a radius are counted by ranks, so no feature is one task.
+    """
+    cells = F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").cast("double").alias("x")) for f in features)))
+    rows = df.where(F.col(label).isNotNull()).select(F.col(label).alias("y"), F.col(key).alias("key"), cells).where("x IS NOT NULL")
+    sizes = rows.groupBy("feature", "y").agg(F.count("*").alias("class_rows")).where("class_rows > 1")
+    rows = ranges.ranks(rows.join(sizes, ["feature", "y"]), ["feature", "y"], ["x", "key"], "at", rows_a_part)
+    own, inner = F.floor(F.col("at") / range_rows), F.col("at") % range_rows
+    told = F.array_compact(F.array(own, F.when(inner < k, own - 1), F.when(inner >= range_rows - k, own + 1)))
+    beside = Window.partitionBy("feature", "y", "range").orderBy("at")
+    step = lambda i: F.lag("x", i).over(beside) if i > 0 else F.lead("x", -i).over(beside)
+    near = rows.withColumn("range", F.explode(told)).select("*", own.alias("own"), *(step(i).alias(f"b{i}") for i in range(1, k + 1)), *(step(-i).alias(f"a{i}") for i in range(1, k + 1))).where("range = own")
+    number = F.least(F.lit(k), F.col("class_rows") - 1)
+    below = lambda i: F.lit(0.0) if not i else F.col("x") - F.col(f"b{i}")
+    above = lambda i: F.lit(0.0) if not i else F.col(f"a{i}") - F.col("x")
+    # the nearest ``number`` rows are some before and the others after; a missing one is no choice
+    choice = lambda i, j: F.when((number == i + j) & below(i).isNotNull() & above(j).isNotNull(), F.greatest(below(i), above(j)))
+    radius = F.array_min(F.array_compact(F.array(*(choice(i, n - i) for n in range(1, k + 1) for i in range(n + 1)))))
+    near = near.withColumn("r", radius)
+    # a row at the radius is the bound itself: x less the radius may be rounded past it
+    low = F.array_max(F.filter(F.array(*(f"b{i}" for i in range(1, k + 1))), lambda v: F.col("x") - v == F.col("r")))
+    high = F.array_min(F.filter(F.array(*(f"a{i}" for i in range(1, k + 1))), lambda v: v - F.col("x") == F.col("r")))
+    near = near.select("feature", "key", "x", "class_rows", number.alias("k"), "r", F.coalesce(low, F.col("x") - F.col("r")).alias("low"), F.coalesce(high, F.col("x") + F.col("r")).alias("high"))
+    near = ranges.checkpointed(near)
+    # rows below a place: its rank among values and places, less that among places
+    open_ = F.col("r") > 0
+    places = near.select("feature", "key", F.inline(F.array(
+        F.struct(F.col("low").alias("v"), F.when(open_, 2).otherwise(0).alias("order"), F.lit(-1).alias("sign")),
+        F.struct(F.col("high").alias("v"), F.when(open_, 0).otherwise(2).alias("order"), F.lit(1).alias("sign")),
+    )))
+    order = ["v", "order", "key", "sign"]
+    among = ranges.ranks(places, ["feature"], order, "among", rows_a_part)
+    every = places.unionByName(near.select("feature", "key", F.col("x").alias("v"), F.lit(1).alias("order"), F.lit(0).alias("sign")))
+    every = ranges.ranks(every, ["feature"], order, "all_rank", rows_a_part)
+    signed = every.where("sign <> 0").select("feature", "key", (F.col("sign") * F.col("all_rank")).alias("s")).unionByName(among.select("feature", "key", (-F.col("sign") * F.col("among")).alias("s")))
+    counts = signed.groupBy("feature", "key").agg(F.sum("s").alias("m"))
+    terms = near.join(counts, ["feature", "key"]).select("feature", digamma(F.col("k")).alias("k"), digamma(F.col("class_rows")).alias("c"), digamma(F.col("m")).alias("m"))
+    means = terms.groupBy("feature").agg((digamma(F.count("*")) + F.avg("k") - F.avg("c") - F.avg("m")).alias("mi"))
+    named = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    return named.join(means, "feature", "left").select("feature", F.greatest(F.lit(0.0), F.coalesce("mi", F.lit(0.0))).alias("mi"))
+
+
 def select_k_best(scores: DataFrame, k: int) -> DataFrame:
     """The k features with the highest mi, ties by name."""
     return scores.orderBy(F.desc("mi"), "feature").limit(k)

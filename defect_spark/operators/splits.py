@@ -5,24 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from defect_spark.operators import ranges
+
 
 def draw(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
 
 
-def ranked(df: DataFrame, label: str, key: str, seed: int, buckets: int = 256) -> DataFrame:
-    """df with rank, from 0, within its class in hash order: counted by (class, first hash byte), so no class is one task."""
-    df = df.withColumn("draw", draw(key, seed)).withColumn("bucket", F.conv(F.substring("draw", 1, 2), 16, 10).cast("int") % buckets)
-    counts = df.groupBy(label, "bucket").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(label).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = F.sum("n").over(Window.partitionBy(label))
-    offsets = F.broadcast(counts.select(F.col(label).alias("c_"), F.col("bucket").alias("b_"), before.alias("offset"), totals.alias("class_rows")))
-    own = F.row_number().over(Window.partitionBy(label, "bucket").orderBy("draw", key)) - 1
-    out = df.withColumn("own", own).join(offsets, F.col(label).eqNullSafe(F.col("c_")) & (F.col("bucket") == F.col("b_")))
-    return out.withColumn("rank", F.col("own") + F.col("offset")).drop("draw", "bucket", "own", "offset", "c_", "b_")
+def ranked(df: DataFrame, label: str, key: str, seed: int, rows_a_part: int = 1 << 17) -> DataFrame:
+    """df with rank, from 0, within its class in hash order of key, and class_rows, the keys of the class.
+
+    Only keys are ranked, range by range (see ranges), and joined back; rows that repeat a key of
+    a class share its rank. Null is a class and a key like any other.
+    """
+    keys = df.select(F.col(label).alias("c_"), F.col(key).alias("k_")).distinct().withColumn("draw_", draw("k_", seed))
+    placed = ranges.ranks(keys, ["c_"], ["draw_", "k_"], "rank", rows_a_part).drop("draw_")
+    counts = keys.groupBy(F.col("c_").alias("d_")).agg(F.count("*").alias("class_rows"))
+    sized = placed.join(counts, F.col("c_").eqNullSafe(F.col("d_"))).drop("d_")
+    return df.join(sized, F.col(label).eqNullSafe(F.col("c_")) & F.col(key).eqNullSafe(F.col("k_"))).drop("c_", "k_")
 
 
 def stratified_kfold(df: DataFrame, label: str, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
@@ -60,7 +63,11 @@ def nested_train_sets(df: DataFrame, label: str, key: str, fractions: list[float
 
 
 def learning_curve(df: DataFrame, label: str, key: str, score: Callable[[DataFrame, DataFrame], DataFrame], fractions: list[float] = (0.1, 0.325, 0.55, 0.775, 1.0), folds: int = 5, seed: int = 42) -> DataFrame:
-    """(fraction, fold, correct, n): score(train, test) gives (key, prediction); each fold is tested by nested parts of the others."""
+    """(fraction, fold, correct, n): score(train, test) gives (key, prediction); each fold is tested by nested parts of the others.
+
+    This is for any model, with a fit and a scan for each fraction and fold; see means_curve and
+    search.knn_curve for models that need one.
+    """
     sets = nested_train_sets(df, label, key, list(fractions), folds, seed)
     out = []
     for x in fractions:
@@ -72,6 +79,34 @@ def learning_curve(df: DataFrame, label: str, key: str, score: Callable[[DataFra
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
+def means_curve(df: DataFrame, label: str, key: str, vector: str, fractions: list[float] = (0.1, 0.325, 0.55, 0.775, 1.0), folds: int = 5, seed: int = 42, most_labels: int = 1000) -> DataFrame:
+    """(fraction, fold, correct, n) of a nearest-mean model, the smallest label on a tie: one scan to learn, one to test.
+
+    Sums of vectors are added by fold, step and label once. A training set's sums are those of
+    all folds but one, up to its step. Labels are at most ``most_labels``, an error beyond; rows
+    whose training set is empty are not counted, as are rows with a null label.
+    """
+    rows = df.where(F.col(label).isNotNull()).select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    steps = sorted(float(x) for x in fractions)
+    sets = ranges.checkpointed(nested_train_sets(rows, "label", "key", steps, folds, seed))
+    if sets.select("label").distinct().limit(most_labels + 1).count() > most_labels:
+        raise ValueError(f"more than {most_labels} labels")
+    sums = sets.select("fold", "entered", "label", F.posexplode("v").alias("i", "x")).groupBy("fold", "entered", "label", "i").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
+    part = lambda c, fold, x: F.coalesce(F.sum(F.when((F.col("fold") == fold) & (F.col("entered") <= x), F.col(c))), F.lit(0))
+    names = [(fold, k, c) for fold in range(folds) for k in range(len(steps)) for c in ("s", "n")]
+    wide = sums.groupBy("label", "i").agg(*(part(c, fold, steps[k]).alias(f"{c}_{fold}_{k}") for fold, k, c in names))
+    rest = lambda c, fold, k: reduce(lambda a, b: a + b, (F.col(f"{c}_{f}_{k}") for f in range(folds) if f != fold), F.lit(0))
+    trained = F.array(*(F.struct(F.lit(fold).alias("fold"), F.lit(k).alias("k"), rest("s", fold, k).alias("s"), rest("n", fold, k).alias("n")) for fold in range(folds) for k in range(len(steps))))
+    means = wide.select("label", "i", F.inline(trained)).where("n > 0").select("fold", "k", "label", "i", (F.col("s") / F.col("n")).alias("m"))
+    means = means.groupBy("fold", "k", "label").agg(F.sort_array(F.collect_list(F.struct("i", "m")))["m"].alias("m"))
+    models = means.groupBy("fold").agg(F.collect_list(F.struct("k", "label", "m")).alias("models"))  # steps times labels
+    square = lambda m: F.aggregate(F.zip_with("v", m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x)
+    nearest = lambda k: F.array_min(F.transform(F.filter("models", lambda m: m["k"] == k), lambda m: F.struct(square(m["m"]).alias("d"), m["label"].alias("label"))))["label"]
+    tested = sets.join(F.broadcast(models), "fold")  # a row a fold
+    found = tested.select("fold", "label", F.inline(F.array(*(F.struct(F.lit(x).alias("fraction"), nearest(k).alias("prediction")) for k, x in enumerate(steps)))))
+    return found.where("prediction IS NOT NULL").groupBy("fraction", "fold").agg(F.count_if(F.col("label") == F.col("prediction")).alias("correct"), F.count("*").alias("n"))
+
+
 def random_under(df: DataFrame, label: str, key: str, ratio: float = 1.0, seed: int = 42) -> DataFrame:
     """Drops rows of larger classes until the smallest has ratio times their rows."""
     least = F.broadcast(df.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n").alias("least")))

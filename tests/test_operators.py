@@ -16,7 +16,8 @@ def test_target_rules(spark):
     df = spark.createDataFrame([(1, 2, "a", 3)], "loc int, Error int, is_class string, bug int")
     assert cleaning.detect_target(df) == "Error"
     assert cleaning.detect_target(df, "notebook") == "bug"
-    assert cleaning.detect_target(df, "evaluator") == "Error"
+    assert cleaning.detect_target(df, "evaluator") == "is_class"
+    assert cleaning.detect_target(spark.createDataFrame([(1, 2, 3)], "Error int, outcome int, loc int"), "evaluator") == "outcome"
     many = spark.range(12).selectExpr("id as label", "id % 2 as is_class", "id as other")
     assert cleaning.detect_target(many, "evaluator") == "is_class"
     assert cleaning.detect_target(many.select("other")) == "other"
@@ -40,7 +41,7 @@ def test_binarize_on_rows(spark):
 def test_exact_median_of_many_values(spark, n):
     values = np.random.default_rng(n).permutation(n) / 7
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
-    assert cleaning.exact_median(df, "x") == pytest.approx(statistics.median(values), abs=0)
+    assert cleaning.exact_medians(df, ["x"])["x"] == pytest.approx(statistics.median(values), abs=0)
 
 
 def test_rows_all_null_and_no_values(spark):
