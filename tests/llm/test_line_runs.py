@@ -5,7 +5,7 @@ import time
 import numpy as np
 
 from defect_spark.llm import line_dedup
-from tests.llm.test_operators import brute_runs
+from tests.llm.test_text_operators import brute_runs
 
 
 def kept(text, gone):
