@@ -97,23 +97,26 @@ class Scanner:
         for i, g in enumerate(pairs):
             before[i] = last.get(g, -1)
             last[g] = i
+        final = np.zeros(len(pairs), bool)
+        final[list(last.values())] = True
         found = []
         for k in able:
             name, own = self.sets[k]
             m, hit = len(own), np.fromiter((g in own for g in pairs), bool, len(pairs))
             need, most, places = self.ratio * m - 1e-9, m / self.ratio + 1e-9, np.flatnonzero(hit)
-            for n, a in enumerate(places.tolist()):
-                if len(places) - n < need:
+            # different bigrams of the template from each place on
+            ahead = np.cumsum((final & hit)[::-1])[::-1]
+            for a in places.tolist():
+                if ahead[a] < need:
                     break
-                # grown until it has more bigrams than a match may have
+                # grown until it has more bigrams than a match may have, or all of the template's that are ahead
                 size, stop = int(2 * most) + 2, len(pairs)
                 while True:
                     new = before[a : a + size] < a
-                    grams = np.cumsum(new)
-                    if a + size >= stop or grams[-1] > most:
+                    grams, shared = np.cumsum(new), np.cumsum(new & hit[a : a + size])
+                    if a + size >= stop or grams[-1] > most or shared[-1] == ahead[a]:
                         break
                     size *= 4
-                shared = np.cumsum(new & hit[a : a + size])
                 if shared[-1] < need:
                     continue
                 score = 2 * shared / (m + grams)

@@ -1,6 +1,6 @@
 """Planted licence notices, written here and not taken from the templates."""
 
-from defect_spark.llm import licenses
+from defect_spark.llm import license_texts, licenses
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
@@ -67,3 +67,17 @@ def test_runs_match_all_runs():
     for score, i, j, name in got:
         g, own = licenses.bigrams(" ".join(words[i:j])), dict(scanner.sets)[name]
         assert score == 2 * len(g & own) / (len(g) + len(own)) >= 0.8
+
+
+def test_work_is_linear_in_copies_of_a_whole_licence():
+    import time
+
+    body = max(license_texts.TEXTS["GPL-2.0"], key=len)
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.8)
+    took = {}
+    for n in (1, 4, 8):
+        began = time.time()
+        found = scanner.text("\n\n".join([body] * n))
+        took[n] = time.time() - began
+        assert [m["name"] for m in found if m["kind"] == "run" or m["kind"] == "paragraph"].count("GPL-2.0") >= n
+    assert took[8] < 2.5 * took[4] + 0.2
