@@ -206,14 +206,17 @@ def split_shards(dealt: DataFrame, radius: int, shard_points: int, most_points:
     """dealt with leaf: shards of over ``most_points`` rows are dealt on by a second tree over all bits.
 
     A fingerprint within ``radius`` of a leaf's boundary also queries that leaf. Each such shard
-    has about two sample points a leaf on the driver, one for ``shard_points`` / 2 of its rows.
+    has about two sample points a leaf on the driver, one for ``shard_points`` / 2 of its rows;
+    one job takes the samples of all shards.
     """
-    large = {(r.band, r.shard): r.n for r in dealt.groupBy("band", "shard").agg(F.count("*").alias("n")).where(F.col("n") > most_points).collect()}
-    trees = {}
-    for (band, shard), n in sorted(large.items()):
-        leaves = -(-n // shard_points)
-        here = dealt.where((F.col("band") == band) & (F.col("shard") == shard))
-        trees[band, shard] = VantageTree(sampled(here, 2 * leaves, n), leaves, np.uint64((1 << 64) - 1))
+    sizes = dealt.groupBy("band", "shard").agg(F.count("*").alias("n")).where(F.col("n") > most_points)
+    leaves = F.ceil(F.col("n") / shard_points)
+    # the samples of all large shards in one job: a share of each shard's rows, by hash
+    chosen = dealt.join(sizes, ["band", "shard"]).where(F.xxhash64("fp") / float(1 << 63) <= 4 * leaves / F.col("n") - 1)
+    held: dict[tuple[int, int, int], list[int]] = {}
+    for r in chosen.select("band", "shard", leaves.alias("leaves"), "fp").collect():
+        held.setdefault((r.band, r.shard, r.leaves), []).append(r.fp)
+    trees = {key[:2]: VantageTree(np.array(sorted(fps), np.int64).view(np.uint64), key[2], np.uint64((1 << 64) - 1)) for key, fps in held.items()}
     if not trees:
         return dealt.select("band", "shard", F.lit(0).alias("leaf"), "fp", "home")
     shared = dealt.sparkSession.sparkContext.broadcast(trees)
@@ -221,12 +224,17 @@ def split_shards(dealt: DataFrame, radius: int, shard_points: int, most_points:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             band, shard, fps, home = (b.column(n).to_numpy(zero_copy_only=False) for n in ("band", "shard", "fp", "home"))
-            for key in sorted(set(zip(band.tolist(), shard.tolist()))):
-                rows = np.flatnonzero((band == key[0]) & (shard == key[1]))
-                tree = shared.value.get(key)
+            order = np.lexsort((shard, band))
+            cuts = np.flatnonzero((np.diff(band[order]) != 0) | (np.diff(shard[order]) != 0)) + 1
+            leaf_of, from_, own_of = [], [], []
+            for rows in np.split(order, cuts):
+                tree = shared.value.get((int(band[rows[0]]), int(shard[rows[0]]))) if len(rows) else None
                 for leaf, at, own in tree.deal(fps[rows].view(np.uint64), radius) if tree else [(0, np.arange(len(rows)), np.ones(len(rows), bool))]:
-                    n, some = len(at), rows[at]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key[0], np.int32)), pa.array(np.full(n, key[1], np.int32)), pa.array(np.full(n, leaf, np.int32)), pa.array(fps[some]), pa.array(own & home[some])], ["band", "shard", "leaf", "fp", "home"])
+                    leaf_of.append(np.full(len(at), leaf, np.int32))
+                    from_.append(rows[at])
+                    own_of.append(own & home[rows[at]])
+            some = np.concatenate(from_)
+            yield pa.RecordBatch.from_arrays([pa.array(band[some]), pa.array(shard[some]), pa.array(np.concatenate(leaf_of)), pa.array(fps[some]), pa.array(np.concatenate(own_of))], ["band", "shard", "leaf", "fp", "home"])
 
     return dealt.mapInArrow(deal, "band int, shard int, leaf int, fp long, home boolean")
 
