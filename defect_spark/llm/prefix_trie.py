@@ -36,7 +36,8 @@ def rebuilt(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     """
     role, text = F.coalesce(F.col(role_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
     rows = turns.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).alias("turn"), F.xxhash64(F.lit(1), role, text).alias("t"), F.xxhash64(F.lit(2), text, role).alias("u"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("words"))
-    rows = checkpointed(ranks(rows.where("conv IS NOT NULL"), ["conv"], ["turn", "t", "u"], "pos").drop("turn"))
+    rows = checkpointed(rows.where("conv IS NOT NULL"))  # texts are read and hashed once
+    rows = checkpointed(ranks(rows, ["conv"], ["turn", "t", "u"], "pos").drop("turn"))
     first = F.when(F.col("pos") < most_shared, F.struct("pos", "t", "u", "words"))
     groups = rows.groupBy("conv").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(first)).alias("own_head"))  # at most most_shared turns
     bases = groups.select(F.col("conv").alias("base"), F.col("own_head").alias("base_head"))
