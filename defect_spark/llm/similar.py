@@ -10,8 +10,9 @@ The order puts shingles first that are rare in a sample, which keeps the groups
 decides the cost only.
 
 In a group of more than ``most_pairs`` sets a few stars connect most of a family of near copies at
-a cost in proportion to its rows; then only pairs of sets that are not in one component yet are
-compared.
+a cost in proportion to its rows. Groups whose sets are in one component by then are left; the
+others are ordered by component and cut into blocks of ``block_rows`` sets, and blocks meet unless
+all their sets are in one component. So no task holds a whole group, however many share a shingle.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from defect_spark.llm.common import checkpointed, same, text_key
+from defect_spark.llm.common import checkpointed, same
 from defect_spark.llm.simhash import link_edges, majority, star_roots
+from defect_spark.operators.ranges import ranks
 
 STARS = 4
 
@@ -45,8 +47,15 @@ def parities(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def set_name(grams: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(grams.tobytes()) - (1 << 63)
+def set_names(sets: list[np.ndarray]) -> list[pa.Array]:
+    """128 bits that name each set, as two columns of longs."""
+    made = np.frombuffer(b"".join(xxhash.xxh3_128_digest(g.tobytes()) for g in sets), ">i8").astype(np.int64).reshape(-1, 2)
+    return [pa.array(made[:, 0]), pa.array(made[:, 1])]
+
+
+def row_key(text: Column) -> Column:
+    """With doc_id this names a row: 128 bits of its text."""
+    return F.struct(F.xxhash64(text).alias("x"), F.xxhash64(F.lit(1), text).alias("y"))
 
 
 def common_shingles(docs: DataFrame, size: int, sample_rows: int, often: int = 3) -> dict[int, int]:
@@ -64,7 +73,7 @@ def common_shingles(docs: DataFrame, size: int, sample_rows: int, often: int = 3
 
 
 def prefixes(docs: DataFrame, size: int, least: float, sample_rows: int) -> DataFrame:
-    """(doc_id, key, cls, n, fp, s, t, prefix): cls names the set, n is its size, fp its fingerprint, s and t its parities."""
+    """(doc_id, key, na, nb, n, fp, s, t, prefix): (na, nb) names the set, n is its size, fp its fingerprint, s and t its parities."""
     found = common_shingles(docs, size, sample_rows)
     known = np.array(sorted(found), np.int64)
     shared = docs.sparkSession.sparkContext.broadcast((known, np.array([found[h] for h in known.tolist()], np.int64)))
@@ -72,11 +81,11 @@ def prefixes(docs: DataFrame, size: int, least: float, sample_rows: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = shared.value
         for b in batches:
-            names, sizes, prints, odd, cuts = [], [], [], [], []
+            sets, sizes, prints, odd, cuts = [], [], [], [], []
             for t in b.column(2):
                 grams = shingles(t.as_py(), size)
                 n = len(grams)
-                names.append(set_name(grams))
+                sets.append(grams)
                 sizes.append(n)
                 prints.append(majority(grams.view(np.uint64)))
                 odd.append(parities(grams))
@@ -85,31 +94,30 @@ def prefixes(docs: DataFrame, size: int, least: float, sample_rows: int) -> Data
                     grams = grams[np.lexsort((grams, np.where(known[at] == grams, times[at], 0)))]
                 cuts.append(grams[: n - math.ceil(least * n - 1e-9) + 1])
             bits = np.array(odd, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.array(cuts, pa.list_(pa.int64()))], ["doc_id", "key", "cls", "n", "fp", "s", "t", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *set_names(sets), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.array(cuts, pa.list_(pa.int64()))], ["doc_id", "key", "na", "nb", "n", "fp", "s", "t", "prefix"])
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, key long, cls long, n int, fp long, s long, t long, prefix array<long>")
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, key struct<x: long, y: long>, na long, nb long, n int, fp long, s long, t long, prefix array<long>")
 
 
-def confirmed(pairs: DataFrame, made: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
     """(u, v), u > v: the pairs (a, b) of sets whose similarity is ``least`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            grams = [shingles(t.as_py(), size) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_name(g) for g in grams], pa.int64()), pa.array(grams, pa.list_(pa.int64()))], ["cls", "grams"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), size) for t in b.column(1)], pa.list_(pa.int64()))], ["cls", "grams"])
 
     asked = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    keys = made.join(asked, "cls").groupBy("cls").agg(F.min("key").alias("key")).select("key")
-    texts = docs.select("key", "text").join(keys, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
-    sets = checkpointed(texts.select("text").mapInArrow(run, "cls long, grams array<long>"))
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("grams").alias("y")), "b")
+    keys = sets.select("cls", "key").join(asked, "cls")
+    texts = docs.select("key", "text").join(keys, "key").groupBy("cls").agg(F.min("text").alias("text"))
+    grams = checkpointed(texts.mapInArrow(run, "cls long, grams array<long>"))
+    both = pairs.join(grams.select(F.col("cls").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("cls").alias("b"), F.col("grams").alias("y")), "b")
     shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("s"), (F.size("x") + F.size("y")).alias("n"))
     return shared.where(F.col("s") * (1 + least) >= F.col("n") * least - 1e-9).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
 
 
-def twin_pairs(made: DataFrame, radius: int) -> DataFrame:
+def twin_pairs(sets: DataFrame, radius: int) -> DataFrame:
     """(a, b): sets whose fingerprints are equal or linked by the trees; one set stands for each fingerprint."""
-    sets = checkpointed(made.select("fp", "cls").distinct())
+    sets = sets.select("fp", "cls")
     firsts = sets.groupBy("fp").agg(F.min("cls").alias("first"))
     equal = sets.join(firsts, "fp").where("cls <> first").select(F.col("cls").alias("a"), F.col("first").alias("b"))
     edges = link_edges(checkpointed(firsts.select("fp")), radius)
@@ -118,15 +126,37 @@ def twin_pairs(made: DataFrame, radius: int) -> DataFrame:
     return equal.union(linked).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
-def star_pairs(groups: DataFrame, most_pairs: int) -> DataFrame:
+def star_pairs(rows: DataFrame, most_pairs: int) -> DataFrame:
     """(a, b): each set of a large group with the group's leader, in at most STARS groups a set."""
-    stars = groups.where(F.size("g") > most_pairs).withColumn("top", F.array_min(F.transform("g", lambda x: F.struct(F.xxhash64(x["cls"], F.col("h")).alias("r"), x["cls"].alias("cls")))))
-    rows = stars.select("h", F.col("top.cls").alias("b"), F.explode(F.col("g.cls")).alias("a")).where("a <> b")
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("h"), "h"))).where(f"k <= {STARS}")
-    return rows.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
-def all_pairs(groups: DataFrame, least: float) -> DataFrame:
+    large = rows.where(F.col("held") > most_pairs).select("h", "cls")
+    tops = large.groupBy("h").agg(F.min(F.struct(F.xxhash64("cls", "h").alias("r"), "cls")).alias("top")).select("h", F.col("top.cls").alias("b"))
+    stars = large.select("h", F.col("cls").alias("a")).join(tops, "h").where("a <> b")
+    stars = stars.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("h"), "h"))).where(f"k <= {STARS}")
+    return stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def block_pairs(rows: DataFrame, block_rows: int) -> DataFrame:
+    """(g, o, own): the blocks of each group that must meet, each an array of its sets; own where a block meets itself."""
+    mixed = rows.groupBy("h").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("h")
+    rows = checkpointed(rows.join(mixed, "h", "left_semi"))
+    small = rows.where(F.col("held") <= block_rows).withColumn("block", F.lit(0).cast("long"))
+    large = rows.where(F.col("held") > block_rows)
+    if not large.isEmpty():
+        small = small.unionByName(ranks(large, ["h"], ["part", "cls"], "block").withColumn("block", F.floor(F.col("block") / block_rows)))
+    made = small.groupBy("h", "block").agg(F.collect_list(F.struct("cls", "n", "i", "s", "t", "part")).alias("g"), F.min("part").alias("p"), F.max("part").alias("q"))  # block_rows at most
+    made = checkpointed(made)
+    alone = made.where("p <> q").select("g", F.col("g").alias("o"), F.lit(True).alias("own"))
+    if large.isEmpty():
+        return alone
+    cut = made.join(large.select("h").distinct(), "h", "left_semi")
+    shape = cut.select("h", "block", "p", "q")
+    other = shape.select("h", F.col("block").alias("over"), F.col("p").alias("op"), F.col("q").alias("oq"))
+    meet = shape.join(other, "h").where("block < over AND NOT (p = q AND op = oq AND p = op)").select("h", "block", "over")
+    met = meet.join(cut.select("h", "block", "g"), ["h", "block"]).join(cut.select("h", F.col("block").alias("over"), F.col("g").alias("o")), ["h", "over"])
+    return alone.unionByName(met.select("g", "o", F.lit(False).alias("own")))
+
+
+def all_pairs(blocks: DataFrame, least: float) -> DataFrame:
     """(a, b): sets of two components that can still have a similarity of ``least`` or more.
 
     A pair needs o = least / (1 + least) of the sum of its sizes in common. Shingles that come
@@ -140,41 +170,45 @@ def all_pairs(groups: DataFrame, least: float) -> DataFrame:
         size = lambda b: F.least(a["n"], b["n"]) >= F.greatest(a["n"], b["n"]) * least - 1e-9
         place = lambda b: (a["i"] <= a["n"] - need(a, b)) & (b["i"] <= b["n"] - need(a, b))
         odd = lambda b: F.bit_count(a["s"].bitwiseXOR(b["s"])) + F.bit_count(a["t"].bitwiseXOR(b["t"])) <= a["n"] + b["n"] - 2 * need(a, b)
-        return lambda b: (b["cls"] > a["cls"]) & (b["part"] != a["part"]) & size(b) & place(b) & odd(b)
+        once = lambda b: (b["cls"] > a["cls"]) | ~F.col("own")
+        return lambda b: once(b) & (b["part"] != a["part"]) & size(b) & place(b) & odd(b)
 
-    rows = groups.select(F.explode("g").alias("a"), "g").select("a", F.explode(F.filter("g", close(F.col("a")))).alias("b"))
-    return rows.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
+    rows = blocks.select(F.explode("g").alias("a"), "o", "own").select("a", F.explode(F.filter("o", close(F.col("a")))).alias("b"))
+    return rows.select(F.greatest("a.cls", "b.cls").alias("a"), F.least("a.cls", "b.cls").alias("b")).distinct()
 
 
-def keepers(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8192, most_pairs: int = 256, radius: int = 3) -> DataFrame:
+def keepers(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8192, most_pairs: int = 256, radius: int = 3, block_rows: int = 1024) -> DataFrame:
     """(doc_id, key): of each component of texts linked by a similarity of ``least`` or more its smallest row.
 
-    Words are cut as by SimHash. Rows are ordered by doc_id, null last, then by text_key; repeats
+    Words are cut as by SimHash. Rows are ordered by doc_id, null last, then by row_key; repeats
     of a row are one. Null texts and texts without words are alike. least must be over a half. An
     empty table gives an empty result; other columns are ignored.
     """
     if least <= 0.5:
         raise ValueError("least must be over 0.5")
-    docs = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     made = checkpointed(prefixes(docs, size, least, sample_rows))
-    rows = made.select("cls", "n", "s", "t", F.posexplode("prefix").alias("i", "h")).select("h", F.struct("cls", "n", "i", "s", "t").alias("x"))
-    groups = checkpointed(rows.groupBy("h").agg(F.collect_set("x").alias("g")).where(F.size("g") > 1))
-    pairs = checkpointed(twin_pairs(made, radius).union(star_pairs(groups, most_pairs)).distinct())
-    linked = checkpointed(confirmed(pairs, made, docs, size, least))
+    # each different set once, under a number that stays as it is written
+    sets = made.groupBy("na", "nb").agg(F.min(F.struct("key", "n", "fp", "s", "t", "prefix")).alias("x")).select("na", "nb", "x.*")
+    sets = checkpointed(sets.withColumn("cls", F.monotonically_increasing_id()))
+    rows = sets.select("cls", F.posexplode("prefix").alias("i", "h"))
+    common = rows.groupBy("h").agg(F.count("*").alias("held")).where("held > 1")
+    rows = checkpointed(rows.join(common, "h"))
+    pairs = checkpointed(twin_pairs(sets, radius).union(star_pairs(rows, most_pairs)).distinct())
+    linked = checkpointed(confirmed(pairs, sets, docs, size, least))
     roots = star_roots(linked).withColumnRenamed("u", "cls")
-    members = groups.select("h", F.inline("g")).join(roots, "cls", "left")
-    parted = members.groupBy("h").agg(F.collect_set(F.struct("cls", "n", "i", "s", "t", F.coalesce("root", "cls").alias("part"))).alias("g"))
-    pairs = checkpointed(all_pairs(parted, least))
-    more = confirmed(pairs, made, docs, size, least)
+    placed = sets.select("cls", "n", "s", "t").join(roots, "cls", "left").withColumn("part", F.coalesce("root", "cls")).drop("root")
+    pairs = checkpointed(all_pairs(block_pairs(rows.join(placed, "cls"), block_rows), least))
+    more = confirmed(pairs, sets, docs, size, least)
     roots = star_roots(more.union(linked).distinct()).withColumnRenamed("u", "cls")
-    placed = made.select("doc_id", "key", "cls").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    first = placed.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "key")).alias("x"))
+    named = sets.select("na", "nb", "cls").join(roots, "cls", "left").select("na", "nb", F.coalesce("root", "cls").alias("root"))
+    first = made.select("doc_id", "key", "na", "nb").join(named, ["na", "nb"]).groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "key")).alias("x"))
     return first.select("x.doc_id", "x.key")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs (doc_id, text and others) that keepers names, each once; of repeats the least."""
     others = F.struct(*(c for c in docs.columns if c != "doc_id"))
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), others.alias("row"))
+    rows = docs.select("doc_id", row_key(F.col("text")).alias("key"), others.alias("row"))
     kept = rows.alias("a").join(keepers(docs, **options).alias("b"), same("doc_id", "key"), "left_semi")
     return kept.groupBy("doc_id", "key").agg(F.min("row").alias("row")).select("doc_id", "row.*").select(*docs.columns)
