@@ -157,9 +157,11 @@ def ranking_metrics(spark, sf):
     return rounded(metrics.ranking_metrics(scored(spark, sf), "fold"), "roc_auc", "average_precision")
 
 
-@query(f"SELECT fold, score, round(tp / np, 6) AS tpr, round(fp / nn, 6) AS fpr, round(tp / (tp + fp), 6) AS precision FROM ({STEPS})")
+@query(f"SELECT fold, score, round(tp / np, 6) AS tpr, round(fp / nn, 6) AS fpr, round(tp / (tp + fp), 6) AS precision FROM ({STEPS}) UNION ALL SELECT DISTINCT fold, NULL, 0, 0, 1 FROM ({STEPS})")
 def roc_pr_curve(spark, sf):
-    return rounded(metrics.curve(scored(spark, sf), "fold"), "tpr", "fpr", "precision")
+    """The start of a curve has no score."""
+    made = metrics.curve(scored(spark, sf), "fold").withColumn("score", F.nullif("score", F.lit(float("inf"))))
+    return rounded(made, "tpr", "fpr", "precision")
 
 
 def spread(metric: str) -> str:

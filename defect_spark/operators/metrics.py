@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from defect_spark.operators import ranges
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -41,9 +43,9 @@ def class_report(df: DataFrame, group: str) -> DataFrame:
     return each.unionByName(total).unionByName(macro).unionByName(weighted)
 
 
-def score_ranges(df: DataFrame, column: str, ranges: int = 128) -> Column:
+def score_ranges(df: DataFrame, column: str, number: int = 128) -> Column:
     """The number of a value's range, from 0 for the highest; the cuts are approximate quantiles, so ranges hold about equally many rows."""
-    cuts = df.agg(F.percentile_approx(column, [k / ranges for k in range(1, ranges)], 1000).alias("c")).first().c or []
+    cuts = df.agg(F.percentile_approx(column, [k / number for k in range(1, number)], 1000).alias("c")).first().c or []
     cuts = sorted(set(cuts))
     return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col(column))) if cuts else F.lit(0)
 
@@ -52,9 +54,10 @@ def score_steps(df: DataFrame, group: str) -> DataFrame:
     """(group, score, p, n, tp, fp): a row for each distinct score with its own and the cumulated counts, highest first.
 
     Counts are cumulated within score ranges and the sums of the ranges before are added, so a
-    group with many distinct scores isn't one task.
+    group with many distinct scores isn't one task. Rows without a score or a label are left out.
     """
-    counts = df.groupBy(group, "score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
+    counts = df.where("score IS NOT NULL AND label IS NOT NULL").groupBy(group, "score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
+    counts = ranges.checkpointed(counts)
     counts = counts.withColumn("range_", score_ranges(df, "score"))
     before = Window.partitionBy(group).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
     sums = counts.groupBy(group, "range_").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
@@ -76,10 +79,14 @@ def ranking_metrics(df: DataFrame, group: str) -> DataFrame:
 
 
 def curve(df: DataFrame, group: str) -> DataFrame:
-    """(group, score, tpr, fpr, precision) at each distinct score."""
-    totals = df.groupBy(F.col(group).alias("g_")).agg(F.count_if(F.col("label") == 1).alias("all_p"), F.count_if(F.col("label") == 0).alias("all_n"))
+    """(group, score, tpr, fpr, precision) at each distinct score, and where both curves start: an infinite score that no row reaches.
+
+    Rows without a score or a label are left out.
+    """
+    totals = df.where("score IS NOT NULL AND label IS NOT NULL").groupBy(F.col(group).alias("g_")).agg(F.count_if(F.col("label") == 1).alias("all_p"), F.count_if(F.col("label") == 0).alias("all_n"))
     made = score_steps(df, group).join(totals, F.col(group).eqNullSafe(F.col("g_")))
-    return made.select(group, "score", ratio(F.col("tp"), F.col("all_p")).alias("tpr"), ratio(F.col("fp"), F.col("all_n")).alias("fpr"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
+    start = totals.select(F.col("g_").alias(group), F.lit(float("inf")).alias("score"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"), F.lit(1.0).alias("precision"))
+    return start.unionByName(made.select(group, F.col("score").cast("double").alias("score"), ratio(F.col("tp"), F.col("all_p")).alias("tpr"), ratio(F.col("fp"), F.col("all_n")).alias("fpr"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision")))
 
 
 def cv_summary(metrics: DataFrame, names: list[str]) -> DataFrame:

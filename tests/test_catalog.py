@@ -48,6 +48,15 @@ def test_cleaning_of_nulls(spark):
 
 def test_metrics_of_one_class(spark):
     df = spark.createDataFrame([(0, 1, 0.5, 1), (0, 1, 0.5, 1)], "fold int, label int, score double, prediction int")
+    assert {(r.score, r.tpr, r.fpr) for r in metrics.curve(df, "fold").collect()} == {(float("inf"), 0.0, 0.0), (0.5, 1.0, 0.0)}
     row = metrics.ranking_metrics(df, "fold").first()
     assert row.roc_auc is None and row.average_precision is None
     assert metrics.binary_metrics(df, "fold").first().specificity == 0.0
+
+
+def test_rows_without_a_score_are_left_out(spark):
+    rows = [(0, 1, 0.9, 1), (0, 0, 0.8, 1), (0, 1, 0.7, 1), (0, 0, 0.1, 0), (0, 1, None, 0), (0, None, 0.5, 0)]
+    df = spark.createDataFrame(rows, "fold int, label int, score double, prediction int")
+    one, two = (metrics.ranking_metrics(x, "fold").first() for x in (df, df.where("score is not null and label is not null")))
+    assert one == two and one.roc_auc == 0.75
+    assert metrics.curve(df, "fold").count() == 5
