@@ -25,12 +25,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+MOST_PARTS = 20_000
+
+
 def placed(df: DataFrame, keys: list[str], rows_a_part: int = 1 << 17) -> DataFrame:
-    """df, written once, with part_: the number of its range of keys. There are ranges in proportion to rows.
+    """df, written once, with part_: the number of its range of keys. Ranges are in proportion to rows, up to MOST_PARTS.
 
     Rows with equal keys share a range, so the keys must tell apart what may be frequent.
     """
-    parts = max(1, -(-df.count() // rows_a_part))
+    parts = max(1, min(MOST_PARTS, -(-df.count() // rows_a_part)))
     return checkpointed(df.repartitionByRange(parts, *(F.col(k).asc_nulls_first() for k in keys)).withColumn("part_", F.spark_partition_id()))
 
 
@@ -47,5 +50,5 @@ def ranks(df: DataFrame, group: list[str], order: list[str], name: str = "rank",
     before = counts.select(F.col("part_").alias("p_"), *(F.col(g).alias(f"{g}_g") for g in group), F.sum("n_").over(earlier).alias("before_")).where("before_ > 0")
     same = reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(f"{g}_g")) for g in group), F.col("part_") == F.col("p_"))
     own = F.row_number().over(Window.partitionBy("part_", *group).orderBy(*(F.col(o).asc_nulls_first() for o in order))) - 1
-    made = rows.withColumn("own_", own).join(F.broadcast(before), same, "left")  # at most a row a range
+    made = rows.withColumn("own_", own).join(F.broadcast(before), same, "left")  # a row a range, MOST_PARTS at most
     return made.withColumn(name, (F.col("own_") + F.coalesce("before_", F.lit(0))).cast("long")).select(*df.columns, name)
