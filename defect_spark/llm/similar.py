@@ -32,6 +32,7 @@ from defect_spark.llm.simhash import link_edges, majority, star_roots
 from defect_spark.operators.ranges import ranks
 
 STARS = 4
+FREQUENT = 16  # rows of the sample with a shingle that is dealt over several tasks
 
 
 def shingles(text: str | None, size: int = 5, seed: int = 42) -> np.ndarray:
@@ -72,9 +73,8 @@ def common_shingles(docs: DataFrame, size: int, sample_rows: int, often: int = 3
     return {r.h: r.n for r in some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= often).collect()}
 
 
-def prefixes(docs: DataFrame, size: int, least: float, sample_rows: int) -> DataFrame:
+def prefixes(docs: DataFrame, size: int, least: float, found: dict[int, int]) -> DataFrame:
     """(doc_id, key, na, nb, n, fp, s, t, prefix): (na, nb) names the set, n is its size, fp its fingerprint, s and t its parities."""
-    found = common_shingles(docs, size, sample_rows)
     known = np.array(sorted(found), np.int64)
     shared = docs.sparkSession.sparkContext.broadcast((known, np.array([found[h] for h in known.tolist()], np.int64)))
 
@@ -126,6 +126,21 @@ def twin_pairs(sets: DataFrame, radius: int) -> DataFrame:
     return equal.union(linked).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
+def shared_rows(sets: DataFrame, frequent: list[int], salts: int = 64) -> DataFrame:
+    """(h, cls, i, held): the prefix shingles that two sets or more have, and in how many sets' prefixes each is.
+
+    Shingles are counted where they meet, in one shuffle. ``frequent`` ones, by the sample, are
+    dealt over ``salts`` tasks and their counts added.
+    """
+    rows = sets.select("cls", F.posexplode("prefix").alias("i", "h"))
+    named = sets.sparkSession.createDataFrame([(h, True) for h in frequent], "h long, often boolean")
+    rows = rows.join(F.broadcast(named), "h", "left")  # shingles of the sample
+    rows = rows.withColumn("salt", F.when(F.col("often"), F.pmod(F.xxhash64("cls"), F.lit(salts))).otherwise(0))
+    kept = checkpointed(rows.withColumn("own", F.count("*").over(Window.partitionBy("h", "salt"))).where("own > 1 OR often").select("h", "cls", "i", "own", "often"))
+    totals = kept.where("often").groupBy("h").agg(F.count("*").alias("total"))
+    return kept.join(F.broadcast(totals), "h", "left").select("h", "cls", "i", F.coalesce("total", "own").alias("held")).where("held > 1")  # at most the frequent ones
+
+
 def star_pairs(rows: DataFrame, most_pairs: int) -> DataFrame:
     """(a, b): each set of a large group with the group's leader, in at most STARS groups a set."""
     large = rows.where(F.col("held") > most_pairs).select("h", "cls")
@@ -187,13 +202,12 @@ def keepers(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "d
     if least <= 0.5:
         raise ValueError("least must be over 0.5")
     docs = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    made = checkpointed(prefixes(docs, size, least, sample_rows))
+    found = common_shingles(docs, size, sample_rows)
+    made = checkpointed(prefixes(docs, size, least, found))
     # each different set once, under a number that stays as it is written
     sets = made.groupBy("na", "nb").agg(F.min(F.struct("key", "n", "fp", "s", "t", "prefix")).alias("x")).select("na", "nb", "x.*")
     sets = checkpointed(sets.withColumn("cls", F.monotonically_increasing_id()))
-    rows = sets.select("cls", F.posexplode("prefix").alias("i", "h"))
-    common = rows.groupBy("h").agg(F.count("*").alias("held")).where("held > 1")
-    rows = checkpointed(rows.join(common, "h"))
+    rows = shared_rows(sets, [h for h, n in found.items() if n >= FREQUENT])
     pairs = checkpointed(twin_pairs(sets, radius).union(star_pairs(rows, most_pairs)).distinct())
     linked = checkpointed(confirmed(pairs, sets, docs, size, least))
     roots = star_roots(linked).withColumnRenamed("u", "cls")
