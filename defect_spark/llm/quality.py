@@ -126,7 +126,12 @@ def covered_by(rule: Rule, values: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def learn(values: dict[str, np.ndarray], bad: np.ndarray, most_rules: int = 8, most_tests: int = 4, precision: float = 0.95, support: int = 5) -> list[Rule]:
-    """Sequential covering of the bad rows; a rule stays if enough of what it covers is bad in both parts."""
+    """Sequential covering of the bad rows; a rule stays if enough of what it covers is bad in both parts.
+
+    Covering ends after ``most_rules`` rules, or when fewer than ``support`` bad rows are left; a rule
+    has at most ``most_tests`` tests. Bad rows that no rule covers by then are kept, so larger
+    bounds reject more of what is like them.
+    """
     rules: list[Rule] = []
     left = np.arange(len(bad))
     while len(rules) < most_rules and bad[left].sum() >= support:
