@@ -169,20 +169,22 @@ class CrossParser:
         return langs, np.where(size > 0, score, 0.0), size > 0
 
 
-def learn(docs: DataFrame, rows_a_language: int = 100, bytes_a_language: int = 64_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
+def learn(docs: DataFrame, rows_a_language: int = 100, bytes_a_language: int = 64_000, text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
     """The sample of each language, its whole texts joined by spaces.
 
-    It is drawn from the ``rows_a_language`` labelled rows with the smallest hashes: in that
-    order each text whose letters still fit into ``bytes_a_language`` is taken, and if none does
-    the shortest. Null languages and texts without letters are left out.
+    It is drawn from the ``rows_a_language`` different labelled texts with the smallest hashes: in
+    that order each text whose letters still fit into ``bytes_a_language`` is taken, and if none
+    does the shortest. So long texts are passed over more often. Null languages and texts without
+    letters are left out; copies of a text are one.
     """
-    docs = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    docs = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(text_col)).alias("h")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     # by leading zeros of the hash: the levels above the cut hold enough rows, and not twice as many
     level = (64 - F.length(F.bin("h"))).alias("level")
-    levels = docs.groupBy("lang", level).agg(F.count("*").alias("n"))
+    levels = docs.select("lang", "h").distinct().groupBy("lang", level).agg(F.count("*").alias("n"))
     down = Window.partitionBy("lang").orderBy(F.desc("level"))
     cuts = levels.select("lang", "level", (F.sum("n").over(down) - F.col("n")).alias("above")).where(F.col("above") < rows_a_language).groupBy("lang").agg(F.min("level").alias("cut"))
     some = docs.join(F.broadcast(cuts), "lang").where(level >= F.col("cut"))  # one row a language
+    some = some.groupBy("lang", "h").agg(F.min("text").alias("text"))
     first = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(level), "h", "text"))).where(F.col("k") <= rows_a_language)
     texts: dict[str, list[str]] = {}
     for r in first.select("lang", "k", "text").orderBy("lang", "k").toLocalIterator():

@@ -80,3 +80,10 @@ def test_pipeline_stage_sets_the_language(spark):
     learned = language.learn(docs.where(~language.held_out()))
     want = {r.doc_id: r.lang_pred for r in language.identify(docs, learned).collect() if r.lang_pred != "und"}
     assert got == want
+
+
+def test_ids_and_copies_have_no_part_in_the_sample(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    one = language.learn(docs, rows_a_language=9, bytes_a_language=9000)
+    moved = docs.selectExpr("doc_id * 7 + 1 as doc_id", "text", "lang")
+    assert language.learn(moved.union(moved.limit(3)).repartition(5), rows_a_language=9, bytes_a_language=9000) == one
