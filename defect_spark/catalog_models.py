@@ -14,7 +14,7 @@ from defect_spark.sources import datasets
 
 # ---- cleaning, features and splits ----
 
-YES, POSITIVE = "'Y', 'yes', 'true', 'True', '1'", "'Y', 'yes', 'true', 'True', '1', 'positive', 'defect', 'bug', 'M'"
+YES, POSITIVE = (", ".join(f"'{w}'" for w in words) for words in (cleaning.YES, cleaning.POSITIVE))
 
 
 @query(f"""SELECT row_id, CAST(target IN ({YES}) AS INTEGER) AS yes, CAST(lower(trim(target)) <> 'false' AS INTEGER) AS not_false, CAST(target = 'Y' AS INTEGER) AS y,
