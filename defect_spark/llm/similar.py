@@ -126,14 +126,14 @@ def twin_pairs(sets: DataFrame, radius: int) -> DataFrame:
     return equal.union(linked).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
-def shared_rows(sets: DataFrame, frequent: list[int], salts: int = 64) -> DataFrame:
-    """(h, cls, i, held): the prefix shingles that two sets or more have, and in how many sets' prefixes each is.
+def shared_rows(prefixed: DataFrame, frequent: list[int], salts: int = 64) -> DataFrame:
+    """(h, cls, i, held) of (cls, prefix): the prefix shingles that two sets or more have, and in how many prefixes each is.
 
     Shingles are counted where they meet, in one shuffle. ``frequent`` ones, by the sample, are
     dealt over ``salts`` tasks and their counts added.
     """
-    rows = sets.select("cls", F.posexplode("prefix").alias("i", "h"))
-    named = sets.sparkSession.createDataFrame([(h, True) for h in frequent], "h long, often boolean")
+    rows = prefixed.select("cls", F.posexplode("prefix").alias("i", "h"))
+    named = prefixed.sparkSession.createDataFrame([(h, True) for h in frequent], "h long, often boolean")
     rows = rows.join(F.broadcast(named), "h", "left")  # shingles of the sample
     rows = rows.withColumn("salt", F.when(F.col("often"), F.pmod(F.xxhash64("cls"), F.lit(salts))).otherwise(0))
     kept = checkpointed(rows.withColumn("own", F.count("*").over(Window.partitionBy("h", "salt"))).where("own > 1 OR often").select("h", "cls", "i", "own", "often"))
@@ -192,6 +192,20 @@ def all_pairs(blocks: DataFrame, least: float) -> DataFrame:
     return rows.select(F.greatest("a.cls", "b.cls").alias("a"), F.least("a.cls", "b.cls").alias("b")).distinct()
 
 
+def numbered(docs: DataFrame, size: int, least: float, sample_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, sets, rows): (doc_id, key, na, nb) of docs, each different set once under a number cls, and its shared_rows.
+
+    A set's number is that of one of its rows, which stays as the rows are written.
+    """
+    found = common_shingles(docs, size, sample_rows)
+    made = checkpointed(prefixes(docs, size, least, found).withColumn("cls", F.monotonically_increasing_id()))
+    sets = made.groupBy("na", "nb").agg(F.min(F.struct("cls", "key", "n", "fp", "s", "t")).alias("x")).select("na", "nb", "x.*")
+    sets = checkpointed(sets)
+    prefixed = made.select("cls", "prefix").join(sets.select("cls"), "cls", "left_semi")
+    rows = shared_rows(prefixed, [h for h, n in found.items() if n >= FREQUENT])
+    return checkpointed(made.select("doc_id", "key", "na", "nb")), sets, checkpointed(rows)
+
+
 def keepers(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8192, most_pairs: int = 256, radius: int = 3, block_rows: int = 1024) -> DataFrame:
     """(doc_id, key): of each component of texts linked by a similarity of ``least`` or more its smallest row.
 
@@ -202,12 +216,7 @@ def keepers(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "d
     if least <= 0.5:
         raise ValueError("least must be over 0.5")
     docs = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    found = common_shingles(docs, size, sample_rows)
-    made = checkpointed(prefixes(docs, size, least, found))
-    # each different set once, under a number that stays as it is written
-    sets = made.groupBy("na", "nb").agg(F.min(F.struct("key", "n", "fp", "s", "t", "prefix")).alias("x")).select("na", "nb", "x.*")
-    sets = checkpointed(sets.withColumn("cls", F.monotonically_increasing_id()))
-    rows = shared_rows(sets, [h for h, n in found.items() if n >= FREQUENT])
+    members, sets, rows = numbered(docs, size, least, sample_rows)
     pairs = checkpointed(twin_pairs(sets, radius).union(star_pairs(rows, most_pairs)).distinct())
     linked = checkpointed(confirmed(pairs, sets, docs, size, least))
     roots = star_roots(linked).withColumnRenamed("u", "cls")
@@ -216,7 +225,7 @@ def keepers(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "d
     more = confirmed(pairs, sets, docs, size, least)
     roots = star_roots(more.union(linked).distinct()).withColumnRenamed("u", "cls")
     named = sets.select("na", "nb", "cls").join(roots, "cls", "left").select("na", "nb", F.coalesce("root", "cls").alias("root"))
-    first = made.select("doc_id", "key", "na", "nb").join(named, ["na", "nb"]).groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "key")).alias("x"))
+    first = members.join(named, ["na", "nb"]).groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "key")).alias("x"))
     return first.select("x.doc_id", "x.key")
 
 
