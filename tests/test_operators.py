@@ -47,7 +47,7 @@ def test_exact_median_of_many_values(spark, n):
 def test_rows_all_null_and_no_values(spark):
     df = spark.createDataFrame([(1, None, None), (2, 1.0, None), (3, None, None)], "k int, x double, s string")
     assert [r.k for r in cleaning.drop_all_null_rows(df, "k").collect()] == [2]
-    assert cleaning.exact_median(df.where("k = 1"), "x") is None
+    assert cleaning.exact_medians(df.where("k = 1"), ["x"]) == {"x": None}
     assert cleaning.impute(df, ["x"], ["s"]).where("k = 1").first()[1:] == (1.0, "unknown")
 
 
