@@ -96,6 +96,8 @@ class CrossParser:
         self.code = np.zeros(256, np.uint8)  # 0: in no sample
         self.code[known] = np.arange(1, len(known) + 1)
         self.width = len(known) + 1
+        # a sample of n bytes has fewer than 2 n states; entries are twice their places
+        entry = np.int32 if 2 * sum(map(len, samples)) * self.width < 1 << 30 else np.int64
         tables, rows = [], 0
         self.roots = []
         for sample in samples:
@@ -103,7 +105,7 @@ class CrossParser:
             base = rows * self.width
             self.roots.append(base)
             # from any state a byte that doesn't go on begins a phrase, as from the root
-            root = np.full(self.width, base << 1 | 1, np.int64)
+            root = np.full(self.width, base << 1 | 1, entry)
             for c, to in states[0].items():
                 root[c] = (base + to * self.width) << 1 | 1
             table = np.tile(root, (len(states), 1))
@@ -112,8 +114,8 @@ class CrossParser:
             table[at, cs] = (base + np.fromiter((to for s in states[1:] for to in s.values()), np.int64, len(at)) * self.width) << 1
             tables.append(table.ravel())
             rows += len(states)
-        table = np.concatenate(tables) if tables else np.zeros(0, np.int64)
-        self.table = table.astype(np.int32) if rows * self.width < 1 << 30 else table
+            del states
+        self.table = np.concatenate(tables) if tables else np.zeros(0, entry)
         self.one_by_one = memoryview(self.table)
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
