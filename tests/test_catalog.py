@@ -60,3 +60,9 @@ def test_rows_without_a_score_are_left_out(spark):
     one, two = (metrics.ranking_metrics(x, "fold").first() for x in (df, df.where("score is not null and label is not null")))
     assert one == two and one.roc_auc == 0.75
     assert metrics.curve(df, "fold").count() == 5
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
+def test_queries_without_sql_run(spark, name):
+    rows = catalog.QUERIES[name](spark, SF).collect()
+    assert rows and all(v is not None for v in rows[0])
