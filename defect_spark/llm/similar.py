@@ -32,6 +32,7 @@ from defect_spark.llm.simhash import link_edges, majority, star_roots
 from defect_spark.operators.ranges import ranks
 
 STARS = 4
+WIDE = 2048  # buckets of the parities that decide which whole sets are compared
 FREQUENT = 16  # rows of the sample with a shingle that is dealt over several tasks
 
 
@@ -42,9 +43,9 @@ def shingles(text: str | None, size: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), parts), np.uint64).view(np.int64))
 
 
-def parities(grams: np.ndarray) -> np.ndarray:
-    """Two longs of bits: whether a set has an odd number of shingles in each of 128 buckets."""
-    odd = np.bincount(grams & 127, minlength=128) & 1
+def parities(grams: np.ndarray, buckets: int = 128) -> np.ndarray:
+    """Longs of bits: whether a set has an odd number of shingles in each bucket."""
+    odd = np.bincount(grams & (buckets - 1), minlength=buckets) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
@@ -74,14 +75,14 @@ def common_shingles(docs: DataFrame, size: int, sample_rows: int, often: int = 3
 
 
 def prefixes(docs: DataFrame, size: int, least: float, found: dict[int, int]) -> DataFrame:
-    """(doc_id, key, na, nb, n, fp, s, t, prefix): (na, nb) names the set, n is its size, fp its fingerprint, s and t its parities."""
+    """(doc_id, key, na, nb, n, fp, s, t, wide, prefix): (na, nb) names the set, n is its size, fp its fingerprint, the next its parities."""
     known = np.array(sorted(found), np.int64)
     shared = docs.sparkSession.sparkContext.broadcast((known, np.array([found[h] for h in known.tolist()], np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = shared.value
         for b in batches:
-            sets, sizes, prints, odd, cuts = [], [], [], [], []
+            sets, sizes, prints, odd, wide, cuts = [], [], [], [], [], []
             for t in b.column(2):
                 grams = shingles(t.as_py(), size)
                 n = len(grams)
@@ -89,30 +90,43 @@ def prefixes(docs: DataFrame, size: int, least: float, found: dict[int, int]) ->
                 sizes.append(n)
                 prints.append(majority(grams.view(np.uint64)))
                 odd.append(parities(grams))
+                wide.append(parities(grams, WIDE))
                 if len(known):
                     at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
                     grams = grams[np.lexsort((grams, np.where(known[at] == grams, times[at], 0)))]
                 cuts.append(grams[: n - math.ceil(least * n - 1e-9) + 1])
             bits = np.array(odd, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *set_names(sets), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.array(cuts, pa.list_(pa.int64()))], ["doc_id", "key", "na", "nb", "n", "fp", "s", "t", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *set_names(sets), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.array(wide, pa.list_(pa.int64())), pa.array(cuts, pa.list_(pa.int64()))], ["doc_id", "key", "na", "nb", "n", "fp", "s", "t", "wide", "prefix"])
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, key struct<x: long, y: long>, na long, nb long, n int, fp long, s long, t long, prefix array<long>")
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, key struct<x: long, y: long>, na long, nb long, n int, fp long, s long, t long, wide array<long>, prefix array<long>")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
-    """(u, v), u > v: the pairs (a, b) of sets whose similarity is ``least`` or more."""
+def whole_sets(asked: DataFrame, sets: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(cls, grams), written once: the shingles of the sets in asked (cls), each read from the text that gave it its number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), size) for t in b.column(1)], pa.list_(pa.int64()))], ["cls", "grams"])
 
-    asked = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    keys = sets.select("cls", "key").join(asked, "cls")
-    texts = docs.select("key", "text").join(keys, "key").groupBy("cls").agg(F.min("text").alias("text"))
-    grams = checkpointed(texts.mapInArrow(run, "cls long, grams array<long>"))
+    keys = sets.select("cls", "doc_id", "key").join(asked.distinct(), "cls")
+    texts = docs.alias("a").join(keys.alias("b"), same("doc_id", "key")).select("b.cls", "a.text")
+    return checkpointed(texts.mapInArrow(run, "cls long, grams array<long>"))
+
+
+def confirmed(pairs: DataFrame, grams: DataFrame, least: float) -> DataFrame:
+    """(u, v), u > v: the pairs (a, b) of sets whose similarity is ``least`` or more."""
     both = pairs.join(grams.select(F.col("cls").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("cls").alias("b"), F.col("grams").alias("y")), "b")
     shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("s"), (F.size("x") + F.size("y")).alias("n"))
-    return shared.where(F.col("s") * (1 + least) >= F.col("n") * least - 1e-9).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    return shared.where(F.col("s") * (1 + least) >= F.col("n") * least - 1e-9).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
+def able_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs whose WIDE parities allow a similarity of ``least``; see all_pairs."""
+    side = lambda c, n, w: sets.select(F.col("cls").alias(c), F.col("n").alias(n), F.col("wide").alias(w))
+    both = pairs.join(side("a", "m", "v"), "a").join(side("b", "n", "w"), "b")
+    odd = F.aggregate(F.zip_with("v", "w", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    most = F.col("m") + F.col("n") - 2 * F.ceil(least / (1 + least) * (F.col("m") + F.col("n")) - 1e-9)
+    return both.where(odd <= most).select("a", "b")
 
 
 def twin_pairs(sets: DataFrame, radius: int) -> DataFrame:
@@ -199,11 +213,12 @@ def numbered(docs: DataFrame, size: int, least: float, sample_rows: int) -> tupl
     """
     found = common_shingles(docs, size, sample_rows)
     made = checkpointed(prefixes(docs, size, least, found).withColumn("cls", F.monotonically_increasing_id()))
-    sets = made.groupBy("na", "nb").agg(F.min(F.struct("cls", "key", "n", "fp", "s", "t")).alias("x")).select("na", "nb", "x.*")
+    sets = made.groupBy("na", "nb").agg(F.min(F.struct("cls", "doc_id", "key", "n", "fp", "s", "t", "wide")).alias("x")).select("na", "nb", "x.*")
     sets = checkpointed(sets)
-    prefixed = made.select("cls", "prefix").join(sets.select("cls"), "cls", "left_semi")
+    again = made.select("cls").join(sets.select("cls"), "cls", "left_anti")
+    prefixed = made.select("cls", "prefix").join(again, "cls", "left_anti")
     rows = shared_rows(prefixed, [h for h, n in found.items() if n >= FREQUENT])
-    return checkpointed(made.select("doc_id", "key", "na", "nb")), sets, checkpointed(rows)
+    return made.select("doc_id", "key", "na", "nb"), sets, rows
 
 
 def keepers(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8192, most_pairs: int = 256, radius: int = 3, block_rows: int = 1024) -> DataFrame:
@@ -217,12 +232,16 @@ def keepers(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "d
         raise ValueError("least must be over 0.5")
     docs = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     members, sets, rows = numbered(docs, size, least, sample_rows)
-    pairs = checkpointed(twin_pairs(sets, radius).union(star_pairs(rows, most_pairs)).distinct())
-    linked = checkpointed(confirmed(pairs, sets, docs, size, least))
+    pairs = checkpointed(able_pairs(twin_pairs(sets, radius).union(star_pairs(rows, most_pairs)).distinct(), sets, least))
+    ends = lambda p: p.select(F.col("a").alias("cls")).union(p.select(F.col("b").alias("cls")))
+    grams = whole_sets(ends(pairs), sets, docs, size)
+    linked = checkpointed(confirmed(pairs, grams, least))
     roots = star_roots(linked).withColumnRenamed("u", "cls")
     placed = sets.select("cls", "n", "s", "t").join(roots, "cls", "left").withColumn("part", F.coalesce("root", "cls")).drop("root")
-    pairs = checkpointed(all_pairs(block_pairs(rows.join(placed, "cls"), block_rows), least))
-    more = confirmed(pairs, sets, docs, size, least)
+    pairs = all_pairs(block_pairs(rows.join(placed, "cls"), block_rows), least)
+    pairs = checkpointed(able_pairs(pairs, sets, least))
+    rest = ends(pairs).distinct().join(grams.select("cls"), "cls", "left_anti")
+    more = confirmed(pairs, grams.unionByName(whole_sets(rest, sets, docs, size)), least)
     roots = star_roots(more.union(linked).distinct()).withColumnRenamed("u", "cls")
     named = sets.select("na", "nb", "cls").join(roots, "cls", "left").select("na", "nb", F.coalesce("root", "cls").alias("root"))
     first = members.join(named, ["na", "nb"]).groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "key")).alias("x"))
