@@ -2,16 +2,31 @@
 
 The pre-tokenizer of these vocabularies never lets a token cross the space before a word or a
 lone line break between words, so a text is cut there, each different chunk is encoded by the
-library once per worker (a bounded memo), and the results are strung together. Texts with other
-runs of white space, or with a special token's string, are encoded whole.
+library once per worker (a bounded memo), and the results are strung together. Nor does a token
+cross from a letter or digit to a punctuation mark, so a chunk that ends in marks is put together
+from the chunk without them. Texts with other runs of white space, or with a special token's
+string, are encoded whole.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import string
+from collections.abc import Iterator
+from itertools import repeat
+from operator import ne
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Marks that make a tail of a chunk, of at most TAIL of them; an apostrophe can begin a token with letters.
+MARKS = string.punctuation.replace("'", "")
+TAIL = 3
+LATIN = pa.array([c for c in map(chr, range(0x250)) if c.isalnum()])
+#: Texts that are encoded together, in bytes.
+BATCH = 4 << 20
 
 _loaded: dict[tuple[str, str], Encoder] = {}
 
@@ -42,10 +57,15 @@ class Codes(dict):
     def __init__(self):
         self.fresh: list[str] = []
 
-    def __missing__(self, chunk: str) -> int:
-        self[chunk] = number = len(self)
-        self.fresh.append(chunk)
-        return number
+    def of(self, chunks: np.ndarray) -> np.ndarray:
+        """The numbers of chunks that differ from each other."""
+        found = np.fromiter(map(self.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(found < 0)
+        found[new] = np.arange(len(self), len(self) + len(new))
+        some = chunks[new].tolist()
+        self.update(zip(some, found[new].tolist()))
+        self.fresh += some
+        return found
 
 
 class Grown:
@@ -69,6 +89,15 @@ def irregular(text: str) -> bool:
     return "  " in text or " \n" in text or "\n\n\n" in text or "\n\n " in text or text[-1] == " " or text.endswith("\n\n")
 
 
+def batches_of(rows: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """rows in slices with about BATCH bytes of the texts in a column; a longer text is alone."""
+    cost = np.cumsum(pc.fill_null(pc.binary_length(rows.column(column)), 0).to_numpy(zero_copy_only=False)) // BATCH
+    cuts = [0, *(np.flatnonzero(np.diff(cost)) + 1).tolist(), rows.num_rows]
+    for low, high in zip(cuts, cuts[1:]):
+        if low < high:
+            yield rows.slice(low, high - low)
+
+
 def gathered(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The indices begin[0], begin[0] + 1, ... of every stretch, strung together."""
     return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
@@ -103,6 +132,7 @@ class Encoder:
         # of each chunk: begin and number of its tokens in flat, its characters, in how many batches it was used
         self.begin, self.size, self.chars, self.used = (Grown(np.int64) for _ in range(4))
         self.flat = Grown(np.int32, self.width)
+        self.tails: dict[str, np.ndarray] = {}
 
     def whole(self, text: str) -> np.ndarray:
         """What the library gives for one string."""
@@ -127,24 +157,43 @@ class Encoder:
             made = made - np.repeat(np.cumsum(chars) - chars, size)[:, None].astype(np.int32)
         return made, size
 
+    def tailed(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """(places in fresh of chunks that end in marks, codes of these without the marks, the marks); new codes join fresh.
+
+        Only what ends in a Latin letter or a digit is cut: there all versions of Unicode agree.
+        """
+        keys = pa.array(fresh, pa.string())
+        cores = pc.utf8_rtrim(keys, MARKS)
+        size = pc.subtract(pc.binary_length(keys), pc.binary_length(cores)).to_numpy()  # marks are ASCII
+        ends = pc.is_in(pc.utf8_slice_codeunits(cores, -1), LATIN).to_numpy(zero_copy_only=False)
+        places = np.flatnonzero((size > 0) & (size <= TAIL) & ends)
+        found = cores.take(pa.array(places)).dictionary_encode()
+        codes = self.codes.of(found.dictionary.to_numpy(zero_copy_only=False))[found.indices.to_numpy()]
+        return places, codes, [fresh[i][-n:] for i, n in zip(places.tolist(), size[places].tolist())]
+
     def learn(self) -> None:
         """Encodes the fresh chunks; size -1 marks those with other white space at an end."""
-        fresh, self.codes.fresh = self.codes.fresh, []
+        fresh, first = self.codes.fresh, self.size.n
+        places, cores, tails = self.tailed(fresh)
+        self.codes.fresh = []
         chunks = [k if k[:1] == "\n" else " " + k for k in fresh]
         size = np.ones(len(fresh), np.int64)
-        odd = [len(c) < 2 and c != "\n" or c != "\n" and (c[1].isspace() or c[-1].isspace()) for c in chunks]
-        lone = [c == "\n" for c in chunks]
-        plain = np.flatnonzero(~(np.array(odd, bool) | np.array(lone, bool)))
+        lone = np.fromiter(map("\n".__eq__, chunks), bool, len(chunks))
+        words = [c[1:] for c in chunks]
+        odd = np.fromiter(map(ne, map(str.strip, words), words), bool, len(chunks)) | np.fromiter(map(" ".__eq__, chunks), bool, len(chunks))
+        put = np.zeros(len(fresh), bool)
+        put[places] = True
+        plain = np.flatnonzero(~(odd | lone | put))
         parts = []
         for at in range(0, len(plain), self.GROUP):
             some = plain[at : at + self.GROUP]
             made, size[some] = self.group([chunks[i] for i in some])
             parts.append(made)
-        size[np.flatnonzero(odd)] = -1
+        size[odd] = -1
         held, begin = self.flat.n, np.zeros(len(fresh), np.int64)
         begin[plain] = held + np.cumsum(size[plain]) - size[plain]
-        if any(lone):
-            begin[np.flatnonzero(lone)] = held + sum(map(len, parts))
+        if lone.any():
+            begin[lone] = held + sum(map(len, parts))
             parts.append(self.whole("\n"))
         for made in parts:
             self.flat.add(made)
@@ -152,6 +201,26 @@ class Encoder:
         self.size.add(size)
         self.chars.add(np.fromiter(map(len, chunks), np.int64, len(chunks)))
         self.used.add(np.zeros(len(fresh), np.int64))
+        if len(places):
+            self.put_together(first + places, cores, tails)
+
+    def put_together(self, codes: np.ndarray, cores: np.ndarray, tails: list[str]) -> None:
+        """Enters the chunks numbered codes: each has the tokens of the chunk in cores, and then those of its tail."""
+        for t in set(tails) - self.tails.keys():
+            self.tails[t] = self.whole(t)
+        ends = [self.tails[t] for t in tails]
+        more = np.fromiter(map(len, ends), np.int64, len(ends))
+        held = np.maximum(self.size.data[cores], 0)
+        start = np.cumsum(held + more) - held - more
+        made = np.empty((int((held + more).sum()), self.width), np.int32)
+        made[gathered(start, held)] = self.flat.data[gathered(self.begin.data[cores], held)]
+        rest = np.concatenate(ends)
+        if self.what == "spans":
+            rest = rest + np.repeat(self.chars.data[cores], more)[:, None].astype(np.int32)
+        made[gathered(start + held, more)] = rest
+        self.begin.data[codes] = self.flat.n + start
+        self.size.data[codes] = np.where(self.size.data[cores] < 0, -1, held + more)
+        self.flat.add(made)
 
     def forget(self) -> None:
         """Drops the half of the chunks that was used least."""
@@ -175,22 +244,20 @@ class Encoder:
         """For each text what the library gives for the whole of it."""
         if len(self.codes) > self.most:
             self.forget()
-        keys: list[str] = []
-        stops, regular = [], []
-        for i, t in enumerate(texts):
-            if t and not irregular(t) and not any(s in t for s in self.special):
-                # a line break before the text stands for its beginning and is dropped again
-                keys += ("\n" + t).replace("\n", " \n")[1:].split(" ")
-                stops.append(len(keys))
-                regular.append(i)
-        codes = np.fromiter(map(self.codes.__getitem__, keys), np.int64, len(keys))
+        regular = [i for i, t in enumerate(texts) if t and not irregular(t) and not any(s in t for s in self.special)]
+        # a line break before the text stands for its beginning and is dropped again
+        lines = pc.split_pattern(pa.array(["\n" + texts[i].replace("\n", " \n") for i in regular], pa.string()), " ")
+        stops = lines.offsets.to_numpy()[1:].tolist()
+        keys = lines.values.dictionary_encode()
+        codes = self.codes.of(keys.dictionary.to_numpy(zero_copy_only=False))
         if self.codes.fresh:
             self.learn()
         self.used.data[codes] += 1
+        codes = codes[keys.indices.to_numpy()]
         size = self.size.data[codes]
         odd = size < 0
         size = np.maximum(size, 0)
-        made = self.flat.data[gathered(self.begin.data[codes], size)]
+        made = self.flat.data.take(gathered(self.begin.data[codes], size), axis=0)
         ends, chars = np.r_[0, np.cumsum(size)], np.r_[0, np.cumsum(self.chars.data[codes])]
         if self.what == "spans":
             made = made + np.repeat(chars[:-1], size)[:, None].astype(np.int32)

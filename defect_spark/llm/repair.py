@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from defect_spark.llm.byte_bpe import encoder, gathered
+from defect_spark.llm.byte_bpe import batches_of, encoder, gathered
 from defect_spark.llm.common import new_path, pairs_of
 
 FALL = 16
@@ -106,10 +106,16 @@ def compress(ids: np.ndarray, first_symbol: int, least: int = 4, end_id: int = 0
 
 def expansion_lengths(rules: np.ndarray, first_symbol: int) -> np.ndarray:
     """How many ids each rule stands for; rules only point to earlier ones."""
-    out: list[int] = []
-    for a, b in rules.tolist():
-        out.append((out[a - first_symbol] if a >= first_symbol else 1) + (out[b - first_symbol] if b >= first_symbol else 1))
-    return np.array(out, np.int64)
+    parts = np.maximum(rules - first_symbol, -1)  # -1: an id
+    out = np.zeros(len(rules) + 1, np.int64)  # 0: not known yet
+    out[-1] = 1
+    todo = np.arange(len(rules))
+    while len(todo):
+        made = out[parts[todo]]
+        known = (made > 0).all(axis=1)
+        out[todo[known]] = made[known].sum(axis=1)
+        todo = todo[~known]
+    return out[:-1]
 
 
 def strung(symbols: np.ndarray, flat: np.ndarray, begin: np.ndarray, lengths: np.ndarray, first_symbol: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,8 +190,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "do
 
         for b in batches:
             id_type = b.column(0).type
-            for at in range(0, b.num_rows, 256):
-                cut = b.slice(at, 256)
+            for cut in batches_of(b, 1):
                 texts = [t or "" for t in cut.column(1).to_pylist()]
                 for doc_id, ids in zip(cut.column(0).to_pylist(), enc.texts(texts)):
                     held_ids.append(doc_id)
