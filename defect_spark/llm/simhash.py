@@ -301,28 +301,47 @@ def link_edges(points: DataFrame, radius: int = 3, shard_points: int = 16384, ba
     return groups.groupBy(*GROUP).applyInArrow(search, "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def star_roots(edges: DataFrame) -> DataFrame:
+def few_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, root) of a bounded number of edges."""
+    made = list(batches)
+    if made:
+        u, v = (np.concatenate([b.column(k).to_numpy() for b in made]) for k in (0, 1))
+        nodes, at = np.unique(np.r_[u, v], return_inverse=True)
+        forest = Forest(len(nodes))
+        forest.join(at[: len(u)], at[len(u) :])
+        root = nodes[forest.roots(np.arange(len(nodes)))]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[root != nodes]), pa.array(root[root != nodes])], ["u", "root"])
+
+
+def star_roots(edges: DataFrame, few: int = 1 << 17) -> DataFrame:
     """(u, root): for each node of edges (u > v) that isn't its component's smallest, the smallest.
 
     Large-star and small-star steps; each round is checkpointed and hot nodes only take part
-    through joins that adaptive execution can split.
+    through joins that adaptive execution can split. At most ``few`` edges are joined in one task:
+    rounds would deal them over many tasks that cost far more than their rows.
     """
 
     def state(e: DataFrame):
         r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         return r.n, r.s
 
+    def each(e: DataFrame, pairs) -> DataFrame:
+        return e.select(F.explode(pairs).alias("e")).select("e.u", "e.v")
+
+    pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
     edges = checkpointed(edges)
     before = state(edges)
     if not before[0]:
         return edges.withColumnRenamed("v", "root")
+    if before[0] <= few:
+        return checkpointed(edges.select("u", "v").coalesce(1).mapInArrow(few_roots, "u long, root long"))
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = each(edges, F.array(pair("u", "v"), pair("v", "u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         edges = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpointed(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        moved = F.when(F.col("v") != F.col("m"), F.array(pair("v", "m"), pair("u", "m"))).otherwise(F.array(pair("u", "m")))
+        edges = checkpointed(each(edges.join(least, "u"), moved).distinct())
         now = state(edges)
         if now == before:
             return edges.withColumnRenamed("v", "root")

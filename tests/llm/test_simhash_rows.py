@@ -30,3 +30,14 @@ def test_jobs_do_not_grow_with_large_shards(spark):
         assert split.where("home").count() == n
         jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"shards {n}")))
     assert jobs[1] <= jobs[0] + 1
+
+
+def test_few_edges_need_no_rounds_and_give_the_same_roots(spark):
+    rng = np.random.default_rng(3)
+    pairs = {(int(max(a, b)), int(min(a, b))) for a, b in rng.integers(-400, 400, (500, 2)) if a != b} | {(k, k - 1) for k in range(1001, 1060)}
+    edges = spark.createDataFrame(sorted(pairs), "u long, v long").repartition(7)
+    dealt = simhash.star_roots(edges, few=0)
+    few = simhash.star_roots(edges)
+    assert few.rdd.getNumPartitions() == 1
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, dealt.collect()))
+    assert simhash.star_roots(edges.limit(0)).count() == 0
