@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from defect_spark.llm.byte_bpe import encoder, gathered
+from defect_spark.llm.byte_bpe import batches_of, encoder, gathered
 from defect_spark.llm.common import new_path, pairs_of
 
 K1, B = 1.2, 0.75  # BM25's usual constants
@@ -40,15 +40,16 @@ def write_encoded(docs: DataFrame, path: str, tokenizer_path: str, vocabulary: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, counts, n_docs, n_ids = encoder(tokenizer_path, "ids"), np.zeros(vocabulary, np.int64), 0, 0
-        id_type = None
+        last, id_type = np.zeros(vocabulary, np.int64), None
         for b in batches:
             id_type = b.column(0).type
-            for at in range(0, b.num_rows, 256):
-                cut = b.slice(at, 256)
+            for cut in batches_of(b, 1):
                 made = [np.append(x, end_id) for x in enc.texts([t or "" for t in cut.column(1).to_pylist()])]
                 sizes = np.fromiter(map(len, made), np.int64, len(made))
-                own = np.repeat(np.arange(len(made)), sizes) * vocabulary + np.concatenate(made)
-                counts += np.bincount(np.unique(own) % vocabulary, minlength=vocabulary)
+                for ids in made:  # an id counts at its last place in a document
+                    places = np.arange(len(ids))
+                    last[ids] = places
+                    counts[ids[last[ids] == places]] += 1
                 n_docs, n_ids = n_docs + len(made), n_ids + int(sizes.sum())
                 none = pa.nulls(len(made), pa.int64())
                 yield pa.RecordBatch.from_arrays([cut.column(0), pa.array([x.astype(kind).tobytes() for x in made], pa.binary()), none, none, pa.nulls(len(made), pa.binary())], names)
