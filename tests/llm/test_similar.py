@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 
 import corpus_pipeline
-from defect_spark.llm import similar
+from defect_spark.llm import similar, simhash
 
 KINDS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -93,3 +93,19 @@ def test_names_of_sets_are_long(spark):
     a, b = (similar.shingles(t) for t in ("one two three four five six", "one two three four five seven"))
     x, y = similar.set_names([a, b, a])
     assert x[0] == x[2] and y[0] == y[2] and (x[0], y[0]) != (x[1], y[1])
+
+
+def test_pipeline_keeps_every_link_of_op9(spark):
+    """Of texts that op9 links one stays, though their similarity is under 0.8; links of both kinds make one component."""
+    docs = family(np.random.default_rng(11), 8)
+    df = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in docs.items()], KINDS)
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    prints = {d: simhash.fingerprint(t) for d, t in docs.items()}
+    root = {d: d for d in docs}
+    linked = [(a, b) for a, b in combinations(sorted(docs), 2) if jaccard(docs[a], docs[b]) >= 0.8 or (prints[a] ^ prints[b]).bit_count() <= 3]
+    for _ in docs:
+        for a, b in linked:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {root[d] for d in docs}
+    assert len(want) < len(survivors(docs))
+    assert sorted(r.doc_id for r in stage(spark, df, "").collect()) == sorted(want)
