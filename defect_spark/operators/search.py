@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -280,11 +281,14 @@ def mutate_gaussian(population: DataFrame, genes: str, key: str, sigma: float =
     return population.withColumn(genes, F.transform(genes, lambda g, i: F.when(u("whether", i) < rate, g + step(i)).otherwise(g)))
 
 
+GROUP = 8  # candidates that are followed in one search
+
+
 def evaluate_candidates(candidates: DataFrame, data: DataFrame, most_candidates: int = 10_000) -> DataFrame:
     """(candidate, fold, tn, fp, fn, tp): each candidate (candidate, k, weights, p, mask) tested on each fold of data.
 
-    data is (key long, label 0 or 1, vector, fold); its rows meet block by block, as in knn_join,
-    and each block keeps a row's k nearest of other folds. candidates is a population, not data:
+    data is (key long, label 0 or 1, vector, fold); its packed blocks meet as in knn_join, once for
+    all candidates of one mask and distance, and a row's k nearest of other folds are kept. candidates is a population, not data:
     it goes to every task and has at most ``most_candidates`` rows, an error beyond. With share in
     candidates and entered in data only training rows that entered at or below share are asked. k is capped as in cross-validation. A candidate without features
     predicts 0; a row without a row of another fold isn't counted.
@@ -300,29 +304,35 @@ def evaluate_candidates(candidates: DataFrame, data: DataFrame, most_candidates:
     allowed = lambda f, share: max(1, min(knn.MOST_NEIGHBOURS, sum(r.n for r in sizes if r.fold != f and r.entered <= share) // knn.ROWS_A_NEIGHBOUR))
     most = {(f, share): allowed(f, share) for f in folds for share in {c["share"] for c in some}}
 
-    def side(cell) -> list[np.ndarray]:
-        key, label, fold, entered = (np.asarray(cell.values.field(n)) for n in ("key", "label", "fold", "entered"))
-        return [key, label, fold, entered, np.asarray(cell.values.field("vector").flatten()).reshape(len(key), -1)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in range(b.num_rows):
-                (key, label, fold, _, x), (other, near, its, entered, y) = side(b.column("q")[row]), side(b.column("o")[row])
-                for c in some:
-                    mask = np.flatnonzero(c["mask"])
-                    if not len(mask):
-                        continue
-                    out = []
-                    for at in range(len(key)):
-                        d = knn.distances(y[:, mask], x[at, mask], c["p"])
-                        d[(its == fold[at]) | (entered > c["share"])] = np.inf
-                        best = knn.nearest(d, other, min(c["k"], most[fold[at].item(), c["share"]]))
-                        out.append((np.full(len(best), at), best, d[best]))
-                    q, o, d = (np.concatenate(v) for v in zip(*out))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), c["candidate"])), pa.array(key[q]), pa.array(label[q], pa.int32()), pa.array(fold[q], pa.int32()), pa.array(other[o]), pa.array(near[o], pa.int32()), pa.array(d)], ["candidate", "key", "label", "fold", "other", "near", "dist"])
-
-    pairs = knn.blocks(data, "key", "vector", "o", "label", "fold", "entered").crossJoin(knn.blocks(data, "key", "vector", "q", "label", "fold", "entered"))
-    found = pairs.mapInArrow(run, "candidate long, key long, label int, fold int, other long, near int, dist double")
+    kinds = {"label": "<i4", "fold": "<i4", "entered": "<f8"}
+    able = sorted((c for c in some if any(c["mask"])), key=lambda c: (c["mask"], c["p"]))
+    groups = [able[i : i + GROUP] for i in range(0, len(able), GROUP)]
+    neighbours = lambda c: min(c["k"], max((most[f, c["share"]] for f in folds), default=1))
+
+    def start(group: list[dict], q: dict):
+        q = knn.Block(q, kinds)
+        near = [knn.Nearest(len(q.keys), neighbours(c)) for c in group]
+        return (q, group, near), sum(x.d.size for x in near)
+
+    def visit(state, o: dict) -> None:
+        q, group, near = state
+        o = knn.Block(o, kinds, held=True)
+        barred = lambda c: lambda i, j: (q.more["fold"][i] == o.more["fold"][j]) | (o.more["entered"][j] > c["share"])
+        for (mask, p), same in groupby(zip(group, near), lambda x: (x[0]["mask"], x[0]["p"])):
+            knn.meet(q, o, np.flatnonzero(mask), p, [(x, barred(c)) for c, x in same], o.more["label"])
+
+    def done(state) -> Iterator[pa.RecordBatch]:
+        q, group, near = state
+        for c, x in zip(group, near):
+            at = x.found()
+            row = at[0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), c["candidate"])), pa.array(q.keys[row]), pa.array(q.more["label"][row]), pa.array(q.more["fold"][row]), pa.array(x.keys[at]), pa.array(x.more[at].astype(np.int32)), pa.array(x.d[at])], ["candidate", "key", "label", "fold", "other", "near", "dist"])
+
+    schema = "candidate long, key long, label int, fold int, other long, near int, dist double"
+    rows = knn.packed(data, "key", "vector", max(map(neighbours, able), default=1), sum(r.n for r in sizes), kinds)
+    found = data.sparkSession.createDataFrame([], schema)
+    for group in groups:
+        found = found.union(knn.met(rows, rows, partial(start, group), visit, done, schema))
     own = Window.partitionBy("candidate", "key")
     spec = data.sparkSession.createDataFrame([(c["candidate"], f, min(c["k"], most[f, c["share"]]), c["weights"]) for c in some for f in folds], "candidate long, fold int, k int, weights string")
     ranked = found.withColumn("rank", F.row_number().over(own.orderBy("dist", "other"))).join(F.broadcast(spec), ["candidate", "fold"])  # the population
