@@ -120,9 +120,15 @@ def prediction_rows(df: DataFrame, key: str) -> DataFrame:
 
 
 def soft_vote(members: list[DataFrame], key: str) -> DataFrame:
-    """(key, probability, prediction): the mean of the members' probabilities; 0 on a tie. Rows need not be in all members."""
-    rows = reduce(lambda a, b: a.unionByName(b), (m.select(key, "probability") for m in members))
-    mean = rows.groupBy(key).agg(F.avg("probability").alias("probability"))
+    """(key, probability, prediction): the mean of the members' probabilities; 0 on a tie. Rows need not be in all members.
+
+    Probabilities are added in the order of members, so the last digit, and with it a tie, is not
+    that of the order in which a shuffle brings them.
+    """
+    rows = reduce(lambda a, b: a.unionByName(b), (m.select(key, "probability", F.lit(i).alias("member_")) for i, m in enumerate(members)))
+    of = lambda i: F.coalesce(F.sum(F.when(F.col("member_") == i, F.col("probability"))), F.lit(0.0))
+    total = reduce(lambda a, b: a + b, (of(i) for i in range(len(members))))
+    mean = rows.groupBy(key).agg((total / F.nullif(F.count("probability"), F.lit(0))).alias("probability"))
     return mean.withColumn("prediction", (F.col("probability") > 0.5).cast("int"))
 
 

@@ -246,3 +246,14 @@ def test_projects_reports_and_catalog(spark, tmp_path):
     datasets.write_dataset(df, str(tmp_path / "stored"), "project")
     assert spark.read.parquet(str(tmp_path / "stored")).count() == 3
     assert search.grid(spark, {"k": [1, 3, 5], "p": [1, 2]}).count() == 6
+
+
+def test_soft_vote_adds_in_the_order_of_members(spark):
+    """However rows are dealt: a shuffle that brings the members in another order changes no digit."""
+    rows = [(k, (k * 7 % 101) / 100, (k * 5 % 101) / 100, (k * 13 % 101) / 100) for k in range(2000)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, c double")
+    want = {k: (a + b + c) / 3 for k, a, b, c in rows}
+    mixed = [df.select("k", F.col(x).alias("probability")).repartition(3 + i) for i, x in enumerate("abc")]
+    assert {r.k: r.probability for r in models.soft_vote(mixed, "k").collect()} == want
+    few = models.soft_vote([mixed[0], mixed[1].where("k < 5"), mixed[2].where("k < 0")], "k")
+    assert {r.k: r.probability for r in few.where("k < 7").collect()} == {k: (a + b) / 2 if k < 5 else a for k, a, b, _ in rows[:7]}
