@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from defect_spark.operators import ranges
@@ -33,11 +33,53 @@ def stratified_kfold(df: DataFrame, label: str, key: str, folds: int = 5, seed:
     return ranked(df, label, key, seed).withColumn("fold", (F.col("rank") % folds).cast("int")).drop("rank", "class_rows")
 
 
-def train_test_split(df: DataFrame, label: str | None, key: str, test: float = 0.2, seed: int = 42) -> DataFrame:
-    """df with is_test: of each class the first ceil(test * rows), or of all rows where label is None."""
+MOST_CLASSES = 10_000  # whose places are sent to every task; more are joined
+DIGITS = 3  # hexadecimal digits of a draw that one count adds
+
+
+def small(classes: DataFrame) -> DataFrame:
+    """A written table with a row a class, marked to be sent to every task if these are few."""
+    return F.broadcast(classes) if classes.count() <= MOST_CLASSES else classes
+
+
+def last_of(df: DataFrame, label: str, key: str, share: float, seed: int, few: int = 100_000) -> DataFrame:
+    """(c_, d_, last_): the draw and key of the last of the first ceil(share * rows) rows of each class in hash order, a row a class.
+
+    Rows are counted by the first digits of their draw, then by more digits where the place lies,
+    until at most ``few`` rows of a class are left to order: no table is sorted or shuffled whole.
+    """
+    rows = df.select(F.col(label).alias("c_"), F.col(key).alias("k_"), draw(key, seed).alias("draw_"))
+    inside = rows
+    for digits in range(DIGITS, 32 + DIGITS, DIGITS):
+        first = digits == DIGITS
+        counts = inside.groupBy("c_", F.substring("draw_", 1, digits).alias("p_")).agg(F.count("*").alias("n_"), *([] if first else [F.first("left_").alias("left_")]))
+        by_class = Window.partitionBy("c_")
+        if first:
+            counts = counts.withColumn("left_", F.ceil(F.sum("n_").over(by_class) * share))
+        before = F.coalesce(F.sum("n_").over(by_class.orderBy("p_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        found = counts.withColumn("before_", before).where("before_ < left_ AND before_ + n_ >= left_")
+        found = ranges.checkpointed(found.select(F.col("c_").alias("g_"), "p_", (F.col("left_") - F.col("before_")).alias("left_"), "n_"))  # a row a class
+        inside = rows.join(small(found.drop("n_")), F.col("c_").eqNullSafe(F.col("g_")) & (F.substring("draw_", 1, digits) == F.col("p_"))).drop("g_", "p_")
+        if (found.agg(F.max("n_").alias("n")).first().n or 0) <= few:
+            break
+    counts = inside.groupBy("c_", "draw_", "k_").agg(F.count("*").alias("n_"), F.first("left_").alias("left_"))
+    order = Window.partitionBy("c_").orderBy("draw_", F.col("k_").asc_nulls_first())
+    before = F.coalesce(F.sum("n_").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = counts.withColumn("before_", before).where("before_ < left_ AND before_ + n_ >= left_")
+    return ranges.checkpointed(at.select("c_", F.col("draw_").alias("d_"), F.col("k_").alias("last_")))
+
+
+def train_test_split(df: DataFrame, label: str | None, key: str, test: float = 0.2, seed: int = 42, few: int = 100_000) -> DataFrame:
+    """df with is_test: of each class the first ceil(test * rows) in hash order of key, or of all rows where label is None.
+
+    Rows that repeat a key of a class go together. Null is a class and a key like any other.
+    """
     if label is None:
-        return train_test_split(df.withColumn("all_", F.lit(0)), "all_", key, test, seed).drop("all_")
-    return ranked(df, label, key, seed).withColumn("is_test", F.col("rank") < F.ceil(F.col("class_rows") * test)).drop("rank", "class_rows")
+        return train_test_split(df.withColumn("all_", F.lit(0)), "all_", key, test, seed, few).drop("all_")
+    own, k = draw(key, seed), F.col(key)
+    early = k.isNull() | k.eqNullSafe(F.col("last_")) | F.coalesce(k < F.col("last_"), F.lit(False))
+    joined = df.join(small(last_of(df, label, key, test, seed, few)), F.col(label).eqNullSafe(F.col("c_")), "left")
+    return joined.withColumn("is_test", F.coalesce((own < F.col("d_")) | ((own == F.col("d_")) & early), F.lit(False))).drop("c_", "d_", "last_")
 
 
 def cross_project_pairs(df: DataFrame, project: str, train: list[str] | None = None, test: list[str] | None = None) -> DataFrame:

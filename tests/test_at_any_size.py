@@ -150,3 +150,27 @@ def test_mutual_information_by_ranges(spark):
     few = features.mutual_info(df.where("id < 5"), ["normal"], "y", "id").first()
     assert abs(few.mi - brute_info(x["normal"][:5], y[:5])) < 1e-9
     assert features.mutual_info(df.where("false"), ["normal"], "y", "id").first().mi == 0
+
+
+def test_split_by_counts_of_draws(spark):
+    """The rows of a sort by hash and key, with null classes and keys and narrow counts; almost nothing is shuffled."""
+    import hashlib
+
+    from tests.test_neighbours import shuffled
+
+    df = spark.range(40_000).selectExpr("if(id = 7, null, concat('key ', id)) as key", "if(id % 9 = 0, null, id % 2) as label", "repeat('x', 200) as wide")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    for few in (100_000, 3):
+        before = shuffled(spark)
+        made = splits.train_test_split(df, "label", "key", few=few)
+        rows = made.collect()
+        assert made.columns == ["key", "label", "wide", "is_test"] and (few == 3 or shuffled(spark) - before < 1_000_000)
+        for c in (None, 0, 1):
+            order = sorted((hashlib.md5(f"42:{r.key}".encode() if r.key else b"42").hexdigest(), r.is_test) for r in rows if r.label == c)
+            n = math.ceil(len(order) * 0.2)
+            assert [t for _, t in order] == [True] * n + [False] * (len(order) - n)
+    twice = splits.train_test_split(df.union(df.where("key < 'key 2'")), None, "key")
+    assert twice.groupBy("key").agg(F.count_distinct("is_test").alias("n")).where("n > 1").count() == 0
+    assert splits.train_test_split(df.where("false"), "label", "key").count() == 0
+    assert splits.train_test_split(df, "label", "key", 0.0).where("is_test").count() == 0
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
